@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line is a \\n-separated piece of a text; its words are those between blanks, with A-Z lower-cased. Lines of at least
+A line is a \\n-separated piece of a text; its words are those between blanks, in lower case. Lines of at least
 ``min_words`` words take part. A line goes if an earlier one (by doc_id, text hash, line number; null doc_ids last) has
 the same words or lies within one word edit: a word replaced, inserted or deleted. Shorter lines all stay.
 
@@ -29,20 +29,19 @@ HASH_BITS = 42
 _BLANKS = "[ \\t\\x0B\\f\\r]+"
 
 
-def line_words(line: Column) -> Column:
-    """Words of a line, A-Z lower-cased."""
-    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, _BLANKS), lambda w: w != "")
+def normal(line: Column) -> Column:
+    """A line in lower case, its words apart by one space."""
+    return F.trim(F.regexp_replace(F.lower(line), _BLANKS, " "))
 
 
-def _half_keys(words: Column, n: Column) -> Column:
+def _half_keys(norm: Column, n: Column) -> list[Column]:
     """Hashes of the first and the last half, cut as for lines of n and of n - 1 words."""
     keys = []
     for length in (n, n - 1):
         m = F.floor(length / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("first"), length, F.array_join(F.slice(words, F.lit(1), m), " ")))
-        keys.append(F.xxhash64(F.lit("last"), length, F.array_join(F.slice(words, n - (length - m) + 1, (length - m).cast("int")), " ")))
-    return F.array(*keys)
+        keys.append(F.xxhash64(F.lit("first"), length, F.call_function("substring_index", norm, F.lit(" "), m)))
+        keys.append(F.xxhash64(F.lit("last"), length, F.call_function("substring_index", norm, F.lit(" "), (m - length).cast("int"))))
+    return keys
 
 
 def _position() -> Column:
@@ -50,11 +49,31 @@ def _position() -> Column:
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """__id, __th, pos, words, n and h (hash of the words) of every line that takes part."""
+    """__id, __th, pos, norm, n (words) and h (hash of norm) of every line that takes part."""
     base = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"), F.col("text").alias("__text"))
     at = base.select("__id", "__th", F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
-    rows = at.select("__id", "__th", "pos", line_words(F.col("line")).alias("words")).withColumn("n", F.size("words"))
-    return rows.filter(F.col("n") >= min_words).withColumn("h", F.xxhash64("n", F.array_join("words", " ")))
+    rows = at.select("__id", "__th", "pos", normal(F.col("line")).alias("norm"))
+    n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    return rows.withColumn("n", n).filter(F.col("n") >= min_words).withColumn("h", F.xxhash64("norm"))
+
+
+class Bitmap:
+    """A set of longs as 2**23 bits, a megabyte whatever their number. It only spares rows a shuffle: what it lets
+    through is joined exactly afterwards, and a full bitmap lets everything through."""
+
+    BITS = 1 << 23
+
+    def __init__(self, values: DataFrame, column: str):
+        x = F.pmod(F.col(column), F.lit(self.BITS)) + 1
+        rows = values.groupBy(F.bitmap_bucket_number(x).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("m")).collect()
+        self.bytes = bytearray(self.BITS // 8)
+        for r in rows:
+            self.bytes[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["m"]
+
+    def may_hold(self, c: Column) -> Column:
+        x = F.pmod(c, F.lit(self.BITS))
+        byte = F.substring(F.lit(bytes(self.bytes)), (F.shiftright(x, 3) + 1).cast("int"), F.lit(1))
+        return F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(x, F.lit(8)).cast("int"))) != 0
 
 
 def _word_hash(word: Column, at: Column) -> Column:
@@ -62,8 +81,8 @@ def _word_hash(word: Column, at: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """h, n, at (deleted word, 0 for none), z (hash of what is left), for every line (h, n, words)."""
-    w = lines.select("h", "n", F.posexplode("words").alias("i", "w"))
+    """h, n, at (deleted word, 0 for none), z (hash of what is left), for every line (h, n, norm)."""
+    w = lines.select("h", "n", F.posexplode(F.split("norm", " ")).alias("i", "w"))
     here, moved = _word_hash(F.col("w"), F.col("i")), _word_hash(F.col("w"), F.col("i") - 1)
     w = w.select("h", "n", "i", here.alias("a"), moved.alias("b"))
     before = W.partitionBy("h").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
@@ -89,15 +108,15 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """__id, __th, gone: the numbers (from 0) of the lines to drop, for every document that loses any."""
-    spark = docs.sparkSession
-    rows = _lines(docs, min_words)
-    distinct = rows.groupBy("h", "n").agg(F.min(_position()).alias("first"), F.min("words").alias("words"))
-    keyed = distinct.withColumn("keys", _half_keys(F.col("words"), F.col("n")))
-    keyed = keyed.select("h", "n", "first", "words", "keys")
-    half = keyed.select("h", F.explode("keys").alias("key"))
-    shared = half.groupBy("key").agg(F.min("h").alias("p"), F.max("h").alias("q"), F.count("*").alias("c")).filter("p < q")
-    partners = half.join(shared.select("key"), "key").select("h").distinct()
-    some = common.cut(distinct.join(partners, "h", "left_semi"))
+    lines = _lines(docs, min_words)
+    keys = {f"k{i}": k for i, k in enumerate(_half_keys(F.col("norm"), F.col("n")))}
+    rows = common.cut(lines.select("__id", "__th", "pos", "h", *[k.alias(c) for c, k in keys.items()]))
+    half = rows.select("h", *keys).distinct().select("h", F.explode(F.array(*keys)).alias("key"))
+    shared = half.groupBy("key").agg(F.min("h").alias("p"), F.max("h").alias("q")).filter("p < q").select("key")
+    partners = common.cut(half.join(shared, "key").select("h").distinct())
+    near_half = Bitmap(partners, "h")
+    texts = lines.filter(near_half.may_hold(F.col("h"))).groupBy("h", "n").agg(F.min(_position()).alias("first"), F.min("norm").alias("norm"))
+    some = common.cut(texts.join(partners, "h", "left_semi"))
     v = common.cut(_variants(some).join(some.select("h", "first"), "h"))
     gone = v.filter("at > 0")
     # one word replaced: same place, same rest; each meets the earliest
@@ -108,7 +127,7 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     more = gone.withColumn("short", F.col("n") - 1).join(plain, ["z", "short"])
     longer = more.groupBy("g", "g_first").agg(F.min(F.struct("first", "h")).alias("m"))
     pairs = pairs.unionByName(more.filter("g_first < first").select("h", "g")).unionByName(longer.filter("m.first < g_first").select(F.col("g").alias("h"), F.col("m.h").alias("g"))).distinct()
-    words = some.select("h", "words")
+    words = some.select("h", F.split("norm", " ").alias("words"))
     checked = pairs.join(words, "h").join(words.select(F.col("h").alias("g"), F.col("words").alias("others")), "g").filter(_one_edit(F.col("words"), F.col("others")))
     near = common.cut(checked.select("h").distinct().withColumn("near", F.lit(True)))
     # exact repetitions of each line besides its first, and all occurrences of lines that are near an earlier one
@@ -121,9 +140,13 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """docs with the text of each document less the lines that an earlier line makes redundant, and n_lines_dropped."""
-    gone = dropped_lines(docs, min_words).select(F.col("__id").alias("__d"), F.col("__th").alias("__t"), "gone")
+    gone = common.cut(dropped_lines(docs, min_words).select(F.col("__id").alias("__d"), F.col("__th").alias("__t"), "gone"))
+    touched = Bitmap(gone, "__t")
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    both = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__t")), "left")
+    may = touched.may_hold(F.col("__th"))
+    both = keyed.filter(may).join(gone, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__t")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    return common.replace_columns(both, {"text": text, "n_lines_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}).drop("__id", "__th", "__d", "__t", "gone")
+    edited = common.replace_columns(both, {"text": text, "n_lines_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
+    same = common.replace_columns(keyed.filter(~may), {"text": F.col("text"), "n_lines_dropped": F.lit(0).cast("long")})
+    return edited.drop("__id", "__th", "__d", "__t", "gone").unionByName(same.drop("__id", "__th"))
