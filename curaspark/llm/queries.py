@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytenet, jaccard, lines, packing, perplexity
+from . import ann, bytenet, html, jaccard, langid, lines, packing, perplexity, sentencepiece, urls
 from .common import table
 
 
@@ -15,6 +15,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids with merge-dropout of every text, decoded again and compared; the ids as number and checksum."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    both = sentencepiece.decode(sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    crc = F.crc32(F.array_join("ids", " ").cast("binary"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), crc.alias("ids_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = perplexity.quality_rules(table(spark, sf_dir, "documents"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
@@ -25,12 +38,27 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines_dropped")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = bytenet.classify(docs, bytenet.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", bytenet.held_out(0, 5).alias("held_out"), "score", "predicted")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bytenet.held_out(2, 4)
+    found = langid.identify(docs, langid.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -39,5 +67,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op6_quality_classifier, op9_jaccard_join, op10_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_nearest,
+        op3_quality_rules,
+        op4_line_dedup,
+        op5_url_filter,
+        op6_quality_classifier,
+        op7_language,
+        op8_html_text,
+        op9_jaccard_join,
+        op10_packing,
+    )
+}
+
+#: The other operators are tested against brute force, round trips or held-out accuracy in tests/llm.
+SQL = {"op5_url_filter": urls.sql()}
