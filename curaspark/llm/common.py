@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one slice of an Arrow batch may hold before it is worked on; a longer text is a slice by itself.
@@ -32,6 +33,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now, not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Buckets of a prefilter: so many rows at most are broadcast, whatever the number of values.
+BUCKETS = 1 << 20
+
+
+def bucket(c: Column) -> Column:
+    return F.pmod(c, F.lit(BUCKETS)).cast("int")
+
+
+def buckets(values: DataFrame, column: str) -> DataFrame:
+    """The hash buckets that hold a value, 2**20 at most, to broadcast. They only spare rows a shuffle: what they let
+    through is joined exactly afterwards, and full buckets let everything through."""
+    return F.broadcast(values.select(bucket(F.col(column)).alias("__bucket")).distinct())
+
+
 def small_batches(spark: SparkSession) -> None:
     """Text columns need far fewer rows in a batch than Arrow's default of 10,000."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

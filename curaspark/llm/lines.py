@@ -29,9 +29,15 @@ HASH_BITS = 42
 _BLANKS = "[ \\t\\x0B\\f\\r]+"
 
 
-def normal(line: Column) -> Column:
-    """A line in lower case, its words apart by one space."""
-    return F.trim(F.regexp_replace(F.lower(line), _BLANKS, " "))
+def normal(text: Column) -> Column:
+    """A text in lower case, the words of each of its lines apart by one space; the regular expressions run only over
+    texts that hold other blanks than single spaces between words."""
+    low = F.lower(text)
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for mark in ("\t", "\x0b", "\f", "\r", "  ", " \n", "\n "):
+        odd = odd | F.contains(text, F.lit(mark))
+    plain = F.regexp_replace(F.regexp_replace(low, _BLANKS, " "), " ?\n ?", "\n")
+    return F.when(odd, F.trim(plain)).otherwise(low)
 
 
 def _half_keys(norm: Column, n: Column) -> list[Column]:
@@ -50,32 +56,12 @@ def _position() -> Column:
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """__id, __th, pos, norm, n (words) and h (hash of norm) of every line that takes part."""
-    base = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"), F.col("text").alias("__text"))
-    at = base.select("__id", "__th", F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
-    rows = at.select("__id", "__th", "pos", normal(F.col("line")).alias("norm"))
+    base = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"), normal(F.col("text")).alias("__text"))
+    rows = base.select("__id", "__th", F.posexplode(F.split("__text", "\n")).alias("pos", "norm"))
     n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
     return rows.withColumn("n", n).filter(F.col("n") >= min_words).withColumn("h", F.xxhash64("norm"))
 
 
-class Bitmap:
-    """A set of longs as 2**23 bits, a megabyte whatever their number. It only spares rows a shuffle: what it lets
-    through is joined exactly afterwards, and a full bitmap lets everything through."""
-
-    BITS = 1 << 23
-
-    def __init__(self, values: DataFrame, column: str):
-        x = F.pmod(F.col(column), F.lit(self.BITS)) + 1
-        rows = values.groupBy(F.bitmap_bucket_number(x).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("m")).collect()
-        self.bytes = bytearray(self.BITS // 8)
-        for r in rows:
-            self.bytes[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["m"]
-
-    def may_hold(self, c: Column) -> Column:
-        x = F.pmod(c, F.lit(self.BITS))
-        byte = F.substring(F.lit(bytes(self.bytes)), (F.shiftright(x, 3) + 1).cast("int"), F.lit(1))
-        return F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(x, F.lit(8)).cast("int"))) != 0
-
-
 def _word_hash(word: Column, at: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(word, at.cast("long")), 64 - HASH_BITS)
 
@@ -114,8 +100,7 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     half = rows.select("h", *keys).distinct().select("h", F.explode(F.array(*keys)).alias("key"))
     shared = half.groupBy("key").agg(F.min("h").alias("p"), F.max("h").alias("q")).filter("p < q").select("key")
     partners = common.cut(half.join(shared, "key").select("h").distinct())
-    near_half = Bitmap(partners, "h")
-    texts = lines.filter(near_half.may_hold(F.col("h"))).groupBy("h", "n").agg(F.min(_position()).alias("first"), F.min("norm").alias("norm"))
+    texts = lines.withColumn("__bucket", common.bucket(F.col("h"))).join(common.buckets(partners, "h"), "__bucket", "left_semi").groupBy("h", "n").agg(F.min(_position()).alias("first"), F.min("norm").alias("norm"))
     some = common.cut(texts.join(partners, "h", "left_semi"))
     v = common.cut(_variants(some).join(some.select("h", "first"), "h"))
     gone = v.filter("at > 0")
@@ -140,13 +125,12 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """docs with the text of each document less the lines that an earlier line makes redundant, and n_lines_dropped."""
-    gone = common.cut(dropped_lines(docs, min_words).select(F.col("__id").alias("__d"), F.col("__th").alias("__t"), "gone"))
-    touched = Bitmap(gone, "__t")
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    may = touched.may_hold(F.col("__th"))
-    both = keyed.filter(may).join(gone, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__t")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    edited = common.replace_columns(both, {"text": text, "n_lines_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
-    same = common.replace_columns(keyed.filter(~may), {"text": F.col("text"), "n_lines_dropped": F.lit(0).cast("long")})
-    return edited.drop("__id", "__th", "__d", "__t", "gone").unionByName(same.drop("__id", "__th"))
+    gone = common.cut(dropped_lines(docs, min_words).select(F.col("__id").alias("__d"), F.col("__th").alias("__t"), F.col("gone").alias("__gone")))
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")}).withColumn("__bucket", F.coalesce(common.bucket(F.col("__th")), F.lit(-1)))
+    touched = common.buckets(gone, "__t")
+    both = keyed.join(touched, "__bucket", "left_semi").join(gone, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__t")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
+    edited = common.replace_columns(both, {"text": text, "n_lines_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
+    same = common.replace_columns(keyed.join(touched, "__bucket", "left_anti"), {"text": F.col("text"), "n_lines_dropped": F.lit(0).cast("long")})
+    return edited.drop("__id", "__th", "__bucket", "__d", "__t", "__gone").unionByName(same.drop("__id", "__th", "__bucket"))
