@@ -19,7 +19,6 @@ a component unless no other row can; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-import gc
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -259,6 +258,7 @@ def node_links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     grouped = rows.drop("prefix").join(groups.withColumnRenamed("root", "group"), "node")
     sizes = grouped.groupBy("group").agg(F.count("*").alias("in_group"))
     grouped = common.cut(_blocks(grouped.join(sizes, "group").withColumn("root", F.col("node")), block))
+    common.release(sets.sparkSession)
     links = common.cut(_join_blocks(grouped, percent))
     large = common.cut(grouped.filter(F.col("in_group") > block))
     if not large.isEmpty():
@@ -270,7 +270,7 @@ def node_links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     return links
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, sketch: float = 0.4, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, sketch: float = 0.34, block: int = BLOCK) -> DataFrame:
     """doc_id, th (xxhash64 of the text), n_shingles, component_id and is_head (the component's first row by doc_id and
     text hash) of every document. See the module's text."""
     spark = docs.sparkSession
@@ -286,10 +286,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, sketch
     reps = about.filter("n > 0").groupBy("node", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")).alias("r"))
     may = reps.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100))
     may = common.cut(may.select(F.col("r.doc_id").alias("d"), F.col("r.th").alias("t")))
-    release(spark)
-    texts = source.join(may, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t"))).select("doc_id", "th", "text")
+    common.release(spark)
+    near = source.withColumn("__bucket", F.coalesce(common.bucket(F.col("th")), F.lit(-1))).join(common.buckets(may, "t"), "__bucket", "left_semi")
+    texts = near.join(may, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t"))).select("doc_id", "th", "text")
     sets = common.cut(_sets(texts, size, lambda s: s).dropDuplicates(["node"]).select("node", "n", "hashes"))
-    release(spark)
+    common.release(spark)
     label = components(node_links(sets, percent, block))
     named = about.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")
@@ -298,17 +299,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, sketch
     return named.join(least, "root", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), is_head.alias("is_head"))
 
 
-def release(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of linked ones: that of the smallest doc_id. Documents without words all stay."""
-    found = jaccard_components(docs, **options)
-    keep = common.cut(found.filter("is_head").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "n_shingles").distinct())
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    kept = keyed.join(keep, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__t")))
-    own = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id())
-    return kept.withColumn("__own", own).dropDuplicates(["__id", "__th", "__own"]).select(docs.columns)
+    found = common.cut(jaccard_components(docs, **options))
+    keep = found.filter("is_head").groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("n_shingles").alias("__n")).agg(F.count("*").alias("__times"))
+    check = common.buckets(found.filter("not is_head").select("th").unionByName(keep.filter("__times > 1").select(F.col("__t").alias("th"))), "th")
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")}).withColumn("__bucket", F.coalesce(common.bucket(F.col("__th")), F.lit(-1)))
+    kept = keyed.join(check, "__bucket", "left_semi").join(keep, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__t")))
+    own = F.when(F.col("__n") == 0, F.monotonically_increasing_id())
+    once = kept.withColumn("__own", own).dropDuplicates(["__id", "__th", "__own"])
+    return once.select(docs.columns).unionByName(keyed.join(check, "__bucket", "left_anti").select(docs.columns))
