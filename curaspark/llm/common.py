@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one slice of an Arrow batch may hold before it is worked on; a longer text is a slice by itself.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 400_000
 #: Rows of text in an Arrow batch: keeps a batch to some MB for usual documents.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 

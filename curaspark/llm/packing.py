@@ -45,7 +45,7 @@ class WordMemo:
     other text goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -77,25 +77,27 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """code, n: how often each 4-gram stands in all texts. A task keeps one counter of 2**24 numbers."""
+    """code, n: how often each 4-gram stands in all texts. A task keeps one counter of 2**24 numbers, 64 MB."""
+    most = 1 << 31  # symbols after which the 32-bit counters are handed on
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CODES, np.int64)
-        held, size = [], 0
-        for batch in batches:
-            texts = [t for t in batch["text"] if t]
-            for a, b in common.slices(texts):
-                held.append(gram_codes(texts[a:b])[0])
-                size += len(held[-1])
-                if size > 8_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=CODES)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=CODES)
+    def rows(total: np.ndarray) -> Iterator[pd.DataFrame]:
         seen = np.flatnonzero(total)
         for a in range(0, len(seen), 100_000):
             part = seen[a : a + 100_000]
-            yield pd.DataFrame({"code": part.astype(np.int32), "n": total[part]})
+            yield pd.DataFrame({"code": part.astype(np.int32), "n": total[part].astype(np.int64)})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, size = np.zeros(CODES, np.uint32), 0
+        for batch in batches:
+            texts = [t for t in batch["text"] if t]
+            for a, b in common.slices(texts, 2 * common.SLICE_CHARS):
+                codes, n = np.unique(gram_codes(texts[a:b])[0], return_counts=True)
+                if size + int(n.sum()) >= most:
+                    yield from rows(total)
+                    total, size = np.zeros(CODES, np.uint32), 0
+                total[codes] += n.astype(np.uint32)
+                size += int(n.sum())
+        yield from rows(total)
 
     return docs.select("text").mapInPandas(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
