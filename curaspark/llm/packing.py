@@ -33,7 +33,10 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _OPEN_SCHEMA = SCHEMA + ", partition long, window int, ids binary"
 
 #: Characters that the tokenizer's normaliser handles one by one, so that words may be encoded apart from each other.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ɏ]*")
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ſ]*")
+_LETTERS, _NUMBERS = ("".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == k) for k in "LN")
+#: Parts of a word that the tokenizer encodes apart: its published pattern, for the characters of _PLAIN.
+_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
@@ -45,13 +48,16 @@ class WordMemo:
     other text goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close one of the tokenizer's own words
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, text: str) -> np.ndarray:
         if not _PLAIN.fullmatch(text) or any(s in text for s in _SPECIAL):
@@ -63,13 +69,24 @@ class WordMemo:
             if len(memo) + len(missing) > self.most:
                 memo.clear()
                 missing = list(dict.fromkeys(words))
-            for i in range(0, len(missing), 5000):
-                part = missing[i : i + 5000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    memo[w] = np.array(e.ids, np.uint32).tobytes()
+            for i in range(0, len(missing), 2000):
+                self._learn(missing[i : i + 2000])
         return np.frombuffer(b"".join([memo[w] for w in words]), np.uint32)
 
 
+    def _learn(self, words: list[str]) -> None:
+        """Encodes the words as one text and cuts its ids where each word's last part ends."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        parts = np.cumsum([1 if w.isalpha() else len(_PART.findall(w)) for w in words])
+        if parts[-1] != len(ends):
+            raise ValueError("the tokenizer cuts words in another way than expected")
+        data, at = ids.tobytes(), [0, *(ends[parts - 1] * 4).tolist()]
+        memo = self.memo
+        for k, w in enumerate(words):
+            memo[w] = data[at[k] : at[k + 1]]
+
+
 class Packer:
     """Open windows of one partition (or one merge). Emitted pieces collect in ``out``."""
 

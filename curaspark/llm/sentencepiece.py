@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -128,7 +129,7 @@ def _skipped(stream_key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np
 
 
 class Encoder:
-    def __init__(self, model: Model, dropout: float = 0.1, seed: int = 1, streams: int = 4, most: int = 250_000):
+    def __init__(self, model: Model, dropout: float = 0.1, seed: int = 1, streams: int = 4, most: int = 400_000):
         self.model, self.dropout, self.seed, self.streams, self.most = model, dropout, seed, streams if dropout > 0 else 1, most
         self.stream_keys = common.mix64(np.arange(1, self.streams + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
         self.made: dict[int, bytes] = {}
@@ -272,13 +273,24 @@ class Encoder:
             self.made[want] = self._finish(units[k], i[bounds[k] : bounds[k + 1]].tolist(), s[bounds[k] : bounds[k + 1]].tolist()) if odd[k] else data[b[k] : b[k + 1]]
 
 
+@lru_cache(2)
+def _model(path: str) -> Model:
+    return Model(path)
+
+
+@lru_cache(2)
+def _encoder(path: str, dropout: float, seed: int, streams: int) -> Encoder:
+    """Kept by the Python worker, so that later tasks find units that earlier ones made."""
+    return Encoder(_model(path), dropout, seed, streams)
+
+
 def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, streams: int = 4) -> DataFrame:
     """All columns of docs, with ids (array<int>)."""
     common.small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        encoder = Encoder(Model(model_path), dropout, seed, streams)
+        encoder = _encoder(model_path, dropout, seed, streams)
         for text, doc in batches:
             yield pd.Series([x.view(np.int32) for x in encoder.encode([t or "" for t in text], doc.tolist())])
 
@@ -292,7 +304,7 @@ def decode(rows: DataFrame, model_path: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = Model(model_path)
+        model = _model(model_path)
         for batch in batches:
             yield pd.Series(["" if x is None else model.decode(np.asarray(x)) for x in batch], dtype=object)
 
