@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path, height (-1 if not decodable), width, nChannels, data (rows of BGR or gray bytes)."""
     raw = spark.read.format("image").option("recursiveFileLookup", True).load(path)
-    return raw.selectExpr("image.origin AS path", "image.height", "image.width", "image.nChannels", "image.data")
+    return raw.selectExpr("regexp_replace(image.origin, '^file:/+', 'file:/') AS path", "image.height", "image.width", "image.nChannels", "image.data")
 
 
 def to_gray(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
