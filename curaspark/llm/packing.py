@@ -37,6 +37,7 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ſ]*")
 _LETTERS, _NUMBERS = ("".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == k) for k in "LN")
 #: Parts of a word that the tokenizer encodes apart: its published pattern, for the characters of _PLAIN.
 _PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+_SIGNS = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
@@ -62,7 +63,10 @@ class WordMemo:
     def encode(self, text: str) -> np.ndarray:
         if not _PLAIN.fullmatch(text) or any(s in text for s in _SPECIAL):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.lower().split()
+        low = text.lower()
+        if not _SIGNS.search(low):  # a comma or stop after a letter is a part of its own: words are met again without it
+            low = low.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        words = low.split()
         memo = self.memo
         missing = [w for w in dict.fromkeys(words) if w not in memo]
         if missing:

@@ -19,8 +19,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids with merge-dropout of every text, decoded again and compared; the ids as number and checksum."""
     path = tokenizer_path("piece_bpe_32k.model")
     both = sentencepiece.decode(sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
-    crc = F.crc32(F.array_join("ids", " ").cast("binary"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), crc.alias("ids_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

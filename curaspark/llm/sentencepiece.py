@@ -129,7 +129,7 @@ def _skipped(stream_key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np
 
 
 class Encoder:
-    def __init__(self, model: Model, dropout: float = 0.1, seed: int = 1, streams: int = 4, most: int = 400_000):
+    def __init__(self, model: Model, dropout: float = 0.1, seed: int = 1, streams: int = 3, most: int = 400_000):
         self.model, self.dropout, self.seed, self.streams, self.most = model, dropout, seed, streams if dropout > 0 else 1, most
         self.stream_keys = common.mix64(np.arange(1, self.streams + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
         self.made: dict[int, bytes] = {}
@@ -284,7 +284,7 @@ def _encoder(path: str, dropout: float, seed: int, streams: int) -> Encoder:
     return Encoder(_model(path), dropout, seed, streams)
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, streams: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, streams: int = 3) -> DataFrame:
     """All columns of docs, with ids (array<int>)."""
     common.small_batches(docs.sparkSession)
 
