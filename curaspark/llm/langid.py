@@ -126,8 +126,9 @@ def fit(docs: DataFrame, learn, per_language: int = 300, longest: int = 200_000)
     """Train on rows where ``learn`` holds: of each language the ``per_language`` of the smallest hash, texts of at most
     ``longest`` characters. Spark cuts each language to that number before its rows are shuffled."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.length("text") <= longest))
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
-    got = rows.select("doc_id", "text", "lang").withColumn("__rn", F.row_number().over(first)).filter(F.col("__rn") <= per_language)
+    got = rows.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("__h")).withColumn("__part", F.pmod(F.hash("__h"), F.lit(64)))
+    for keys in (["lang", "__part"], ["lang"]):  # in two steps, so that the second one's groups are bounded
+        got = got.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy("__h"))).filter(F.col("__rn") <= per_language)
     got = got.orderBy("lang", "__rn").select("text", "lang").toArrow().to_pandas()
     return Hierarchy(got["text"].tolist(), got["lang"].tolist())
 
