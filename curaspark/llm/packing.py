@@ -13,6 +13,7 @@ like others; an empty table gives no rows; columns other than doc_id and text ar
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import sys
 import unicodedata
@@ -37,7 +38,18 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ſ]*")
 _LETTERS, _NUMBERS = ("".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == k) for k in "LN")
 #: Parts of a word that the tokenizer encodes apart: its published pattern, for the characters of _PLAIN.
 _PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
-_SIGNS = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
+_SIGNS = re.compile(r"[.,](?<![^\W_].)(?<!\s.)[ \n]")  # neither a letter, a number nor white space before it
+#: Settings of the tokenizer for lower-case parts with a space between them: it merges alone.
+_PARTS_ALONE = {
+    "normalizer": None,
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
@@ -56,6 +68,7 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, most
+        self.parts = Tokenizer.from_str(json.dumps(json.loads(self.tokenizer.to_str()) | _PARTS_ALONE))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close one of the tokenizer's own words
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -67,22 +80,24 @@ class WordMemo:
         if not _SIGNS.search(low):  # a comma or stop after a letter is a part of its own: words are met again without it
             low = low.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
         words = low.split()
-        memo = self.memo
-        missing = [w for w in dict.fromkeys(words) if w not in memo]
+        found = list(map(self.memo.get, words))
+        missing = list(dict.fromkeys([w for w, x in zip(words, found, strict=True) if x is None]))
         if missing:
-            if len(memo) + len(missing) > self.most:
-                memo.clear()
+            if len(self.memo) + len(missing) > self.most:
+                self.memo.clear()
                 missing = list(dict.fromkeys(words))
             for i in range(0, len(missing), 2000):
                 self._learn(missing[i : i + 2000])
-        return np.frombuffer(b"".join([memo[w] for w in words]), np.uint32)
-
+            found = map(self.memo.__getitem__, words)
+        return np.frombuffer(b"".join(found), np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes the words as one text and cuts its ids where each word's last part ends."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        """Encodes the words' parts as one text and cuts its ids where each word's last part ends."""
+        split = [[w] if w.isalpha() else _PART.findall(w) for w in words]
+        text = " ".join([p for x in split for p in x])
+        ids = np.array(self.parts.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        parts = np.cumsum([1 if w.isalpha() else len(_PART.findall(w)) for w in words])
+        parts = np.cumsum(list(map(len, split)))
         if parts[-1] != len(ends):
             raise ValueError("the tokenizer cuts words in another way than expected")
         data, at = ids.tobytes(), [0, *(ends[parts - 1] * 4).tolist()]
