@@ -1,7 +1,8 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 A text gets a leading space, as the model asks for, and is cut into units: runs of spaces with the characters after
-them. No piece of such a model holds a space after another character, so units can be merged apart from each other. Within
+them, cut again between a letter and a sign where no piece of the vocabulary holds such a pair. No piece of such a model
+holds a space after another character either, so units can be merged apart from each other. Within
 a unit the agenda offers the adjacent pair with the best (lowest) piece id, leftmost first; each candidate, known by
 where its two parts start and end, is skipped for good if a hash keyed by seed and stream falls below the dropout rate.
 What is left of characters outside the vocabulary becomes its UTF-8 bytes, so decoding gives back any text exactly.
@@ -19,6 +20,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,6 @@ from . import common
 SPACE = "▁"
 #: Units longer than this are merged by a heap instead of in numpy rounds.
 LONG_UNIT = 48
-_UNIT = re.compile(" *[^ ]+| +")
 _NONE = np.int64(1 << 40)
 _SLOT_BITS = 18
 
@@ -46,6 +47,19 @@ class _Numbers(dict):
     names: list[str]
 
 
+def _unit_pattern(pieces: list[str]) -> re.Pattern:
+    """Units that no piece crosses: a text is cut before spaces, around signs of ASCII that stand in no piece, and between a
+    letter or digit (below code point 256) and a sign of ASCII that follows none of these in any piece."""
+    pairs = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
+    plain = {chr(c) for c in range(256) if chr(c).isalnum()}
+    signs = {chr(c) for c in range(128)} - plain - {" "}
+    lone = signs.difference(*pieces) | {"\0"}
+    signs -= {b for a, b in pairs if a in plain}
+    a, k, u = (re.escape("".join(sorted(x))) for x in (plain, signs - lone, lone))
+    rest = f"[^ {a}{k}{u}][^ {a}{u}]*+"
+    return re.compile(f" *+[^ {a}{u}]*+[{a}]++(?:{rest}[{a}]++)*+(?:{rest})?+| *+[^ {a}{u}]++|[{u}]++| ++")
+
+
 class Model:
     """Vocabulary and pair table of a SentencePiece BPE model with byte fallback."""
 
@@ -81,6 +95,7 @@ class Model:
         for c, i in self.char.items():
             cps[ord(c)] = i
         self.cps = cps
+        self.unit = _unit_pattern([self.pieces[i].replace(SPACE, " ") for i in ids.values()])
         self.text = [b"" for _ in range(self.size)]
         for i in range(self.size):
             if sp.is_byte(i):
@@ -144,11 +159,11 @@ class Encoder:
         """Ids of each text; docs key the draws of streams."""
         out = [np.zeros(0, np.uint32)] * len(texts)
         for a, b in common.slices(texts):
-            units = [_UNIT.findall(" " + t) if t else [] for t in texts[a:b]]
+            units = [self.model.unit.findall(" " + t) if t else [] for t in texts[a:b]]
             if len(self.made) > self.most:
                 self._forget()
             number, made = self.unit, self.made
-            flat = np.array([number[u] for x in units for u in x], np.int64)
+            flat = np.fromiter(map(number.__getitem__, chain.from_iterable(units)), np.int64)
             n = np.fromiter(map(len, units), np.int64, len(units))
             first = np.cumsum(n) - n
             place = np.arange(len(flat)) - np.repeat(first, n)
@@ -156,10 +171,11 @@ class Encoder:
             stream = (common.mix64(np.repeat(key, n) + place.astype(np.uint64)) % np.uint64(self.streams)).astype(np.int64)
             want = flat * self.streams + stream
             want = want.tolist()
-            need = [w for w in dict.fromkeys(want) if w not in made]
+            whole = list(map(made.get, want))
+            need = list(dict.fromkeys([w for w, x in zip(want, whole, strict=True) if x is None]))
             if need:
                 self._segment(need, [number.names[w // self.streams] for w in need])
-            whole = [made[w] for w in want]
+                whole = list(map(made.__getitem__, want))
             for i in range(b - a):
                 out[a + i] = np.frombuffer(b"".join(whole[first[i] : first[i] + n[i]]), np.uint32)
         return out
