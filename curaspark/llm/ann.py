@@ -48,7 +48,7 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
             number += 1
             return pd.DataFrame({"block": [number], "dim": [dim], "ids": [np.array([i for i, _ in got], np.int64).tobytes()], "x": [np.array([v for _, v in got], np.float64).tobytes()]})
 
-        for batch in batches:
+        for batch in common.leanly(batches):
             for i, v in zip(batch["vec_id"], batch["embedding"], strict=True):
                 held.setdefault(len(v), []).append((i, v))
                 if len(held[len(v)]) == rows:
@@ -111,7 +111,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: in
     pairs = meets.join(q, "qb").join(c.drop("dim"), "block")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in common.leanly(batches):
             for r in batch.itertuples():
                 a, b = (np.frombuffer(x, np.float64).reshape(-1, r.dim) for x in (r.qx, r.x))
                 qid, cid = np.frombuffer(r.qids, np.int64), np.frombuffer(r.ids, np.int64)
@@ -131,7 +131,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: in
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One heap of k for each query of the task's share of queries."""
         heaps: dict[int, list] = {}
-        for batch in batches:
+        for batch in common.leanly(batches):
             for i, v, s in zip(batch["query_id"].tolist(), batch["vec_id"].tolist(), batch["score"].tolist(), strict=True):
                 push(heaps.setdefault(i, []), s, v)
         rows = [(i, r, -v, -s) for i, h in heaps.items() for r, (s, v) in enumerate(sorted(h, reverse=True), 1)]

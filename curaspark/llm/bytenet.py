@@ -167,7 +167,7 @@ def classify(docs: DataFrame, net: ByteNet, threshold: float = 0.3) -> DataFrame
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in common.leanly(batches):
             yield pd.Series(net.score([t or "" for t in batch]))
 
     s = F.col("__score")

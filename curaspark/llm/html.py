@@ -198,7 +198,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in common.leanly(batches):
             yield pd.Series([main_text(x) if x else "" for x in batch], dtype=object)
 
     out = pages.withColumn("__text", read.asNondeterministic()(F.col("html").cast("string")))

@@ -77,7 +77,7 @@ def _sets(docs: DataFrame, size: int, keep) -> DataFrame:
     """doc_id, th, node, n and what keep(set) takes of the set."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+        for x in common.leanly(batches):
             sets = shingle_sets([t or "" for t in x["text"]], size)
             yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "th": x["th"], "node": np.array([set_key(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int64), "hashes": [keep(s) for s in sets]})
 

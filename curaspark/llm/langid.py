@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in common.leanly(batches):
             texts = [t or "" for t in batch]
             lang, score = [], []
             for a in range(0, len(texts), 256):

@@ -178,7 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN,
         part = TaskContext.get().partitionId()
         packer, encoder = Packer(part << 32, seq_len, open_windows, min_piece), _encoder(tokenizer_path)
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in common.leanly(batches):
             for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
                 packer.add(None if doc is pd.NA else int(doc), np.concatenate([encoder.encode(text or ""), end]))
             yield frame(packer.take(), part, [], [])

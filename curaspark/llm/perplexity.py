@@ -88,7 +88,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, size = np.zeros(CODES, np.uint32), 0
-        for batch in batches:
+        for batch in common.leanly(batches):
             texts = [t for t in batch["text"] if t]
             for a, b in common.slices(texts, 2 * common.SLICE_CHARS):
                 codes, n = np.unique(gram_codes(texts[a:b])[0], return_counts=True)
@@ -236,7 +236,7 @@ def log_perplexity(model: KneserNey):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         held.append(model)
-        for batch in batches:
+        for batch in common.leanly(batches):
             texts = [t or "" for t in batch]
             yield pd.Series(np.concatenate([held[0].perplexity(texts[a:b]) for a, b in common.slices(texts)] or [np.zeros(0)]))
 
@@ -282,7 +282,7 @@ def quality_rules(docs: DataFrame, lower: float = 5.0, upper: float = 4.0, short
     @F.pandas_udf(kind)
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         held.append(model)
-        for text, lang in batches:
+        for text, lang in common.leanly(batches):
             texts = [t or "" for t in text]
             parts = []
             for a, b in common.slices(texts):

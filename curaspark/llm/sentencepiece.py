@@ -307,7 +307,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         encoder = _encoder(model_path, dropout, seed, streams)
-        for text, doc in batches:
+        for text, doc in common.leanly(batches):
             yield pd.Series([x.view(np.int32) for x in encoder.encode([t or "" for t in text], doc.tolist())])
 
     out = docs.withColumn("__ids", run.asNondeterministic()(F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
@@ -321,7 +321,7 @@ def decode(rows: DataFrame, model_path: str) -> DataFrame:
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _model(model_path)
-        for batch in batches:
+        for batch in common.leanly(batches):
             yield pd.Series(["" if x is None else model.decode(np.asarray(x)) for x in batch], dtype=object)
 
     out = rows.withColumn("__text", run.asNondeterministic()(F.col("ids")))
