@@ -1,8 +1,8 @@
 """Quality rules: counted features of a text, and a perplexity band under a modified Kneser-Ney model of its corpus.
 
-The model works on 64 symbol classes of characters (``symbols``), so a 4-gram is one of 2**24 codes: that bounds
-every table, whatever the corpus. Spark counts the 4-grams of all texts; lower orders are Kneser-Ney continuation counts
-of those. Probabilities and back-off weights stand in arrays sorted by hashed n-gram. A second pass makes exact
+The model works on symbols of 6 bits: a frequent character of ASCII is one, any other two to five, and no two characters
+share their symbols. Spark counts the n-grams (``ORDER`` symbols) of all texts, none left out, so the tables grow with the
+corpus; lower orders are Kneser-Ney continuation counts of those. Probabilities and back-off weights stand in arrays sorted by hashed n-gram. A second pass makes exact
 histograms of log perplexity by language; a band around each language's median, from ``lower`` to ``upper`` robust standard
 deviations and wider for short texts, decides what the third pass keeps.
 
@@ -12,7 +12,6 @@ Defined results: a null or empty text has zero counts and fails the base rules;
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,84 +21,94 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER, BITS = 4, 6
-CODES = 1 << ORDER * BITS
+#: ORDER * BITS may be 56 at most, see _key.
+ORDER, BITS = 6, 6
+#: Distinct n-grams that a counting task holds before it adds them up, and hands them on if half of them are left.
+HELD_GRAMS = 3_000_000
 #: Histogram of log perplexity: buckets a nat, and the most nats.
 FINE, MOST_NATS = 128, 8
 SYMBOL_BYTES = np.frombuffer(b"#*$%&|<>", np.uint8)
 
 
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point: 0 text start, 1 blank, 2 newline, 3 digit, a-z, A-Z, other letters by rest, signs."""
-    t = np.full(0x110000, 63, np.uint8)
-    for c in range(0x3000):
-        kind = unicodedata.category(chr(c))
-        if kind[0] == "L":
-            t[c] = 56 + c % 4
-        elif kind[0] == "N":
-            t[c] = 3
-        elif kind[0] == "P":
-            t[c] = 60
-        elif kind[0] == "S":
-            t[c] = 62
-    t[0x3000:0xE000] = 56 + np.arange(0x3000, 0xE000) % 4
-    t[[9, 11, 12, 13, 32, 0xA0]] = 1
-    t[10] = 2
-    t[ord("a") : ord("z") + 1] = 4 + np.arange(26)
-    t[ord("A") : ord("Z") + 1] = 30 + np.arange(26)
-    t[ord("!")] = 61
-    t[[ord(c) for c in "#*$%&|<>@"]] = 62
-    return t
-
-
-_TABLE: list[np.ndarray] = []
+def _symbol_tables() -> tuple[np.ndarray, np.ndarray]:
+    """First symbol of each code point, and how many symbols it takes; what follows holds its low bits, 6 a symbol.
+
+    0 text start (code point 0x110000), 1 blank, 2 newline, 3 full stop, 4-29 a-z, 30-55 A-Z; 56-59 lead the rest below
+    256, 60 below 2**12, 61 below 2**18, 62 all others. No two characters share their symbols."""
+    lead, size = np.full(0x110001, 62, np.uint8), np.full(0x110001, 5, np.uint8)
+    for top, symbol, n in ((1 << 18, 61, 4), (1 << 12, 60, 3)):
+        lead[:top], size[:top] = symbol, n
+    lead[:256], size[:256] = 56 + np.arange(256) // 64, 2
+    alone = [0x110000, *map(ord, " \n."), *range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]
+    lead[alone], size[alone] = np.arange(56), 1
+    return lead, size
+
+
+_TABLE: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """4-gram code of each character (after three text starts), and the bounds of each text's codes."""
+    """n-gram code of each symbol (after ORDER - 1 text starts), and the bounds of each text's codes."""
     if not _TABLE:
-        _TABLE.append(_symbol_table())
+        _TABLE.append(_symbol_tables())
     coded = [t.encode("utf-32-le", "surrogatepass") for t in texts]
     pad = ORDER - 1
     n = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    raw = np.frombuffer((b"\xff\xff\0\0" * pad).join([b"", *coded]) if coded else b"", np.uint32)
-    s = _TABLE[0][raw].astype(np.uint32)
-    starts = np.cumsum(n + pad) - n  # of each text's own characters
-    for k in range(pad):
-        s[starts - 1 - k] = 0
+    raw = np.frombuffer((b"\0\0\x11\0" * pad).join([b"", *coded]) if coded else b"", np.uint32)
+    lead, size = (t[raw] for t in _TABLE[0])
+    at = np.cumsum(size, dtype=np.int64)  # behind each character's symbols
+    s = np.zeros(int(at[-1]) if len(at) else 0, np.int64)
+    s[at - size] = lead
+    for k in range(1, 5):
+        more = np.flatnonzero(size > k)
+        s[at[more] - k] = raw[more] >> np.uint32(BITS * (k - 1)) & np.uint32(63)
+    ends = np.cumsum(n + pad)  # of each text's characters, and the starts before it
+    behind = np.concatenate([[0], at])
+    first, last = behind[ends - n], behind[ends]
     code = s.copy()
     for k in range(1, ORDER):
-        code[k:] |= s[:-k] << np.uint32(BITS * k) if len(s) > k else 0
+        code[k:] |= s[:-k] << (BITS * k) if len(s) > k else 0
     own = np.ones(len(s), bool)
     for k in range(pad):
-        own[starts - 1 - k] = False
-    return code[own], np.concatenate([[0], np.cumsum(n)])
+        own[first - 1 - k] = False
+    return code[own], np.concatenate([[0], np.cumsum(last - first)])
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """code, n: how often each 4-gram stands in all texts. A task keeps one counter of 2**24 numbers, 64 MB."""
-    most = 1 << 31  # symbols after which the 32-bit counters are handed on
+    """code, n: how often each n-gram stands in all texts. A task hands on its counts when it holds HELD_GRAMS of them."""
 
-    def rows(total: np.ndarray) -> Iterator[pd.DataFrame]:
-        seen = np.flatnonzero(total)
-        for a in range(0, len(seen), 100_000):
-            part = seen[a : a + 100_000]
-            yield pd.DataFrame({"code": part.astype(np.int32), "n": total[part].astype(np.int64)})
+    def rows(held: list) -> Iterator[pd.DataFrame]:
+        codes, n = _summed(held)
+        for a in range(0, len(codes), 100_000):
+            yield pd.DataFrame({"code": codes[a : a + 100_000], "n": n[a : a + 100_000]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, size = np.zeros(CODES, np.uint32), 0
+        held, size = [], 0
         for batch in common.leanly(batches):
             texts = [t for t in batch["text"] if t]
             for a, b in common.slices(texts, 2 * common.SLICE_CHARS):
-                codes, n = np.unique(gram_codes(texts[a:b])[0], return_counts=True)
-                if size + int(n.sum()) >= most:
-                    yield from rows(total)
-                    total, size = np.zeros(CODES, np.uint32), 0
-                total[codes] += n.astype(np.uint32)
-                size += int(n.sum())
-        yield from rows(total)
-
-    return docs.select("text").mapInPandas(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+                place, codes = pd.factorize(gram_codes(texts[a:b])[0])
+                held.append((codes, np.bincount(place, minlength=len(codes))))
+                size += len(codes)
+                if size > HELD_GRAMS:
+                    held = [_summed(held)]
+                    size = len(held[0][0])
+                    if size > HELD_GRAMS // 2:
+                        yield from rows(held)
+                        held, size = [], 0
+        if held:
+            yield from rows(held)
+
+    return docs.select("text").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes of several counts, and their sums."""
+    code, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    order = np.argsort(code)
+    code, n = code[order], n[order]
+    head = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[head], np.add.reduceat(n, head) if len(head) else n
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -113,7 +122,7 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 
 
 def _key(order: int, code: np.ndarray) -> np.ndarray:
-    return common.mix64(code.astype(np.uint64) | np.uint64(order << 40))
+    return common.mix64(code.astype(np.uint64) | np.uint64(order << 56))
 
 
 class KneserNey:
@@ -151,7 +160,7 @@ class KneserNey:
         return np.where(self.keys[at] == k, self.values[at], np.float32(default))
 
     def log_p(self, code: np.ndarray) -> np.ndarray:
-        """Natural log probability of the last symbol of each 4-gram."""
+        """Natural log probability of the last symbol of each n-gram."""
         out, open_, add = np.full(len(code), np.nan, np.float32), np.arange(len(code)), np.zeros(len(code), np.float32)
         for k in range(ORDER, 0, -1):
             p = self._find(k, code[open_] & ((1 << k * BITS) - 1), np.nan)
@@ -165,21 +174,15 @@ class KneserNey:
         return out
 
     def perplexity(self, texts: list[str]) -> np.ndarray:
-        """Log perplexity a symbol of each text; 0 for empty ones. Each distinct 4-gram of the slice is looked up once."""
+        """Log perplexity a symbol of each text; 0 for empty ones. Each distinct n-gram of the slice is looked up once."""
         code, bounds = gram_codes(texts)
         if not len(code):
             return np.zeros(len(texts))
-        seen = np.unique(code)
-        if not hasattr(self, "scratch"):
-            self.scratch = np.zeros(CODES, np.float32)
-        self.scratch[seen] = self.log_p(seen.astype(np.int64))
-        lp = np.concatenate([[0.0], np.cumsum(self.scratch[code], dtype=np.float64)])
+        place, seen = pd.factorize(code)
+        lp = np.concatenate([[0.0], np.cumsum(self.log_p(seen)[place], dtype=np.float64)])
         n = np.diff(bounds)
         return -(lp[bounds[1:]] - lp[bounds[:-1]]) / np.maximum(n, 1)
 
-    def __getstate__(self):
-        return {"keys": self.keys, "values": self.values}
-
 
 def base_features(texts: list[str]) -> pd.DataFrame:
     """Counts of the base rules; see the columns. All over whole texts."""
@@ -244,7 +247,7 @@ def log_perplexity(model: KneserNey):
 
 
 def fit(docs: DataFrame) -> KneserNey:
-    """The model of all texts. What reaches the driver is bounded by the 2**24 codes."""
+    """The model of all texts. The driver takes every distinct n-gram, 16 bytes each: the model grows with the corpus."""
     common.small_batches(docs.sparkSession)
     got = count_grams(docs).toArrow()
     return KneserNey(got["code"].to_numpy(), got["n"].to_numpy())
