@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line is a \\n-separated piece of a text; its words are those between blanks, in lower case. Lines of at least
-``min_words`` words take part. A line goes if an earlier one (by doc_id, text hash, line number; null doc_ids last) has
-the same words or lies within one word edit: a word replaced, inserted or deleted. Shorter lines all stay.
+A line is a \\n-separated piece of a text; its words are those between blanks, in lower case, and in scripts without
+blanks (``_UNSPACED``) every character. A line of at least ``exact_words`` words goes if an earlier one (by doc_id, text
+hash, line number; null doc_ids last) has the same words; one of at least ``min_words`` also if an earlier one lies within
+one word edit: a word replaced, inserted or deleted. Empty lines all stay.
 
 1. Equal lines are grouped by hash (aggregated before the shuffle).
 2. Two lines within one edit agree in the first or the second half of the shorter one, so a line that shares no half
@@ -27,13 +28,15 @@ from . import common
 #: Word hashes keep so many bits, so that sums over 2**20 words stay within a long.
 HASH_BITS = 42
 _BLANKS = "[ \\t\\x0B\\f\\r]+"
+_UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 
 
 def normal(text: Column) -> Column:
     """A text in lower case, the words of each of its lines apart by one space; the regular expressions run only over
     texts that hold other blanks than single spaces between words."""
-    low = F.lower(text)
-    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    unspaced = F.rlike(text, F.lit(_UNSPACED))
+    low = F.when(unspaced, F.regexp_replace(F.lower(text), f"({_UNSPACED})", " $1 ")).otherwise(F.lower(text))
+    odd = unspaced | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
     for mark in ("\t", "\x0b", "\f", "\r", "  ", " \n", "\n "):
         odd = odd | F.contains(text, F.lit(mark))
     plain = F.regexp_replace(F.regexp_replace(low, _BLANKS, " "), " ?\n ?", "\n")
@@ -54,12 +57,12 @@ def _position() -> Column:
     return F.struct(F.col("__id").isNull().alias("lost"), F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("pos").alias("pos"))
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+def _lines(docs: DataFrame, least: int) -> DataFrame:
     """__id, __th, pos, norm, n (words) and h (hash of norm) of every line that takes part."""
     base = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"), normal(F.col("text")).alias("__text"))
     rows = base.select("__id", "__th", F.posexplode(F.split("__text", "\n")).alias("pos", "norm"))
     n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return rows.withColumn("n", n).filter(F.col("n") >= min_words).withColumn("h", F.xxhash64("norm"))
+    return rows.withColumn("n", n).filter((F.col("n") >= least) & (F.col("norm") != "")).withColumn("h", F.xxhash64("norm"))
 
 
 def _word_hash(word: Column, at: Column) -> Column:
@@ -92,12 +95,12 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (long - short <= 1) & (run(a, b) + run(F.reverse(a), F.reverse(b)) >= long - 1)
 
 
-def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None = None) -> DataFrame:
     """__id, __th, gone: the numbers (from 0) of the lines to drop, for every document that loses any."""
-    lines = _lines(docs, min_words)
-    keys = {f"k{i}": k for i, k in enumerate(_half_keys(F.col("norm"), F.col("n")))}
+    lines = _lines(docs, min_words if exact_words is None else exact_words)
+    keys = {f"k{i}": F.when(F.col("n") >= min_words, k) for i, k in enumerate(_half_keys(F.col("norm"), F.col("n")))}
     rows = common.cut(lines.select("__id", "__th", "pos", "h", *[k.alias(c) for c, k in keys.items()]))
-    half = rows.select("h", *keys).distinct().select("h", F.explode(F.array(*keys)).alias("key"))
+    half = rows.filter("k0 is not null").select("h", *keys).distinct().select("h", F.explode(F.array(*keys)).alias("key"))
     shared = half.groupBy("key").agg(F.min("h").alias("p"), F.max("h").alias("q")).filter("p < q").select("key")
     partners = common.cut(half.join(shared, "key").select("h").distinct())
     texts = lines.withColumn("__bucket", common.bucket(F.col("h"))).join(common.buckets(partners, "h"), "__bucket", "left_semi").groupBy("h", "n").agg(F.min(_position()).alias("first"), F.min("norm").alias("norm"))
@@ -123,9 +126,10 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     return out.groupBy("__id", "__th").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """docs with the text of each document less the lines that an earlier line makes redundant, and n_lines_dropped."""
-    gone = common.cut(dropped_lines(docs, min_words).select(F.col("__id").alias("__d"), F.col("__th").alias("__t"), F.col("gone").alias("__gone")))
+def dedup_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None = None) -> DataFrame:
+    """docs with the text of each document less the lines that an earlier line makes redundant, and n_lines_dropped.
+    exact_words: least words of a line that goes if it repeats an earlier one, min_words if not given."""
+    gone = common.cut(dropped_lines(docs, min_words, exact_words).select(F.col("__id").alias("__d"), F.col("__th").alias("__t"), F.col("gone").alias("__gone")))
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")}).withColumn("__bucket", F.coalesce(common.bucket(F.col("__th")), F.lit(-1)))
     touched = common.buckets(gone, "__t")
     both = keyed.join(touched, "__bucket", "left_semi").join(gone, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__t")), "left")

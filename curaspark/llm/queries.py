@@ -33,7 +33,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"), exact_words=1)
     return out.select("doc_id", "text", "n_lines_dropped")
 
 
