@@ -2,8 +2,9 @@
 
 A document's set is the 64-bit hashes of its distinct word n-grams; documents of one set are one node. Steps, each exact:
 
-1. A node can only have links if at most ``n - ceil(t n)`` of its n-grams stand in no other node. That is tested on the
-   smallest ``sketch`` of its hashes: two aggregations count, for each node, the n-grams that nobody else has.
+1. A node can only have links if at most ``n - ceil(t n)`` of its n-grams stand in no other node. That is tested on its
+   n-grams whose hash lies below one threshold for all nodes, ``sketch`` of the range, so that an n-gram is looked at in
+   all nodes that hold it or in none: two aggregations count, for each node, the n-grams that nobody else has.
 2. The full sets of the nodes left are put in one global order, rare n-grams first (document frequency, then hash).
    Nodes that share an n-gram of their prefixes may link; components of that relation are the candidate groups.
 3. Candidate groups are cut into blocks of bounded size, ordered by set size. A block's sets stand in a trie; each set
@@ -69,6 +70,11 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _threshold(sketch: float) -> int:
+    """The hash that so large a share of all hashes lies below."""
+    return min(int(sketch * 2.0**64), (1 << 64) - 1) - (1 << 63)
+
+
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th"))
 
@@ -278,7 +284,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, sketch
     source = _documents(docs)
 
     def low(s: np.ndarray) -> np.ndarray:
-        return s[: max(len(s) - _needed(len(s), percent) + 1, int(np.ceil(sketch * len(s))))]
+        return s[: np.searchsorted(s, _threshold(sketch))]
 
     about = common.cut(_sets(source, size, lambda s: None).drop("hashes"))
     tokens = _sets(source, size, low).select("node", F.explode("hashes").alias("h"))
