@@ -3,7 +3,7 @@
 A page is cut into blocks of text, each with its path of block-level elements from the root. For every distinct path the
 text length, punctuation, link text and number of blocks are summed; the two ratios (text and punctuation per block) are
 smoothed over the paths that follow each other in the page, fused into one score, and paths above a share of the best
-score hold content. Elements that name themselves as boilerplate (by tag, role, class or id) have weight 0, articles and
+score hold content, and all of it is kept. Elements that name themselves as boilerplate (by tag, role, class or id) have weight 0, articles and
 main parts a bonus. The smallest element that holds nearly all content then gives its other blocks too (headings, short
 paragraphs), as long as it is not the whole body.
 
@@ -171,7 +171,7 @@ def main_text(page: str, smooth: float = 0.2, share: float = 0.5) -> str:
     if holder.main or holder.tag not in ("", "html", "body"):
         while holder.parent is not None and holder.parent.main:
             holder = holder.parent
-        keep = [not e.out and _within(e, holder) for _, e, _ in found]
+        keep = [c or (not e.out and _within(e, holder)) for (_, e, _), c in zip(found, chosen, strict=True)]
     else:
         keep = [c or (e.tag in _HEADING and not e.out) for (_, e, _), c in zip(found, chosen, strict=True)]
     return "\n".join(t for (t, _, _), c in zip(found, keep, strict=True) if c)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from curaspark.llm import jaccard, lines, perplexity
+from curaspark.llm import html, jaccard, lines, perplexity
 
 
 def test_no_two_characters_share_symbols():
@@ -35,3 +35,9 @@ def test_sketch_loses_no_link_at_the_bound(spark):
             rows += [(d, " ".join(w[: n + 4])), (d + 1, " ".join(w))]
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(x.component_id == x.doc_id // 10 * 10 for x in got) and len(got) == len(rows)
+
+
+def test_html_keeps_every_chosen_block():
+    long, short = "One long sentence, with marks. " * 300, "A second part, of its own. " * 30
+    for page in (f"<body><div id=a><p>{long}</p></div><div id=b><p>{short}</p></div>", f"<body><section><p>{long}</p></section><section><p>{short}</p></section>"):
+        assert html.main_text(page) == f"{long.strip()}\n{short.strip()}"
