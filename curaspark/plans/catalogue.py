@@ -350,6 +350,10 @@ def numbered_idx(spark, sf_dir):
     return idx(spark, sf_dir).withColumn("embedding_row", F.col("vec_id"))
 
 
+#: As configured in the reference.
+C_VALUES = [0.01, 0.1, 1.0, 10.0, 100.0]
+
+
 @query()
 def linear_probe(spark, sf_dir):
     return rounded(models.linear_probes(numbered_idx(spark, sf_dir), [0.01, 1.0, 100.0])[0])
@@ -357,7 +361,7 @@ def linear_probe(spark, sf_dir):
 
 @query()
 def repeated_probe(spark, sf_dir):
-    return rounded(evaluation.stability_summary(models.repeated_probes(numbered_idx(spark, sf_dir), [0.1, 10.0], outer=3, repeats=2, inner=2)))
+    return rounded(evaluation.stability_summary(models.repeated_probes(numbered_idx(spark, sf_dir), C_VALUES, outer=5, repeats=5, inner=3)))
 
 
 @query()
