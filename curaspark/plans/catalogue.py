@@ -356,7 +356,7 @@ C_VALUES = [0.01, 0.1, 1.0, 10.0, 100.0]
 
 @query()
 def linear_probe(spark, sf_dir):
-    return rounded(models.linear_probes(numbered_idx(spark, sf_dir), [0.01, 1.0, 100.0])[0])
+    return rounded(models.linear_probes(numbered_idx(spark, sf_dir), C_VALUES)[0])
 
 
 @query()
@@ -366,7 +366,7 @@ def repeated_probe(spark, sf_dir):
 
 @query()
 def kmeans(spark, sf_dir):
-    found = models.kmeans(numbered_idx(spark, sf_dir), 4, seeds=3)
+    found = models.kmeans(numbered_idx(spark, sf_dir), 4, seeds=50)
     return rounded(evaluation.clustering_agreement(found, "class_name", "kmeans_cluster"))
 
 
