@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curaspark.llm import bytenet, jaccard, lines, packing, perplexity
-from curaspark.llm.common import ensure_checkpoint_dir, table
+from curaspark.llm import bytenet, common, jaccard, lines, packing, perplexity
+from curaspark.llm.common import table
 from curaspark.llm.queries import tokenizer_path
 
 
@@ -52,15 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written as Parquet in the shared folder and read again. A new folder for each run."""
-    import uuid
-
-    ensure_checkpoint_dir(spark)
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    base = f"{shared.rstrip('/')}/corpus_pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{k}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages on documents, each written as Parquet in the shared folder and read again. A stage's input and what it
+    left there go once its result is written; the last stage's result stays."""
+    docs, before, folder = table(spark, sf_dir, "documents"), common.written(), None
+    for name, stage in STAGES:
+        folder = common.new_folder(spark, f"corpus_pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        common.clean(spark, but=before | {folder})
+        docs = spark.read.parquet(folder)
     return docs

@@ -102,7 +102,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: in
     pairing of block numbers is dealt.
     """
     spark = vectors.sparkSession
-    common.small_batches(spark)
     c = common.cut(blocks(usable(vectors), candidate_block))
     q = common.cut(blocks(usable(queries), query_block)).select(F.col("block").alias("qb"), "dim", F.col("ids").alias("qids"), F.col("x").alias("qx"))
     left = q.select("qb", "dim", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("share"))

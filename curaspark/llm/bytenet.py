@@ -163,7 +163,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1000, longest: int = 1
 
 def classify(docs: DataFrame, net: ByteNet, threshold: float = 0.3) -> DataFrame:
     """All columns of docs, with score (0 to 1) and predicted (1 if score >= threshold)."""
-    common.small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
-import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,22 +24,126 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; set one only where none is set (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, or the one set on the context. There is no other: a folder
+    of one machine would lose its files with the machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+#: What this process has written to shared folders and not removed yet.
+_written: set[str] = set()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends in the shared folder and survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Reliable checkpoint: lineage ends in the shared folder and survives lost executors. Shuffle files of what led to it
+    go as soon as it is written."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        out = df.select("*").checkpoint()
+    _written.add(_checkpoint_file(out))
+    return out
+
+
+def _checkpoint_file(df: DataFrame) -> str:
+    return df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: smaller than a checkpoint where there are texts, and
+    read by columns."""
+    folder = new_folder(df.sparkSession, name)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the actions inside, given back afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written.discard(folder)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Remove checkpoints that nothing needs any more."""
+    for df in frames:
+        remove(df.sparkSession, _checkpoint_file(df))
+
+
+def written() -> set[str]:
+    return set(_written)
+
 
+def clean(spark: SparkSession, but: set[str] = frozenset()) -> None:
+    """Remove what operators have left in the shared folder, but for some. A result that was not written elsewhere yet is
+    read from there, so this is for callers that have written theirs."""
+    for folder in _written - set(but):
+        remove(spark, folder)
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished steps now, not when the driver next happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def local_path(uri: str) -> str | None:
+    """The path of a file on a local mount, None for other stores."""
+    kind, mark, rest = uri.partition(":")
+    if not mark or "/" in kind:
+        return uri
+    return "/" + rest.lstrip("/") if kind == "file" else None
+
+
+def _store(uri: str):
+    from pyarrow import fs
+
+    at = local_path(uri)
+    return (fs.LocalFileSystem(), at) if at is not None else fs.FileSystem.from_uri(uri)
+
+
+def write_file(uri: str, data: bytes) -> None:
+    """Written beside and moved, so that a task that is run again or twice leaves a whole file."""
+    store, path = _store(uri)
+    aside = f"{path}.{uuid.uuid4().hex}"
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(aside) as f:
+        f.write(data)
+    store.move(aside, path)
+
+
+def read_file(uri: str):
+    """The bytes of a file, None if there is none."""
+    store, path = _store(uri)
+    try:
+        with store.open_input_file(path) as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
+def map_file(uri: str):
+    """A file of a local mount as mapped memory, None if there is none."""
+    try:
+        return pa.memory_map(local_path(uri)).read_buffer()
+    except FileNotFoundError:
+        return None
 
 
 #: Buckets of a prefilter: so many rows at most are broadcast, whatever the number of values.
@@ -55,9 +160,10 @@ def buckets(values: DataFrame, column: str) -> DataFrame:
     return F.broadcast(values.select(bucket(F.col(column)).alias("__bucket")).distinct())
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Text columns need far fewer rows in a batch than Arrow's default of 10,000."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def small_batches(spark: SparkSession):
+    """For actions inside: text columns need fewer rows in a batch than Arrow's default of 10,000. Lazy results run with
+    the session's own settings; those bound a batch by bytes."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def trim() -> None:

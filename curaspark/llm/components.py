@@ -34,4 +34,3 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         seen = state
         e = common.cut(_small_star(_large_star(e)))
-        common.release(e.sparkSession)

@@ -194,7 +194,6 @@ def _within(e: _Element | None, holder: _Element) -> bool:
 
 def extract(pages: DataFrame) -> DataFrame:
     """All columns of pages, with text (the main text) and n_chars."""
-    common.small_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

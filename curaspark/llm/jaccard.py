@@ -264,7 +264,6 @@ def node_links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     grouped = rows.drop("prefix").join(groups.withColumnRenamed("root", "group"), "node")
     sizes = grouped.groupBy("group").agg(F.count("*").alias("in_group"))
     grouped = common.cut(_blocks(grouped.join(sizes, "group").withColumn("root", F.col("node")), block))
-    common.release(sets.sparkSession)
     links = common.cut(_join_blocks(grouped, percent))
     large = common.cut(grouped.filter(F.col("in_group") > block))
     if not large.isEmpty():
@@ -280,7 +279,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, sketch
     """doc_id, th (xxhash64 of the text), n_shingles, component_id and is_head (the component's first row by doc_id and
     text hash) of every document. See the module's text."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     source = _documents(docs)
 
     def low(s: np.ndarray) -> np.ndarray:
@@ -292,11 +290,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, sketch
     reps = about.filter("n > 0").groupBy("node", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")).alias("r"))
     may = reps.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100))
     may = common.cut(may.select(F.col("r.doc_id").alias("d"), F.col("r.th").alias("t")))
-    common.release(spark)
     near = source.withColumn("__bucket", F.coalesce(common.bucket(F.col("th")), F.lit(-1))).join(common.buckets(may, "t"), "__bucket", "left_semi")
     texts = near.join(may, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t"))).select("doc_id", "th", "text")
     sets = common.cut(_sets(texts, size, lambda s: s).dropDuplicates(["node"]).select("node", "n", "hashes"))
-    common.release(spark)
     label = components(node_links(sets, percent, block))
     named = about.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")

@@ -135,7 +135,6 @@ def fit(docs: DataFrame, learn, per_language: int = 300, longest: int = 200_000)
 
 def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
     """All columns of docs, with lang_pred and score."""
-    common.small_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

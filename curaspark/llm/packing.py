@@ -169,7 +169,6 @@ def _encoder(path: str):
 def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, open_windows: int = 48, min_piece: int = 8, merge_partitions: int = 16) -> DataFrame:
     """Pieces of all documents: one row for each, with its sequence and offset. See the module's text."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     id_type = "long"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

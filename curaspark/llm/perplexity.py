@@ -1,18 +1,26 @@
 """Quality rules: counted features of a text, and a perplexity band under a modified Kneser-Ney model of its corpus.
 
-The model works on symbols of 6 bits: a frequent character of ASCII is one, any other two to five, and no two characters
-share their symbols. Spark counts the n-grams (``ORDER`` symbols) of all texts, none left out, so the tables grow with the
-corpus; lower orders are Kneser-Ney continuation counts of those. Probabilities and back-off weights stand in arrays sorted by hashed n-gram. A second pass makes exact
-histograms of log perplexity by language; a band around each language's median, from ``lower`` to ``upper`` robust standard
-deviations and wider for short texts, decides what the third pass keeps.
+The model's n-grams are ``ORDER`` bytes of UTF-8, no character folded. Spark counts those of all texts, none left out, so
+that the tables grow with the corpus. A task hands on one block of counts for each shard; a shard holds all n-grams whose
+fourth and fifth byte hash to it, and with them all their contexts and suffixes of three bytes and more, so that the
+model is made shard by shard. N-grams of four bytes and more that were met once (``LEAST``) leave their mass to the
+back-off, so that junk does not vouch for itself. A shard's probabilities and back-off weights stand in arrays sorted by
+hashed n-gram, in a file of the shared folder; workers map the files, or read one shard at a time where the folder is no
+local mount. What the driver holds is bounded: counts of counts, and the 65,536 pairs of bytes.
+
+One pass judges all texts into a table in the shared folder; exact histograms of log perplexity by language are taken from
+it. A band around each language's median, from ``lower`` to ``upper`` robust standard deviations and wider for short
+texts, decides what is kept.
 
 Defined results: a null or empty text has zero counts and fails the base rules; a null or unusual lang counts as
-``und``; repeated rows are judged one by one; an empty table gives no rows.
+``und``; repeated rows are judged one by one; texts exactly at an end of the band are kept; an empty table gives no rows;
+columns of docs that bear a result's name give way to it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,75 +29,82 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: ORDER * BITS may be 56 at most, see _key.
-ORDER, BITS = 6, 6
+#: Bytes of an n-gram, and the shortest that a shard holds whole.
+ORDER, LOCAL = 6, 3
+#: Fewest times (below ORDER: different bytes before it) that an n-gram of so many bytes is met to have a probability of its own.
+LEAST = {6: 2, 5: 2, 4: 2, 3: 1}
+#: Stands before a text; no byte of UTF-8.
+START = 0xFF
 #: Distinct n-grams that a counting task holds before it adds them up, and hands them on if half of them are left.
 HELD_GRAMS = 3_000_000
+#: Bytes of text whose n-grams are counted or looked up at once.
+PORTION = 1_500_000
 #: Histogram of log perplexity: buckets a nat, and the most nats.
 FINE, MOST_NATS = 128, 8
 SYMBOL_BYTES = np.frombuffer(b"#*$%&|<>", np.uint8)
+_U = np.uint64
 
 
-def _symbol_tables() -> tuple[np.ndarray, np.ndarray]:
-    """First symbol of each code point, and how many symbols it takes; what follows holds its low bits, 6 a symbol.
-
-    0 text start (code point 0x110000), 1 blank, 2 newline, 3 full stop, 4-29 a-z, 30-55 A-Z; 56-59 lead the rest below
-    256, 60 below 2**12, 61 below 2**18, 62 all others. No two characters share their symbols."""
-    lead, size = np.full(0x110001, 62, np.uint8), np.full(0x110001, 5, np.uint8)
-    for top, symbol, n in ((1 << 18, 61, 4), (1 << 12, 60, 3)):
-        lead[:top], size[:top] = symbol, n
-    lead[:256], size[:256] = 56 + np.arange(256) // 64, 2
-    alone = [0x110000, *map(ord, " \n."), *range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]
-    lead[alone], size[alone] = np.arange(56), 1
-    return lead, size
-
-
-_TABLE: list[tuple[np.ndarray, np.ndarray]] = []
-
-
-def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram code of each symbol (after ORDER - 1 text starts), and the bounds of each text's codes."""
-    if not _TABLE:
-        _TABLE.append(_symbol_tables())
-    coded = [t.encode("utf-32-le", "surrogatepass") for t in texts]
-    pad = ORDER - 1
-    n = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    raw = np.frombuffer((b"\0\0\x11\0" * pad).join([b"", *coded]) if coded else b"", np.uint32)
-    lead, size = (t[raw] for t in _TABLE[0])
-    at = np.cumsum(size, dtype=np.int64)  # behind each character's symbols
-    s = np.zeros(int(at[-1]) if len(at) else 0, np.int64)
-    s[at - size] = lead
-    for k in range(1, 5):
-        more = np.flatnonzero(size > k)
-        s[at[more] - k] = raw[more] >> np.uint32(BITS * (k - 1)) & np.uint32(63)
-    ends = np.cumsum(n + pad)  # of each text's characters, and the starts before it
-    behind = np.concatenate([[0], at])
-    first, last = behind[ends - n], behind[ends]
-    code = s.copy()
-    for k in range(1, ORDER):
-        code[k:] |= s[:-k] << (BITS * k) if len(s) > k else 0
-    own = np.ones(len(s), bool)
-    for k in range(pad):
-        own[first - 1 - k] = False
-    return code[own], np.concatenate([[0], np.cumsum(last - first)])
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """code, n: how often each n-gram stands in all texts. A task hands on its counts when it holds HELD_GRAMS of them."""
+def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram (a number of 48 bits, its last byte lowest) that ends at each byte of the joined texts; where each text
+    begins and ends in it. What stands outside these bounds belongs to the starts and ends in START."""
+    coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    pad = bytes([START]) * (ORDER - 1)
+    data = pad + pad.join(coded) + pad + b"\0\0"
+    wide = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
+    codes = wide.astype(np.uint64) >> _U(64 - 8 * ORDER)
+    n = np.fromiter(map(len, coded), np.int64, len(coded))
+    first = np.cumsum(n + ORDER - 1) - n - (ORDER - 1)
+    return codes, first, first + n
+
+
+def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
+    """By the fourth and fifth of six bytes; shards is a power of two, 2**16 at most."""
+    middle = (codes >> _U(8)).astype(np.uint32) & np.uint32(0xFFFF)
+    return (((middle + np.uint32(1)) * np.uint32(2654435761)) >> np.uint32(16)).astype(np.uint16) & np.uint16(shards - 1)
+
+
+def _summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes of several counts, and their sums."""
+    code, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])[: len(code)])
+    return code[head], np.add.reduceat(n, head) if len(head) else n
+
+
+def _counted(sorted_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    head = np.flatnonzero(np.concatenate([[True], sorted_codes[1:] != sorted_codes[:-1]])[: len(sorted_codes)])
+    return sorted_codes[head], np.diff(np.append(head, len(sorted_codes)))
+
+
+def text_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of the texts and how often each stands there."""
+    codes, n = _counted(np.sort(gram_codes(texts)[0]))
+    own = (codes & _U(0xFF)) != START
+    return codes[own], n[own]
+
+
+def count_grams(docs: DataFrame, shards: int) -> DataFrame:
+    """shard, codes, n (little-endian arrays): counts of a shard's n-grams by a task. A task hands on its counts when it
+    holds HELD_GRAMS of them."""
 
     def rows(held: list) -> Iterator[pd.DataFrame]:
         codes, n = _summed(held)
-        for a in range(0, len(codes), 100_000):
-            yield pd.DataFrame({"code": codes[a : a + 100_000], "n": n[a : a + 100_000]})
+        which = shard_of(codes, shards)
+        order = np.argsort(which, kind="stable")
+        codes, n, bounds = codes[order], n[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=shards))])
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            a, b = bounds[k], bounds[k + 1]
+            yield pd.DataFrame({"shard": [k], "codes": [codes[a:b].tobytes()], "n": [n[a:b].astype(np.int64).tobytes()]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for batch in common.leanly(batches):
             texts = [t for t in batch["text"] if t]
-            for a, b in common.slices(texts, 2 * common.SLICE_CHARS):
-                place, codes = pd.factorize(gram_codes(texts[a:b])[0])
-                held.append((codes, np.bincount(place, minlength=len(codes))))
-                size += len(codes)
+            for a, b in common.slices(texts, PORTION):
+                held.append(text_counts(texts[a:b]))
+                size += len(held[-1][0])
                 if size > HELD_GRAMS:
                     held = [_summed(held)]
                     size = len(held[0][0])
@@ -99,21 +114,15 @@ def count_grams(docs: DataFrame) -> DataFrame:
         if held:
             yield from rows(held)
 
-    return docs.select("text").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInPandas(count, "shard int, codes binary, n binary")
 
 
-def _summed(held: list) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct codes of several counts, and their sums."""
-    code, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-    order = np.argsort(code)
-    code, n = code[order], n[order]
-    head = np.flatnonzero(np.diff(code, prepend=-1))
-    return code[head], np.add.reduceat(n, head) if len(head) else n
+def _counts_of_counts(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts 0, 1, 2 and more (Chen and Goodman 1998), bounded for small corpora."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
     if not n1 or not n2:
         return np.array([0, 0.5, 0.5, 0.5])
     y = n1 / (n1 + 2 * n2)
@@ -121,67 +130,206 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d[1:], 1))])
 
 
-def _key(order: int, code: np.ndarray) -> np.ndarray:
-    return common.mix64(code.astype(np.uint64) | np.uint64(order << 56))
+def _shorter(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of ``order`` bytes that end those one byte longer, and how many of these each ends."""
+    return _counted(np.sort(codes & _U((1 << 8 * order) - 1)))
+
+
+def shard_statistics(codes: np.ndarray, n: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Counts of counts for orders ORDER to LOCAL, one after the other; the pairs of bytes that end n-grams of LOCAL
+    bytes, and how many of these each ends."""
+    out = _counts_of_counts(n)
+    for k in range(ORDER - 1, LOCAL - 1, -1):
+        codes, n = _shorter(codes, k)
+        out += _counts_of_counts(n)
+    return (out, *_shorter(codes, LOCAL - 1))
+
+
+class Base:
+    """What all shards share: discounts by order, and the probabilities of pairs of bytes."""
+
+    def __init__(self, counts_of_counts: list[int], pairs: np.ndarray, n: np.ndarray):
+        self.discounts = {k: discounts(*counts_of_counts[4 * i : 4 * i + 4]) for i, k in enumerate(range(ORDER, LOCAL - 1, -1))}
+        pairs = pairs.astype(np.int64)
+        ones, n1 = _shorter(pairs.astype(np.uint64), 1)
+        count = np.zeros((2, 1 << 16))
+        count[1, pairs], count[0, ones.astype(np.int64)] = n, n1
+        p = self._mixed(count[0, :256][None], np.full((1, 256), 1 / 256))
+        self.log_pair = np.log(self._mixed(count[1].reshape(256, 256), p)).astype(np.float32).ravel()
+
+    @staticmethod
+    def _mixed(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Interpolated probabilities of each context (row); those of a context that was not met are the lower ones."""
+        d = discounts(*_counts_of_counts(count))[np.minimum(count, 3).astype(int)]
+        total = np.maximum(count.sum(1, keepdims=True), 1)
+        rest = np.where(count.sum(1, keepdims=True) > 0, d.sum(1, keepdims=True) / total, 1.0)
+        return (count - d) / total + rest * lower
+
+
+def _keys(order: int, codes: np.ndarray) -> np.ndarray:
+    return common.mix64(codes | _U(order << 56))
+
 
+class Shard:
+    """For each order k from LOCAL to ORDER: hashes of n-grams and log probabilities; hashes of contexts and log back-off
+    weights; each pair of arrays sorted by hash."""
 
-class KneserNey:
-    """Interpolated modified Kneser-Ney probabilities in arrays sorted by hashed n-gram."""
+    def __init__(self, arrays: list[np.ndarray]):
+        self.arrays = arrays
 
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        code, n = np.asarray(code, np.int64), np.asarray(n, np.int64)
-        grams, counts = {ORDER: code}, {ORDER: n}
-        for k in range(ORDER - 1, 0, -1):  # types one symbol shorter, counted by what can stand before them
-            grams[k], counts[k] = np.unique(grams[k + 1] & ((1 << k * BITS) - 1), return_counts=True)
-        below = np.full(1 << BITS, 1 / (1 << BITS))  # p by code of the order below
-        below_codes = np.arange(1 << BITS)
-        keys, values = [], []
-        for k in range(1, ORDER + 1):
+    @staticmethod
+    def of(codes: np.ndarray, n: np.ndarray, base: Base) -> Shard:
+        grams, counts = {ORDER: codes}, {ORDER: n}
+        for k in range(ORDER - 1, LOCAL - 1, -1):
+            grams[k], counts[k] = _shorter(grams[k + 1], k)
+        out = []
+        for k in range(LOCAL, ORDER + 1):
             g, c = grams[k], counts[k].astype(float)
-            order = np.argsort(g)
-            g, c = g[order], c[order]
-            d = discounts(counts[k])[np.minimum(c, 3).astype(int)]
-            ctx, inv = np.unique(g >> BITS, return_inverse=True)
-            total, rest = np.bincount(inv, c), np.bincount(inv, d)
-            lower = below[np.searchsorted(below_codes, g & ((1 << max(k - 1, 1) * BITS) - 1))]
-            p = (c - d) / total[inv] + rest[inv] / total[inv] * lower
-            keys += [_key(k, g), _key(k + 8, ctx)]
-            values += [np.log(p), np.log(rest / total)]
-            below, below_codes = p, g
-        keys, values = np.concatenate(keys), np.concatenate(values)
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float32)
-
-    def _find(self, order: int, code: np.ndarray, default: float) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(code), default, np.float32)
-        k = _key(order, code)
-        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-        return np.where(self.keys[at] == k, self.values[at], np.float32(default))
-
-    def log_p(self, code: np.ndarray) -> np.ndarray:
-        """Natural log probability of the last symbol of each n-gram."""
-        out, open_, add = np.full(len(code), np.nan, np.float32), np.arange(len(code)), np.zeros(len(code), np.float32)
-        for k in range(ORDER, 0, -1):
-            p = self._find(k, code[open_] & ((1 << k * BITS) - 1), np.nan)
-            hit = ~np.isnan(p)
-            out[open_[hit]] = p[hit] + add[open_[hit]]
-            open_ = open_[~hit]
-            if not len(open_):
+            if k == LOCAL:
+                lower = np.exp(base.log_pair[(g & _U(0xFFFF)).astype(np.int64)].astype(float))
+            else:
+                lower = p[np.searchsorted(grams[k - 1], g & _U((1 << 8 * (k - 1)) - 1))]  # noqa: F821  of the round before
+            contexts, where = np.unique(g >> _U(8), return_inverse=True)
+            total = np.bincount(where, c)
+            own = c >= LEAST[k]
+            taken = np.where(own, c - base.discounts[k][np.minimum(c, 3).astype(int)], 0) / total[where]
+            rest = np.maximum(1 - np.bincount(where, taken), 1e-9)
+            p = taken + rest[where] * lower
+            for key, value in ((_keys(k, g[own]), p[own]), (_keys(k + 8, contexts), rest)):
+                order = np.argsort(key)
+                out += [key[order], np.log(value[order]).astype(np.float32)]
+        return Shard(out)
+
+    def log_p(self, codes: np.ndarray, base: Base) -> np.ndarray:
+        """Natural log probability of the last byte of each n-gram."""
+        out, left, add = np.zeros(len(codes), np.float32), None, None
+        for k in range(ORDER, LOCAL - 1, -1):
+            keys, values, contexts, rest = self.arrays[4 * (k - LOCAL) : 4 * (k - LOCAL) + 4]
+            mine = codes if left is None else codes[left] & _U((1 << 8 * k) - 1)
+            hit, at = _find(keys, _keys(k, mine))
+            if left is None:
+                np.copyto(out, values[at] if len(values) else 0, where=hit)
+                left = np.flatnonzero(~hit)
+                add = np.zeros(len(left), np.float32)
+                mine = codes[left]
+            else:
+                out[left[hit]] = values[at[hit]] + add[hit]
+                left, add, mine = left[~hit], add[~hit], mine[~hit]
+            if not len(left):
                 return out
-            add[open_] += self._find(k + 8, (code[open_] & ((1 << k * BITS) - 1)) >> BITS, 0.0)
-        out[open_] = add[open_] - np.float32(BITS * np.log(2))
+            hit, at = _find(contexts, _keys(k + 8, mine >> _U(8)))
+            add[hit] += rest[at[hit]]
+        out[left] = base.log_pair[(codes[left] & _U(0xFFFF)).astype(np.int64)] + add
+        return out
+
+    def to_bytes(self) -> bytes:
+        return np.array([len(x) for x in self.arrays], np.int64).tobytes() + b"".join(x.tobytes() for x in self.arrays)
+
+    @staticmethod
+    def from_buffer(data) -> Shard:
+        size, out = 4 * (ORDER - LOCAL + 1), []
+        at = 8 * size
+        for i, n in enumerate(np.frombuffer(data, np.int64, size).tolist()):
+            kind = np.float32 if i % 2 else np.uint64
+            out.append(np.frombuffer(data, kind, n, at))
+            at += out[-1].nbytes
+        return Shard(out)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each is among the sorted keys, and where."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
+class Model:
+    """A base and shards, given by number: in memory, or files of a folder."""
+
+    def __init__(self, base: Base, shards: int, folder: str | None = None, held: dict[int, Shard] | None = None):
+        self.base, self.shards, self.folder, self.held = base, shards, folder, held
+        self._nothing = Shard([np.zeros(0, np.float32 if i % 2 else np.uint64) for i in range(4 * (ORDER - LOCAL + 1))])
+
+    @staticmethod
+    def of(texts: list[str], shards: int = 1) -> Model:
+        """The model of a few texts, in memory."""
+        codes, n = text_counts(texts)
+        which = shard_of(codes, shards)
+        parts = {k: (codes[which == k], n[which == k]) for k in range(shards)}
+        found = [shard_statistics(*x) for x in parts.values()]
+        base = Base(np.sum([x[0] for x in found], 0).tolist(), *_summed([x[1:] for x in found]))
+        return Model(base, shards, held={k: Shard.of(*x, base) for k, x in parts.items()})
+
+    def shard(self, k: int) -> Shard:
+        if self.held is not None:
+            return self.held.get(k, self._nothing)
+        data = _mapped(self.folder, k)
+        return self._nothing if data is None else Shard.from_buffer(data)
+
+    def log_p(self, codes: np.ndarray) -> np.ndarray:
+        """Looked up shard by shard, so that a shard is held for as long as it is needed."""
+        which = shard_of(codes, self.shards)
+        order = np.argsort(which, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=self.shards))]).tolist()
+        dealt = codes[order]
+        found = np.empty(len(codes), np.float32)
+        for k in range(self.shards):
+            a, b = bounds[k], bounds[k + 1]
+            if a < b:
+                found[a:b] = self.shard(k).log_p(dealt[a:b], self.base)
+        out = np.empty(len(codes), np.float32)
+        out[order] = found
         return out
 
     def perplexity(self, texts: list[str]) -> np.ndarray:
-        """Log perplexity a symbol of each text; 0 for empty ones. Each distinct n-gram of the slice is looked up once."""
-        code, bounds = gram_codes(texts)
-        if not len(code):
-            return np.zeros(len(texts))
-        place, seen = pd.factorize(code)
-        lp = np.concatenate([[0.0], np.cumsum(self.log_p(seen)[place], dtype=np.float64)])
-        n = np.diff(bounds)
-        return -(lp[bounds[1:]] - lp[bounds[:-1]]) / np.maximum(n, 1)
+        """Log perplexity a byte of each text; 0 for empty ones."""
+        out = np.zeros(len(texts))
+        for a, b in common.slices(texts, PORTION):
+            codes, first, last = gram_codes(texts[a:b])
+            total = np.concatenate([[0.0], np.cumsum(self.log_p(codes), dtype=np.float64)])
+            out[a:b] = (total[first] - total[last]) / np.maximum(last - first, 1)
+        return out
+
+
+@lru_cache(1 << 16)
+def _mapped_file(folder: str, k: int):
+    return common.map_file(f"{folder}/{k}")
+
+
+def _mapped(folder: str, k: int):
+    """A shard's bytes: mapped once by a worker, or read each time where the folder is no local mount."""
+    if common.local_path(folder) is None:
+        return common.read_file(f"{folder}/{k}")
+    return _mapped_file(folder, k)
+
+
+def fit(docs: DataFrame, shards: int = 64) -> Model:
+    """The model of all texts, in files of the shared folder. shards: a power of two; about a million distinct n-grams
+    in each are few enough for a task's memory."""
+    spark = docs.sparkSession
+    kind = "shard int, codes binary, n binary, stats array<long>, pairs array<int>, pair_n array<long>"
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        codes, n = _summed([(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)) for a, b in zip(rows["codes"], rows["n"], strict=True)])
+        stats, pairs, pair_n = shard_statistics(codes, n)
+        return pd.DataFrame({"shard": [key[0]], "codes": [codes.tobytes()], "n": [n.tobytes()], "stats": [stats], "pairs": [pairs.astype(np.int32)], "pair_n": [pair_n]})
+
+    merged = common.cut(count_grams(docs, shards).groupBy("shard").applyInPandas(merge, kind))
+    stats = merged.select(F.posexplode("stats").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    pairs = merged.select(F.explode(F.arrays_zip("pairs", "pair_n")).alias("x")).groupBy("x.pairs").agg(F.sum("x.pair_n").alias("n")).toArrow()  # 65,536 rows at most
+    base = Base([r.v for r in stats] or [0] * 4 * (ORDER - LOCAL + 1), pairs["pairs"].to_numpy(), pairs["n"].to_numpy())
+    folder = common.new_folder(spark, "ngrams")
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                common.write_file(f"{folder}/{r.shard}", Shard.of(np.frombuffer(r.codes, np.uint64), np.frombuffer(r.n, np.int64), base).to_bytes())
+                yield pd.DataFrame({"shard": [r.shard]})
+
+    merged.select("shard", "codes", "n").mapInPandas(build, "shard int").count()
+    common.drop(merged)
+    return Model(base, shards, folder)
 
 
 def base_features(texts: list[str]) -> pd.DataFrame:
@@ -233,31 +381,10 @@ def lang_of(docs: DataFrame) -> Column:
     return language(F.col("lang").cast("string")) if "lang" in docs.columns else F.lit("und")
 
 
-def log_perplexity(model: KneserNey):
-    held = []
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        held.append(model)
-        for batch in common.leanly(batches):
-            texts = [t or "" for t in batch]
-            yield pd.Series(np.concatenate([held[0].perplexity(texts[a:b]) for a, b in common.slices(texts)] or [np.zeros(0)]))
-
-    return score.asNondeterministic()
-
-
-def fit(docs: DataFrame) -> KneserNey:
-    """The model of all texts. The driver takes every distinct n-gram, 16 bytes each: the model grows with the corpus."""
-    common.small_batches(docs.sparkSession)
-    got = count_grams(docs).toArrow()
-    return KneserNey(got["code"].to_numpy(), got["n"].to_numpy())
-
-
-def bands(docs: DataFrame, model: KneserNey, least: float = 0.03) -> dict[str, tuple[float, float]]:
-    """lang -> (median, robust standard deviation) of log perplexity, from exact histograms over all texts that have a character."""
-    x = log_perplexity(model)(F.col("text"))
-    b = F.least(F.floor(F.col("x") * FINE), F.lit(FINE * MOST_NATS - 1)).cast("int")
-    got = docs.filter("length(text) > 0").select(lang_of(docs).alias("l"), x.alias("x")).select("l", b.alias("b")).groupBy("l", "b").count().toArrow().to_pandas()
+def bands(scored: DataFrame, least: float = 0.03) -> dict[str, tuple[float, float]]:
+    """lang -> (median, robust standard deviation) of log_ppl, from exact histograms over all texts that have a character."""
+    b = F.least(F.floor(F.col("log_ppl") * FINE), F.lit(FINE * MOST_NATS - 1)).cast("int")
+    got = scored.filter("__chars > 0").groupBy(F.col("__lang").alias("l"), b.alias("b")).count().toArrow().to_pandas()
     out = {}
     for lang, g in got.groupby("l"):
         mid = _weighted_median(g["b"].to_numpy() + 0.5, g["count"].to_numpy())
@@ -272,36 +399,41 @@ def _weighted_median(x: np.ndarray, w: np.ndarray) -> float:
     return float(x[order][np.searchsorted(total, total[-1] / 2)])
 
 
-def quality_rules(docs: DataFrame, lower: float = 5.0, upper: float = 4.0, short_chars: int = 200) -> DataFrame:
+FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
+
+
+def judge(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with the features of its texts and their log perplexity."""
+
+    @F.pandas_udf(FEATURES)
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in common.leanly(batches):
+            texts = [t or "" for t in text]
+            parts = [base_features(texts[a:b]).assign(log_ppl=model.perplexity(texts[a:b])) for a, b in common.slices(texts, PORTION)]
+            yield pd.concat(parts, ignore_index=True) if parts else base_features([]).assign(log_ppl=0.0)
+
+    x = F.col("__judged")
+    out = docs.withColumn("__judged", read.asNondeterministic()(F.col("text").cast("string")))
+    return common.replace_columns(out, {f.split()[0]: x[f.split()[0]] for f in FEATURES.split(", ")}).drop("__judged")
+
+
+def quality_rules(docs: DataFrame, lower: float = 6.0, upper: float = 5.0, short_chars: int = 200, with_text: bool = True) -> DataFrame:
     """All columns of docs, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ppl, base_failed, kept.
 
-    The band grows by sqrt(1 + short_chars / length), as means over few characters vary more.
+    The band grows by sqrt(1 + short_chars / length), as means over few characters vary more. with_text: whether the text
+    is among the columns; without it, the table that is written between has no texts.
     """
+    spark = docs.sparkSession
     model = fit(docs)
-    limits = bands(docs, model)
-    kind = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double, base_failed boolean, kept boolean"
-    held = []
-
-    @F.pandas_udf(kind)
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        held.append(model)
-        for text, lang in common.leanly(batches):
-            texts = [t or "" for t in text]
-            parts = []
-            for a, b in common.slices(texts):
-                f = base_features(texts[a:b])
-                f["log_ppl"] = held[0].perplexity(texts[a:b])
-                parts.append(f)
-            f = pd.concat(parts, ignore_index=True)
-            f["base_failed"] = (f["n_words"] < 10) | (100 * f["n_repeat_words"] > 20 * f["n_words"])
-            mid = np.array([limits.get(x, (0, np.inf))[0] for x in lang])
-            sd = np.array([limits.get(x, (0, np.inf))[1] for x in lang])
-            n = np.array([len(t) for t in texts])
-            off = (f["log_ppl"] - mid) / (sd * np.sqrt(1 + short_chars / np.maximum(n, 1)))
-            f["kept"] = ~f["base_failed"] & (off >= -lower) & (off <= upper)
-            yield f
-
-    j = F.col("__judged")
-    judged = docs.withColumn("__judged", judge.asNondeterministic()(F.col("text"), lang_of(docs)))
-    names = [x.split()[0] for x in kind.split(", ")]
-    return common.replace_columns(judged, {n: j[n] for n in names}).drop("__judged")
+    named = docs.withColumns({"__lang": lang_of(docs), "__chars": F.coalesce(F.length(F.col("text").cast("string")), F.lit(0))})
+    scored = judge(named, model)
+    scored = common.stash(scored if with_text else scored.drop("text"), "judged")
+    common.remove(spark, model.folder)
+    limits = bands(scored)
+    rows = [(lang, mid, sd) for lang, (mid, sd) in limits.items()]  # 18,253 at most, see language()
+    band = F.broadcast(spark.createDataFrame(rows, "__lang string, __mid double, __sd double"))
+    off = (F.col("log_ppl") - F.col("__mid")) / (F.col("__sd") * F.sqrt(1 + short_chars / F.greatest("__chars", F.lit(1))))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    kept = ~failed & F.coalesce(off.between(-lower, upper), F.lit(False))
+    out = scored.join(band, "__lang", "left")
+    return common.replace_columns(out, {"base_failed": failed, "kept": kept}).drop("__lang", "__chars", "__mid", "__sd")

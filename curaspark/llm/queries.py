@@ -28,7 +28,7 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = perplexity.quality_rules(table(spark, sf_dir, "documents"))
+    rules = perplexity.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), with_text=False)
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
 
 

@@ -302,7 +302,6 @@ def _encoder(path: str, dropout: float, seed: int, streams: int) -> Encoder:
 
 def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, streams: int = 4) -> DataFrame:
     """All columns of docs, with ids (array<int>)."""
-    common.small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -316,7 +315,6 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
 
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
     """All columns of rows, with decoded (the text that ids stand for)."""
-    common.small_batches(rows.sparkSession)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
