@@ -41,7 +41,7 @@ HELD_GRAMS = 3_000_000
 PORTION = 1_500_000
 #: Histogram of log perplexity: buckets a nat, and the most nats.
 FINE, MOST_NATS = 128, 8
-SYMBOL_BYTES = np.frombuffer(b"#*$%&|<>", np.uint8)
+_IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _U = np.uint64
 
 
@@ -171,12 +171,18 @@ def _keys(order: int, codes: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """For each order k from LOCAL to ORDER: hashes of n-grams and log probabilities; hashes of contexts and log back-off
-    weights; each pair of arrays sorted by hash."""
+    """For each order k from LOCAL to ORDER: hashes of n-grams, sorted, where each of the equal parts of the range of
+    hashes begins among them, and log probabilities; the same of contexts and log back-off weights."""
+
+    KINDS = (np.uint64, np.int32, np.float32)
 
     def __init__(self, arrays: list[np.ndarray]):
         self.arrays = arrays
 
+    def table(self, order: int, contexts: bool) -> list[np.ndarray]:
+        at = 6 * (order - LOCAL) + 3 * contexts
+        return self.arrays[at : at + 3]
+
     @staticmethod
     def of(codes: np.ndarray, n: np.ndarray, base: Base) -> Shard:
         grams, counts = {ORDER: codes}, {ORDER: n}
@@ -197,18 +203,19 @@ class Shard:
             p = taken + rest[where] * lower
             for key, value in ((_keys(k, g[own]), p[own]), (_keys(k + 8, contexts), rest)):
                 order = np.argsort(key)
-                out += [key[order], np.log(value[order]).astype(np.float32)]
+                out += [key[order], _starts(key[order]), np.log(value[order]).astype(np.float32)]
         return Shard(out)
 
     def log_p(self, codes: np.ndarray, base: Base) -> np.ndarray:
         """Natural log probability of the last byte of each n-gram."""
         out, left, add = np.zeros(len(codes), np.float32), None, None
         for k in range(ORDER, LOCAL - 1, -1):
-            keys, values, contexts, rest = self.arrays[4 * (k - LOCAL) : 4 * (k - LOCAL) + 4]
+            keys, starts, values = self.table(k, contexts=False)
             mine = codes if left is None else codes[left] & _U((1 << 8 * k) - 1)
-            hit, at = _find(keys, _keys(k, mine))
+            hit, at = _find(keys, starts, _keys(k, mine))
             if left is None:
-                np.copyto(out, values[at] if len(values) else 0, where=hit)
+                if len(values):
+                    np.copyto(out, values[at], where=hit)
                 left = np.flatnonzero(~hit)
                 add = np.zeros(len(left), np.float32)
                 mine = codes[left]
@@ -217,7 +224,8 @@ class Shard:
                 left, add, mine = left[~hit], add[~hit], mine[~hit]
             if not len(left):
                 return out
-            hit, at = _find(contexts, _keys(k + 8, mine >> _U(8)))
+            keys, starts, rest = self.table(k, contexts=True)
+            hit, at = _find(keys, starts, _keys(k + 8, mine >> _U(8)))
             add[hit] += rest[at[hit]]
         out[left] = base.log_pair[(codes[left] & _U(0xFFFF)).astype(np.int64)] + add
         return out
@@ -227,21 +235,33 @@ class Shard:
 
     @staticmethod
     def from_buffer(data) -> Shard:
-        size, out = 4 * (ORDER - LOCAL + 1), []
+        size, out = 6 * (ORDER - LOCAL + 1), []
         at = 8 * size
         for i, n in enumerate(np.frombuffer(data, np.int64, size).tolist()):
-            kind = np.float32 if i % 2 else np.uint64
-            out.append(np.frombuffer(data, kind, n, at))
+            out.append(np.frombuffer(data, Shard.KINDS[i % 3], n, at))
             at += out[-1].nbytes
         return Shard(out)
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each is among the sorted keys, and where."""
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Place of the first key of each part; there are about twice as many parts as keys, a power of two."""
+    bits = max(len(keys), 1).bit_length()
+    return np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)).astype(np.int32)
+
+
+def _find(keys: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each is among the sorted keys, and where. Hashes are spread evenly, so a part has few keys to step over."""
     if not len(keys):
         return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[at] == wanted, at
+    last = len(keys) - 1
+    at = np.minimum(starts[wanted >> _U(65 - len(starts).bit_length())], last)
+    found = keys[at]
+    behind = np.flatnonzero((found < wanted) & (at < last))
+    while len(behind):
+        at[behind] += 1
+        found[behind] = step = keys[at[behind]]
+        behind = behind[(step < wanted[behind]) & (at[behind] < last)]
+    return found == wanted, at
 
 
 class Model:
@@ -249,7 +269,7 @@ class Model:
 
     def __init__(self, base: Base, shards: int, folder: str | None = None, held: dict[int, Shard] | None = None):
         self.base, self.shards, self.folder, self.held = base, shards, folder, held
-        self._nothing = Shard([np.zeros(0, np.float32 if i % 2 else np.uint64) for i in range(4 * (ORDER - LOCAL + 1))])
+        self._nothing = Shard([np.zeros(0, Shard.KINDS[i % 3]) for i in range(6 * (ORDER - LOCAL + 1))])
 
     @staticmethod
     def of(texts: list[str], shards: int = 1) -> Model:
@@ -336,20 +356,17 @@ def base_features(texts: list[str]) -> pd.DataFrame:
     """Counts of the base rules; see the columns. All over whole texts."""
     w = common.Words(texts)
     n, rows = np.diff(w.bounds), len(texts)
-    is_start = (w.bytes & 0xC0) != 0x80
-    chars = np.concatenate([[0], np.cumsum(is_start)])
-    word_chars = np.bincount(w.doc, chars[w.end] - chars[w.start], rows) if len(w.doc) else np.zeros(rows)
-    signs = np.concatenate([[0], np.cumsum(np.isin(w.bytes, SYMBOL_BYTES))])
+    at = np.flatnonzero((w.bytes & 0xC0) == 0x80)  # bytes that begin no character; they stand in words alone
+    inside = np.diff(np.searchsorted(at, w.byte_bounds))
+    word_chars = (np.bincount(w.doc, w.end - w.start, rows) if len(w.doc) else np.zeros(rows)) - inside
+    signs = np.searchsorted(np.flatnonzero(_IS_SYMBOL[w.bytes]), w.byte_bounds)
     h, first = w.windows(5)
     repeated = np.zeros(len(w.start) + 5, np.int64)
     if len(h):
-        order = np.lexsort((h, w.doc[first]))
-        hs, ds = h[order], w.doc[first][order]
-        same = (hs[1:] == hs[:-1]) & (ds[1:] == ds[:-1])
-        twice = np.zeros(len(h), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        at = first[order[twice]]
+        own = h ^ common.mix64(w.doc[first].astype(np.uint64))  # a window of another text is another one
+        ordered = np.sort(own)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        at = first[twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own] if len(twice) else first[:0]
         np.add.at(repeated, at, 1)
         np.add.at(repeated, at + 5, -1)
     covered = np.cumsum(repeated)[: len(w.start)] > 0
@@ -365,7 +382,7 @@ def base_features(texts: list[str]) -> pd.DataFrame:
         {
             "n_words": n.astype(np.int64),
             "word_chars": word_chars.astype(np.int64),
-            "n_symbols": np.diff(signs[w.byte_bounds]).astype(np.int64),
+            "n_symbols": np.diff(signs).astype(np.int64),
             "n_dup_lines": np.array(dup, np.int64),
             "n_repeat_words": np.bincount(w.doc, covered, rows).astype(np.int64) if rows else np.zeros(0, np.int64),
         }
