@@ -4,14 +4,16 @@ A text gets a leading space, as the model asks for, and is cut into units: runs
 them, cut again between a letter and a sign where no piece of the vocabulary holds such a pair. No piece of such a model
 holds a space after another character either, so units can be merged apart from each other. Within
 a unit the agenda offers the adjacent pair with the best (lowest) piece id, leftmost first; each candidate, known by
-where its two parts start and end, is skipped for good if a hash keyed by seed and stream falls below the dropout rate.
+where its two parts start and end, is skipped for good if a hash falls below the dropout rate. The hash is keyed by the
+seed, the document and the place of the unit in its text, so every occurrence of a word draws skips of its own.
 What is left of characters outside the vocabulary becomes its UTF-8 bytes, so decoding gives back any text exactly.
 
-Every occurrence of a unit draws one of ``streams`` streams by a hash of seed, document and place in the text, so equal
-words are segmented in different ways, while at most ``streams`` segmentations of a unit are ever computed and kept.
+What an agenda does between two skips is the same for all occurrences of a unit. It is kept as a tree: a node knows the
+candidates that it merges in turn if none is skipped, the ids that result, and for each candidate the node that follows
+if that one is skipped. Occurrences walk the trees of their units all at once; nodes are made when first needed.
 
 Defined results: null and empty texts have no ids and decode to the empty text; a null doc_id counts as 0 in the hash;
-repeated rows get equal ids; an empty table gives no rows; extra columns stay.
+repeated rows get equal ids; an empty table gives no rows; columns named ids or decoded give way, others stay.
 """
 
 from __future__ import annotations
@@ -138,72 +140,135 @@ class Model:
         return out
 
 
-def _skipped(stream_key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
-    place = (start.astype(np.uint64) << np.uint64(42)) ^ (mid.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
-    return (common.mix64(stream_key ^ common.mix64(place)) >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
+_MASK = (1 << 64) - 1
+
+
+def _mix(x: int) -> int:
+    """common.mix64 of one number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    return x ^ x >> 31
+
+
+def _place(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (start.astype(np.uint64) << np.uint64(42)) ^ (mid.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
+
+
+class _Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.all, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> int:
+        """Where x begins."""
+        at, self.n = self.n, self.n + len(x)
+        if self.n > len(self.all):
+            self.all = np.concatenate([self.all[:at], np.zeros(max(self.n, len(self.all)), self.all.dtype)])
+        self.all[at : self.n] = x
+        return at
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 class Encoder:
-    def __init__(self, model: Model, dropout: float = 0.1, seed: int = 1, streams: int = 4, most: int = 400_000):
-        self.model, self.dropout, self.seed, self.streams, self.most = model, dropout, seed, streams if dropout > 0 else 1, most
-        self.stream_keys = common.mix64(np.arange(1, self.streams + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        self.made: dict[int, bytes] = {}
+    """most: nodes that may be kept; beyond, all are forgotten before the next slice of texts."""
+
+    def __init__(self, model: Model, dropout: float = 0.1, seed: int = 1, most: int = 600_000):
+        self.model, self.dropout, self.seed, self.most = model, dropout, seed, most
         self._forget()
 
     def _forget(self) -> None:
-        self.made.clear()
         self.unit = _Numbers()
         self.unit.names = []
+        self.root = _Rows(np.int32)  # by unit: its first node, -1 if not made, -2 for long units
+        # by node: where its candidates begin, how many they are, where its ids begin, how many they are, merges before
+        self.first, self.chain, self.ids_at, self.n_ids, self.before = (_Rows(np.int64) for _ in range(5))
+        self.ids = _Rows(np.uint32)
+        # by candidate: its place, hashed and as it is, its node, the node that follows if it is skipped (-1: not made)
+        self.hashed, self.place, self.node, self.next = _Rows(np.uint64), _Rows(np.uint64), _Rows(np.int32), _Rows(np.int32)
+        self.node_unit, self.parent = _Rows(np.int64), _Rows(np.int64)  # by node; parent: the candidate that was skipped
+
+    def keys(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The key of each occurrence."""
+        own = common.mix64(doc.astype(np.int64).view(np.uint64) ^ np.uint64(self.seed * 0x9E3779B1))
+        return common.mix64(own + place.astype(np.uint64))
 
     def encode(self, texts: list[str], docs: list[int]) -> list[np.ndarray]:
-        """Ids of each text; docs key the draws of streams."""
+        """Ids of each text; docs and places in the text key the skips."""
         out = [np.zeros(0, np.uint32)] * len(texts)
         for a, b in common.slices(texts):
-            units = [self.model.unit.findall(" " + t) if t else [] for t in texts[a:b]]
-            if len(self.made) > self.most:
+            if self.first.n > self.most:
                 self._forget()
-            number, made = self.unit, self.made
-            flat = np.fromiter(map(number.__getitem__, chain.from_iterable(units)), np.int64)
+            units = [self.model.unit.findall(" " + t) if t else [] for t in texts[a:b]]
+            flat = np.fromiter(map(self.unit.__getitem__, chain.from_iterable(units)), np.int64)
             n = np.fromiter(map(len, units), np.int64, len(units))
             first = np.cumsum(n) - n
             place = np.arange(len(flat)) - np.repeat(first, n)
-            key = common.mix64(np.array(docs[a:b], np.int64).view(np.uint64) ^ np.uint64(self.seed * 0x9E3779B1))
-            stream = (common.mix64(np.repeat(key, n) + place.astype(np.uint64)) % np.uint64(self.streams)).astype(np.int64)
-            want = flat * self.streams + stream
-            want = want.tolist()
-            whole = list(map(made.get, want))
-            need = list(dict.fromkeys([w for w, x in zip(want, whole, strict=True) if x is None]))
-            if need:
-                self._segment(need, [number.names[w // self.streams] for w in need])
-                whole = list(map(made.__getitem__, want))
+            keys = self.keys(np.repeat(np.array(docs[a:b], np.int64), n), place)
+            start, size, ids = self._segment(flat, keys)
+            whole = ids[_ranges(start, size)]
+            bounds = np.concatenate([[0], np.cumsum(size)])
             for i in range(b - a):
-                out[a + i] = np.frombuffer(b"".join(whole[first[i] : first[i] + n[i]]), np.uint32)
+                out[a + i] = whole[bounds[first[i]] : bounds[first[i] + n[i]]]
         return out
 
-    def _segment(self, wants: list[int], units: list[str]) -> None:
-        short = [k for k, u in enumerate(units) if len(u) <= LONG_UNIT]
-        for k in (k for k, u in enumerate(units) if len(u) > LONG_UNIT):
-            self.made[wants[k]] = self._finish(units[k], *self.by_heap(units[k], wants[k] % self.streams))
-        for a in range(0, len(short), 20_000):
-            part = short[a : a + 20_000]
-            self._by_rounds([wants[k] for k in part], [units[k] for k in part])
-
-    def _finish(self, unit: str, ids: list[int], starts: list[int]) -> bytes:
-        """Pieces as bytes of ids, unknown characters as their UTF-8 bytes."""
-        if min(ids) >= 0:
-            return np.array(ids, np.uint32).tobytes()
+    def _segment(self, flat: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each occurrence begin in the array that is returned too, and how many they are."""
+        names = self.unit.names
+        new = names[self.root.n :]
+        self.root.add(np.array([-2 if len(u) > LONG_UNIT else -1 for u in new], np.int32))
+        node = self.root.all[flat].astype(np.int64)
+        missing = np.unique(flat[node == -1])
+        if len(missing):
+            self.root.all[missing] = self._make(missing, np.full(len(missing), -1))
+            node = self.root.all[flat].astype(np.int64)
+        active = np.flatnonzero(node >= 0)
+        while self.dropout > 0 and len(active):
+            at = node[active]
+            tried, size = _ranges(self.first.all[at], self.chain.all[at]), self.chain.all[at]
+            h = common.mix64(np.repeat(keys[active], size) ^ self.hashed.all[tried])
+            hit = np.flatnonzero((h >> np.uint64(11)).astype(np.float64) < self.dropout * 2.0**53)
+            owner = np.repeat(active, size)[hit]
+            one = np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)]  # the first skip of each
+            active, skipped = owner[one], tried[hit[one]]
+            missing = np.unique(skipped[self.next.all[skipped] < 0])
+            if len(missing):
+                self.next.all[missing] = self._make(self.node_unit.all[self.node.all[missing]], missing)
+            node[active] = self.next.all[skipped]
+        start, size, ids = self.ids_at.all[node], self.n_ids.all[node], self.ids.all
+        long = np.flatnonzero(node == -2)
+        if len(long):
+            found = [self._finish(names[u], *self.by_heap(names[u], int(k))) for u, k in zip(flat[long].tolist(), keys[long].tolist(), strict=True)]
+            size[long] = [len(x) for x in found]
+            start[long] = self.ids.n + np.cumsum(size[long]) - size[long]
+            ids = np.concatenate([ids[: self.ids.n], *found])
+        return start, size, ids
+
+    def _make(self, units: np.ndarray, parents: np.ndarray) -> np.ndarray:
+        """Numbers of new nodes of units, each for the skip of a candidate (-1: for none yet)."""
+        first = self.first.n
+        for a in range(0, len(units), 20_000):
+            self._by_rounds(units[a : a + 20_000], parents[a : a + 20_000])
+        return np.arange(first, first + len(units))
+
+    def _finish(self, unit: str, ids: list[int], starts: list[int]) -> np.ndarray:
+        """Ids, with unknown characters as their UTF-8 bytes."""
         out: list[int] = []
         for i, s in zip(ids, starts, strict=True):
             out += [i] if i >= 0 else self.model.byte[list(unit[s].encode("utf-8", "surrogatepass"))].tolist()
-        return np.array(out, np.uint32).tobytes()
+        return np.array(out, np.uint32)
 
-    def by_heap(self, unit: str, stream: int) -> tuple[list[int], list[int]]:
-        """Pieces (-1: unknown character) and their first characters, by one agenda."""
+    def by_heap(self, unit: str, key: int) -> tuple[list[int], list[int]]:
+        """Pieces (-1: unknown character) and their first characters, by one agenda for one occurrence."""
         model, n = self.model, len(unit)
         ids = [model.char.get(c, -1) for c in unit]
         end, right, left = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[int, int, int, int]] = []
-        key = self.stream_keys[stream : stream + 1]
+        least = self.dropout * 2.0**53
 
         def offer(i: int) -> None:
             j = right[i] if i >= 0 else n
@@ -220,7 +285,7 @@ class Encoder:
             r, i, j, e = heapq.heappop(agenda)
             if gone[i] or gone[j] or right[i] != j or end[j] != e or end[i] != j:
                 continue
-            if self.dropout > 0 and _skipped(key, *(np.array([x]) for x in (i, j, e)), self.dropout)[0]:
+            if least and _mix(key ^ _mix(i << 42 ^ j << 21 ^ e)) >> 11 < least:
                 continue
             ids[i], end[i], gone[j], right[i] = int(model.by_rank[r]), e, True, right[j]
             if right[j] < n:
@@ -230,28 +295,38 @@ class Encoder:
         starts = [i for i in range(n) if not gone[i]]
         return [ids[i] for i in starts], starts
 
-    def _by_rounds(self, wants: list[int], units: list[str]) -> None:
-        """The same for many short units at once: a round merges the best candidate of every unit."""
-        model = self.model
+    def _skips(self, parents: np.ndarray) -> np.ndarray:
+        """Places that are skipped on the way to each new node, a row each, filled up with a place that no unit has."""
+        out = []
+        while (parents >= 0).any():
+            known = np.maximum(parents, 0)
+            out.append(np.where(parents >= 0, self.place.all[known], np.uint64(_MASK)))
+            parents = np.where(parents >= 0, self.parent.all[self.node.all[known]], -1)
+        return np.array(out, np.uint64).reshape(len(out), len(parents))
+
+    def _by_rounds(self, unit: np.ndarray, parents: np.ndarray) -> None:
+        """New nodes for short units: a round merges the best candidate of every unit that is not skipped on its way."""
+        model, names = self.model, self.unit.names
+        units, skips = [names[u] for u in unit.tolist()], self._skips(parents)
         cps = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = np.fromiter(map(len, units), np.int64, len(units))
         word = np.repeat(np.arange(len(units)), n)
         start = np.arange(len(cps)) - np.repeat(np.cumsum(n) - n, n)
         ids, end = model.cps[cps].astype(np.int64), start + 1
-        keys = self.stream_keys[np.array(wants) % self.streams]
         nobody = np.full(1, _NONE)
 
         def candidates(at: np.ndarray) -> np.ndarray:
             """Rank of the merge of each symbol with the next one; at must not hold the last symbol."""
             r = np.where(word[at] == word[at + 1], model.look_up(ids[at], ids[at + 1]), _NONE)
             ok = np.flatnonzero(r < _NONE)
-            if self.dropout > 0 and len(ok):
+            if len(skips) and len(ok):
                 o = at[ok]
-                r[ok[_skipped(keys[word[o]], start[o], start[o + 1], end[o + 1], self.dropout)]] = _NONE
+                r[ok[(skips[:, word[o]] == _place(start[o], start[o + 1], end[o + 1])).any(0)]] = _NONE
             return r
 
         rank = np.concatenate([candidates(np.arange(len(ids) - 1)), nobody]) if len(ids) else np.zeros(0, np.int64)
         done: list[tuple] = []
+        merged: list[tuple] = []
         while len(ids):
             head = np.flatnonzero(np.diff(word, prepend=-1))
             best = np.minimum.reduceat(rank, head)
@@ -265,6 +340,7 @@ class Encoder:
                 count, best = count[best < _NONE], best[best < _NONE]
             hit = np.flatnonzero(rank == np.repeat(best, count))
             hit = hit[np.diff(word[hit], prepend=-1) > 0]  # the leftmost of each unit
+            merged.append((word[hit], _place(start[hit], start[hit + 1], end[hit + 1])))
             ids[hit], end[hit] = model.by_rank[rank[hit]], end[hit + 1]
             keep = np.ones(len(ids), bool)
             keep[hit + 1] = False
@@ -276,17 +352,45 @@ class Encoder:
             again = np.flatnonzero(near)
             rank[again] = candidates(again)
             rank[-1] = _NONE
-        if not done:
-            return
+        self._add(unit, parents, units, merged, done)
+
+    def _add(self, unit: np.ndarray, parents: np.ndarray, units: list[str], merged: list[tuple], done: list[tuple]) -> None:
+        """Keeps what the rounds have found, in the order of units."""
+        many = len(units)
         w, s, i = (np.concatenate([d[k] for d in done]) for k in range(3))
         order = np.lexsort((s, w))
         w, s, i = w[order], s[order], i[order]
-        bounds = np.searchsorted(w, np.arange(len(units) + 1))
-        raw, odd = i.astype(np.uint32), np.zeros(len(units), bool)
-        odd[w[i < 0]] = True
-        data, b = raw.tobytes(), (bounds * 4).tolist()
-        for k, want in enumerate(wants):
-            self.made[want] = self._finish(units[k], i[bounds[k] : bounds[k + 1]].tolist(), s[bounds[k] : bounds[k + 1]].tolist()) if odd[k] else data[b[k] : b[k + 1]]
+        size = np.bincount(w, minlength=many)
+        odd = np.unique(w[i < 0])
+        if len(odd):  # characters outside the vocabulary
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            parts = np.split(i.astype(np.uint32), bounds[1:-1])
+            for k in odd.tolist():
+                x = slice(bounds[k], bounds[k + 1])
+                parts[k] = self._finish(units[k], i[x].tolist(), s[x].tolist())
+            i, size = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, many)
+        at = self.ids.add(i.astype(np.uint32))
+        self.ids_at.add(at + np.cumsum(size) - size)
+        self.n_ids.add(size)
+        m, place = (np.concatenate([x[k] for x in merged]) if merged else np.zeros(0, np.uint64) for k in (0, 1))
+        order = np.argsort(m, kind="stable")
+        m, place = m[order].astype(np.int64), place[order]
+        # merges up to the skipped candidate are those of the parent
+        known = np.maximum(parents, 0)
+        before = np.where(parents >= 0, self.before.all[self.node.all[known]] + known - self.first.all[self.node.all[known]], 0)
+        count = np.bincount(m, minlength=many)
+        own = np.arange(len(m)) - np.repeat(np.cumsum(count) - count, count) >= before[m]
+        m, place, count = m[own], place[own], count - before
+        first = self.first.n
+        self.before.add(before)
+        self.chain.add(count)
+        self.node_unit.add(unit)
+        self.parent.add(parents)
+        self.node.add(first + m)
+        self.place.add(place)
+        self.next.add(np.full(len(place), -1))
+        at = self.hashed.add(common.mix64(place))
+        self.first.add(at + np.cumsum(count) - count)
 
 
 @lru_cache(2)
@@ -295,17 +399,17 @@ def _model(path: str) -> Model:
 
 
 @lru_cache(2)
-def _encoder(path: str, dropout: float, seed: int, streams: int) -> Encoder:
-    """Kept by the Python worker, so that later tasks find units that earlier ones made."""
-    return Encoder(_model(path), dropout, seed, streams)
+def _encoder(path: str, dropout: float, seed: int) -> Encoder:
+    """Kept by the Python worker, so that later tasks find nodes that earlier ones made."""
+    return Encoder(_model(path), dropout, seed)
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, streams: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """All columns of docs, with ids (array<int>)."""
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        encoder = _encoder(model_path, dropout, seed, streams)
+        encoder = _encoder(model_path, dropout, seed)
         for text, doc in common.leanly(batches):
             yield pd.Series([x.view(np.int32) for x in encoder.encode([t or "" for t in text], doc.tolist())])
 

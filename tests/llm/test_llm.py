@@ -55,12 +55,29 @@ def test_sentencepiece_round_trip(docs):
     assert len({tuple(x) for x in a}) > 1 and a == [varied.encode([PROSE], [d])[0].tolist() for d in range(8)]
 
 
-def test_rounds_equal_the_agenda():
-    e = sentencepiece.Encoder(sentencepiece.Model(tokenizer_path("piece_bpe_32k.model")), 0.4, seed=3)
-    for unit in (" international", "antidisestablishmentarianism", " ...!?", " Straße語x"):
-        for stream in range(e.streams):
-            e._by_rounds([stream], [unit])
-            assert e.made[stream] == e._finish(unit, *e.by_heap(unit, stream))
+def by_one_agenda(encoder, text, doc):
+    """Each unit by itself, with the heap."""
+    out = []
+    for k, unit in enumerate(encoder.model.unit.findall(" " + text)):
+        out += encoder._finish(unit, *encoder.by_heap(unit, int(encoder.keys(np.array([doc]), np.array([k]))[0]))).tolist()
+    return out
+
+
+def test_trees_equal_the_agenda():
+    e = sentencepiece.Encoder(sentencepiece.Model(tokenizer_path("piece_bpe_32k.model")), 0.3, seed=3)
+    text = "antidisestablishmentarianism international, ...!? Straße語x  " + "y" * 60 + " " + PROSE
+    for d in (0, 5, 2**40):
+        assert e.encode([text, "", text], [d, 1, d])[0].tolist() == by_one_agenda(e, text, d)
+    e.most = 0  # forgets before each slice
+    assert e.encode([text], [5])[0].tolist() == by_one_agenda(e, text, 5)
+
+
+def test_every_occurrence_draws_its_own_skips():
+    e = sentencepiece.Encoder(sentencepiece.Model(tokenizer_path("piece_bpe_32k.model")), 0.3)
+    one = [tuple(by_one_agenda(e, "international", d)) for d in range(1000)]
+    assert len(set(one)) > 100 and [tuple(x) for x in e.encode(["international"] * 1000, list(range(1000)))] == one
+    many = e.encode([" ".join(["international"] * 1000)], [1])[0]
+    assert e.model.decode(many) == " ".join(["international"] * 1000) and len(set(np.diff(np.flatnonzero(many == many[0])))) > 4
 
 
 def test_nearest(spark):
