@@ -164,20 +164,21 @@ class _Rows:
         """Where x begins."""
         at, self.n = self.n, self.n + len(x)
         if self.n > len(self.all):
-            self.all = np.concatenate([self.all[:at], np.zeros(max(self.n, len(self.all)), self.all.dtype)])
+            self.all = np.concatenate([self.all[:at], np.zeros(max(self.n, len(self.all) // 2), self.all.dtype)])
         self.all[at : self.n] = x
         return at
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one range after the other."""
+    sizes = sizes.astype(np.int64)
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 class Encoder:
     """most: nodes that may be kept; beyond, all are forgotten before the next slice of texts."""
 
-    def __init__(self, model: Model, dropout: float = 0.1, seed: int = 1, most: int = 600_000):
+    def __init__(self, model: Model, dropout: float = 0.1, seed: int = 1, most: int = 300_000):
         self.model, self.dropout, self.seed, self.most = model, dropout, seed, most
         self._forget()
 
@@ -186,11 +187,11 @@ class Encoder:
         self.unit.names = []
         self.root = _Rows(np.int32)  # by unit: its first node, -1 if not made, -2 for long units
         # by node: where its candidates begin, how many they are, where its ids begin, how many they are, merges before
-        self.first, self.chain, self.ids_at, self.n_ids, self.before = (_Rows(np.int64) for _ in range(5))
+        self.first, self.chain, self.ids_at, self.n_ids, self.before = (_Rows(np.int32) for _ in range(5))
         self.ids = _Rows(np.uint32)
         # by candidate: its place, hashed and as it is, its node, the node that follows if it is skipped (-1: not made)
         self.hashed, self.place, self.node, self.next = _Rows(np.uint64), _Rows(np.uint64), _Rows(np.int32), _Rows(np.int32)
-        self.node_unit, self.parent = _Rows(np.int64), _Rows(np.int64)  # by node; parent: the candidate that was skipped
+        self.node_unit, self.parent = _Rows(np.int32), _Rows(np.int32)  # by node; parent: the candidate that was skipped
 
     def keys(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The key of each occurrence."""
@@ -239,7 +240,7 @@ class Encoder:
             if len(missing):
                 self.next.all[missing] = self._make(self.node_unit.all[self.node.all[missing]], missing)
             node[active] = self.next.all[skipped]
-        start, size, ids = self.ids_at.all[node], self.n_ids.all[node], self.ids.all
+        start, size, ids = self.ids_at.all[node].astype(np.int64), self.n_ids.all[node].astype(np.int64), self.ids.all
         long = np.flatnonzero(node == -2)
         if len(long):
             found = [self._finish(names[u], *self.by_heap(names[u], int(k))) for u, k in zip(flat[long].tolist(), keys[long].tolist(), strict=True)]
