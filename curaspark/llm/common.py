@@ -92,6 +92,10 @@ def drop(*frames: DataFrame) -> None:
         remove(df.sparkSession, _checkpoint_file(df))
 
 
+def files(*frames: DataFrame) -> set[str]:
+    return {_checkpoint_file(df) for df in frames}
+
+
 def written() -> set[str]:
     return set(_written)
 
@@ -146,18 +150,23 @@ def map_file(uri: str):
         return None
 
 
-#: Buckets of a prefilter: so many rows at most are broadcast, whatever the number of values.
-BUCKETS = 1 << 20
+#: Bits of a prefilter, in words of 64: a million rows of two longs at most are broadcast, whatever the number of values.
+BITS = 1 << 26
 
 
-def bucket(c: Column) -> Column:
-    return F.pmod(c, F.lit(BUCKETS)).cast("int")
+def _bit(c: Column) -> Column:
+    return F.pmod(c, F.lit(BITS)).cast("int")
 
 
-def buckets(values: DataFrame, column: str) -> DataFrame:
-    """The hash buckets that hold a value, 2**20 at most, to broadcast. They only spare rows a shuffle: what they let
-    through is joined exactly afterwards, and full buckets let everything through."""
-    return F.broadcast(values.select(bucket(F.col(column)).alias("__bucket")).distinct())
+def mark(df: DataFrame, key: Column, values: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a boolean column: false only where key (a hash) is none of the values. It only spares rows a shuffle: what
+    it lets through is joined exactly afterwards, and with very many values it lets everything through."""
+    bit = _bit(F.col(column))
+    words = values.select((bit / 64).cast("int").alias("__word"), F.expr("shiftleft(1L, " + f"cast(pmod(`{column}`, {BITS}) as int) % 64)").alias("__b")).groupBy("__word").agg(F.bit_or("__b").alias("__bits"))
+    at = F.coalesce(_bit(key), F.lit(-1))
+    keyed = df.withColumns({"__at": at, "__word": (at / 64).cast("int")}).join(F.broadcast(words), "__word", "left")
+    hit = F.coalesce((F.col("__at") >= 0) & (F.expr("shiftrightunsigned(__bits, __at % 64)").bitwiseAND(F.lit(1)) == 1), F.lit(False))
+    return keyed.withColumn(name, hit).drop("__at", "__word", "__bits")
 
 
 def small_batches(spark: SparkSession):

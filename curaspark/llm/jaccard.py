@@ -290,7 +290,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, sketch
     reps = about.filter("n > 0").groupBy("node", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")).alias("r"))
     may = reps.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100))
     may = common.cut(may.select(F.col("r.doc_id").alias("d"), F.col("r.th").alias("t")))
-    near = source.withColumn("__bucket", F.coalesce(common.bucket(F.col("th")), F.lit(-1))).join(common.buckets(may, "t"), "__bucket", "left_semi")
+    near = common.mark(source, F.col("th"), may, "t", "__may").filter("__may")
     texts = near.join(may, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t"))).select("doc_id", "th", "text")
     sets = common.cut(_sets(texts, size, lambda s: s).dropDuplicates(["node"]).select("node", "n", "hashes"))
     label = components(node_links(sets, percent, block))
@@ -305,9 +305,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of linked ones: that of the smallest doc_id. Documents without words all stay."""
     found = common.cut(jaccard_components(docs, **options))
     keep = found.filter("is_head").groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("n_shingles").alias("__n")).agg(F.count("*").alias("__times"))
-    check = common.buckets(found.filter("not is_head").select("th").unionByName(keep.filter("__times > 1").select(F.col("__t").alias("th"))), "th")
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")}).withColumn("__bucket", F.coalesce(common.bucket(F.col("__th")), F.lit(-1)))
-    kept = keyed.join(check, "__bucket", "left_semi").join(keep, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__t")))
+    check = found.filter("not is_head").select("th").unionByName(keep.filter("__times > 1").select(F.col("__t").alias("th")))
+    keyed = common.mark(docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")}), F.col("__th"), check, "th", "__may")
+    kept = keyed.filter("__may").join(keep, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__t")))
     own = F.when(F.col("__n") == 0, F.monotonically_increasing_id())
     once = kept.withColumn("__own", own).dropDuplicates(["__id", "__th", "__own"])
-    return once.select(docs.columns).unionByName(keyed.join(check, "__bucket", "left_anti").select(docs.columns))
+    return once.select(docs.columns).unionByName(keyed.filter("not __may").select(docs.columns))

@@ -1,20 +1,24 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
 A line is a \\n-separated piece of a text; its words are those between blanks, in lower case, and in scripts without
-blanks (``_UNSPACED``) every character. A line of at least ``exact_words`` words goes if an earlier one (by doc_id, text
-hash, line number; null doc_ids last) has the same words; one of at least ``min_words`` also if an earlier one lies within
-one word edit: a word replaced, inserted or deleted. Empty lines all stay.
+blanks (``_UNSPACED``) every character. A line goes if an earlier one (by doc_id, text hash, line number; null doc_ids
+last) has the same words; one of at least ``min_words`` also if an earlier one lies within one word edit: a word replaced,
+inserted or deleted. Empty lines all stay.
 
-1. Equal lines are grouped by hash (aggregated before the shuffle).
+1. Equal lines are grouped by two hashes of 64 bits (aggregated before the shuffle).
 2. Two lines within one edit agree in the first or the second half of the shorter one, so a line that shares no half
    with another distinct line has no partner; only the others go on. This loses no pair.
-3. Those emit all their variants: the line itself and every one-word deletion, hashed. Hashes are sums of position-wise
-   word hashes, so running sums over the exploded words give all variants of a line in linear time.
+3. Those emit all their variants: the line itself and every one-word deletion, hashed twice. Hashes are exclusive ors of
+   position-wise word hashes, so running ones over the exploded words give all variants of a line in linear time.
 4. Equal variants are joined: of lines that agree but for the word at one place, each meets the earliest only; a line
    meets the earliest of the lines that have one word more, and those meet it. The edit distance is verified on the words.
 
+Joins whose key may be hot (a very common line, a template of which one word changes) stand between two plain exchanges,
+so that adaptive execution can split a large partition.
+
 Defined results: null and empty texts stay as they are; a text that loses all its lines is empty; repeated rows of one
-doc_id and text are one document and get the same text; an empty table gives no rows; extra columns stay.
+doc_id and text are one document and get the same text; an empty table gives no rows; columns named text or n_lines_dropped
+are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -25,8 +29,6 @@ from pyspark.sql import Window as W
 
 from . import common
 
-#: Word hashes keep so many bits, so that sums over 2**20 words stay within a long.
-HASH_BITS = 42
 _BLANKS = "[ \\t\\x0B\\f\\r]+"
 _UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 
@@ -57,30 +59,31 @@ def _position() -> Column:
     return F.struct(F.col("__id").isNull().alias("lost"), F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("pos").alias("pos"))
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """__id, __th, pos, norm, n (words) and h (hash of norm) of every line that takes part."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """__id, __th, pos, norm, n (words), h and g (hashes of norm) of every line that is not empty."""
     base = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"), normal(F.col("text")).alias("__text"))
-    rows = base.select("__id", "__th", F.posexplode(F.split("__text", "\n")).alias("pos", "norm"))
+    rows = base.select("__id", "__th", F.posexplode(F.split("__text", "\n")).alias("pos", "norm")).filter("norm <> ''")
     n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return rows.withColumn("n", n).filter((F.col("n") >= least) & (F.col("norm") != "")).withColumn("h", F.xxhash64("norm"))
+    return rows.withColumns({"n": n, "h": F.xxhash64("norm"), "g": F.xxhash64(F.lit(1), "norm")})
 
 
-def _word_hash(word: Column, at: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(word, at.cast("long")), 64 - HASH_BITS)
+def _variants(lines: DataFrame) -> DataFrame:
+    """line, n, at (deleted word, 0 for none), y and z (hashes of what is left), for every line (line, n, norm)."""
+    w = lines.select("line", "n", F.posexplode(F.split("norm", " ")).alias("i", "w"))
+    seeds = {"y": (), "z": (F.lit(1),)}
+    hashes = {f"{k}{m}": F.xxhash64(*seed, "w", (F.col("i") - m).cast("long")) for k, seed in seeds.items() for m in (0, 1)}  # at its place, and one before
+    w = w.select("line", "n", "i", *[c.alias(k) for k, c in hashes.items()])
+    whole = W.partitionBy("line")
+    up_to = whole.orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    sums = {f"{k}_{what}": F.bit_xor(k).over(window) for k in hashes for what, window in (("up", up_to), ("all", whole))}
+    s = w.select("line", "n", "i", "y0", "z0", *[c.alias(k) for k, c in sums.items()])
 
+    def gone(k: str) -> Column:  # the words before in place, those behind one place earlier
+        return F.col(f"{k}0_up").bitwiseXOR(F.col(f"{k}0")).bitwiseXOR(F.col(f"{k}1_all")).bitwiseXOR(F.col(f"{k}1_up")).alias(k)
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """h, n, at (deleted word, 0 for none), z (hash of what is left), for every line (h, n, norm)."""
-    w = lines.select("h", "n", F.posexplode(F.split("norm", " ")).alias("i", "w"))
-    here, moved = _word_hash(F.col("w"), F.col("i")), _word_hash(F.col("w"), F.col("i") - 1)
-    w = w.select("h", "n", "i", here.alias("a"), moved.alias("b"))
-    before = W.partitionBy("h").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy("h").orderBy(F.col("i")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy("h")
-    s = w.select("h", "n", "i", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("left"), F.sum("b").over(after).alias("used"), F.sum("a").over(whole).alias("z0"), F.sum("b").over(whole).alias("all"))
-    gone = F.struct((F.col("i") + 1).alias("at"), (F.col("left") + F.col("all") - F.col("used")).alias("z"))
-    none = F.struct(F.lit(0).alias("at"), F.col("z0").alias("z"))
-    return s.select("h", "n", F.explode(F.when(F.col("i") == 0, F.array(none, gone)).otherwise(F.array(gone))).alias("v")).select("h", "n", "v.at", "v.z")
+    one = F.struct((F.col("i") + 1).alias("at"), gone("y"), gone("z"))
+    none = F.struct(F.lit(0).alias("at"), F.col("y0_all").alias("y"), F.col("z0_all").alias("z"))
+    return s.select("line", "n", F.explode(F.when(F.col("i") == 0, F.array(none, one)).otherwise(F.array(one))).alias("v")).select("line", "n", "v.at", "v.y", "v.z")
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -95,46 +98,50 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (long - short <= 1) & (run(a, b) + run(F.reverse(a), F.reverse(b)) >= long - 1)
 
 
-def dropped_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """__id, __th, gone: the numbers (from 0) of the lines to drop, for every document that loses any."""
-    lines = _lines(docs, min_words if exact_words is None else exact_words)
+    lines = _lines(docs)
     keys = {f"k{i}": F.when(F.col("n") >= min_words, k) for i, k in enumerate(_half_keys(F.col("norm"), F.col("n")))}
-    rows = common.cut(lines.select("__id", "__th", "pos", "h", *[k.alias(c) for c, k in keys.items()]))
+    rows = common.stash(lines.select("__id", "__th", "pos", "h", "g", *[k.alias(c) for c, k in keys.items()]), "lines")
     half = rows.filter("k0 is not null").select("h", *keys).distinct().select("h", F.explode(F.array(*keys)).alias("key"))
     shared = half.groupBy("key").agg(F.min("h").alias("p"), F.max("h").alias("q")).filter("p < q").select("key")
     partners = common.cut(half.join(shared, "key").select("h").distinct())
-    texts = lines.withColumn("__bucket", common.bucket(F.col("h"))).join(common.buckets(partners, "h"), "__bucket", "left_semi").groupBy("h", "n").agg(F.min(_position()).alias("first"), F.min("norm").alias("norm"))
-    some = common.cut(texts.join(partners, "h", "left_semi"))
-    v = common.cut(_variants(some).join(some.select("h", "first"), "h"))
+    texts = common.mark(lines.filter(F.col("n") >= min_words), F.col("h"), partners, "h", "__may").filter("__may")
+    texts = texts.groupBy("h", "g", "n").agg(F.min(_position()).alias("first"), F.min("norm").alias("norm"))
+    some = common.cut(texts.join(partners, "h", "left_semi").withColumn("line", F.monotonically_increasing_id()))
+    v = common.cut(_variants(some).join(some.select("line", "first"), "line"))
     gone = v.filter("at > 0")
     # one word replaced: same place, same rest; each meets the earliest
-    replaced = gone.groupBy("z", "at", "n").agg(F.min(F.struct("first", "h")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("z", "at", "n", F.col("m.h").alias("g"))
-    pairs = gone.join(replaced, ["z", "at", "n"]).filter("h <> g").select("h", "g")
+    key = ["y", "z", "at", "n"]
+    earliest = gone.groupBy(key).agg(F.min(F.struct("first", "line")).alias("m"), F.count("*").alias("c"))
+    replaced = common.cut(earliest.filter("c > 1").select(*key, F.col("m.line").alias("other")))
+    pairs = gone.join(replaced, key).filter("line <> other").select("line", "other")
     # one word more or less: the shorter line is a variant of the longer
-    plain = v.filter("at = 0").select("z", F.col("n").alias("short"), F.col("h").alias("g"), F.col("first").alias("g_first"))
-    more = gone.withColumn("short", F.col("n") - 1).join(plain, ["z", "short"])
-    longer = more.groupBy("g", "g_first").agg(F.min(F.struct("first", "h")).alias("m"))
-    pairs = pairs.unionByName(more.filter("g_first < first").select("h", "g")).unionByName(longer.filter("m.first < g_first").select(F.col("g").alias("h"), F.col("m.h").alias("g"))).distinct()
-    words = some.select("h", F.split("norm", " ").alias("words"))
-    checked = pairs.join(words, "h").join(words.select(F.col("h").alias("g"), F.col("words").alias("others")), "g").filter(_one_edit(F.col("words"), F.col("others")))
-    near = common.cut(checked.select("h").distinct().withColumn("near", F.lit(True)))
+    plain = v.filter("at = 0").select("y", "z", F.col("n").alias("short"), F.col("line").alias("other"), F.col("first").alias("other_first"))
+    more = gone.withColumn("short", F.col("n") - 1).join(plain, ["y", "z", "short"])
+    longer = more.groupBy("other", "other_first").agg(F.min(F.struct("first", "line")).alias("m"))
+    pairs = pairs.unionByName(more.filter("other_first < first").select("line", "other")).unionByName(longer.filter("m.first < other_first").select(F.col("other").alias("line"), F.col("m.line").alias("other"))).distinct()
+    words = some.select("line", F.split("norm", " ").alias("words"))
+    checked = pairs.join(words, "line").join(words.select(F.col("line").alias("other"), F.col("words").alias("others")), "other").filter(_one_edit(F.col("words"), F.col("others")))
+    near = checked.select("line").distinct().join(some.select("line", "h", "g"), "line").select("h", "g", F.lit(True).alias("near"))
     # exact repetitions of each line besides its first, and all occurrences of lines that are near an earlier one
-    short_rows = rows.select("__id", "__th", "pos", "h")
-    counts = short_rows.groupBy("h").agg(F.min(_position()).alias("first"), F.max(_position()).alias("last"))
-    fate = counts.join(near, "h", "left").filter("near or first < last").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    out = short_rows.join(fate, "h").filter(F.col("near") | (_position() > F.col("first")))
+    short_rows = rows.select("__id", "__th", "pos", "h", "g")
+    counts = short_rows.groupBy("h", "g").agg(F.min(_position()).alias("first"), F.max(_position()).alias("last"))
+    fate = common.cut(counts.join(near, ["h", "g"], "left").filter("near or first < last").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")))
+    common.drop(partners, some, v, replaced)
+    out = short_rows.join(fate, ["h", "g"]).filter(F.col("near") | (_position() > F.col("first")))
     return out.groupBy("__id", "__th").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None = None) -> DataFrame:
-    """docs with the text of each document less the lines that an earlier line makes redundant, and n_lines_dropped.
-    exact_words: least words of a line that goes if it repeats an earlier one, min_words if not given."""
-    gone = common.cut(dropped_lines(docs, min_words, exact_words).select(F.col("__id").alias("__d"), F.col("__th").alias("__t"), F.col("gone").alias("__gone")))
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")}).withColumn("__bucket", F.coalesce(common.bucket(F.col("__th")), F.lit(-1)))
-    touched = common.buckets(gone, "__t")
-    both = keyed.join(touched, "__bucket", "left_semi").join(gone, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__t")), "left")
+def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+    """docs with the text of each document less the lines that an earlier line makes redundant, and n_lines_dropped."""
+    before = common.written()
+    gone = common.cut(dropped_lines(docs, min_words).select(F.col("__id").alias("__d"), F.col("__th").alias("__t"), F.col("gone").alias("__gone")))
+    common.clean(docs.sparkSession, but=before | common.files(gone))
+    keyed = common.mark(docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")}), F.col("__th"), gone, "__t", "__may")
+    both = keyed.filter("__may").join(gone, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__t")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
     edited = common.replace_columns(both, {"text": text, "n_lines_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    same = common.replace_columns(keyed.join(touched, "__bucket", "left_anti"), {"text": F.col("text"), "n_lines_dropped": F.lit(0).cast("long")})
-    return edited.drop("__id", "__th", "__bucket", "__d", "__t", "__gone").unionByName(same.drop("__id", "__th", "__bucket"))
+    same = common.replace_columns(keyed.filter("not __may"), {"text": F.col("text"), "n_lines_dropped": F.lit(0).cast("long")})
+    return edited.drop("__id", "__th", "__may", "__d", "__t", "__gone").unionByName(same.drop("__id", "__th", "__may"))

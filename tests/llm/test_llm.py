@@ -122,11 +122,10 @@ def brute_lines(rows, least=5):
         keep = []
         for line in (t or "").split("\n"):
             w = tuple(x for x in re.split("[ \t\x0b\f\r]+", line.lower()) if x)
-            near = any(w == v or (len(w) == len(v) and sum(a != b for a, b in zip(w, v)) == 1) or (len(w) - len(v) == 1 and any(w[:k] + w[k + 1 :] == v for k in range(len(w)))) or (len(v) - len(w) == 1 and any(v[:k] + v[k + 1 :] == w for k in range(len(v)))) for v in seen)
-            if len(w) < least or not near:
+            near = any(w == v or (len(w) == len(v) and sum(a != b for a, b in zip(w, v)) == 1) or (len(w) - len(v) == 1 and any(w[:k] + w[k + 1 :] == v for k in range(len(w)))) or (len(v) - len(w) == 1 and any(v[:k] + v[k + 1 :] == w for k in range(len(v)))) for v in seen if len(v) >= least)
+            if not w or w not in seen and (len(w) < least or not near):
                 keep.append(line)
-            if len(w) >= least:
-                seen.append(w)
+            seen.append(w)
         out[d] = "\n".join(keep) if t is not None else None
     return out
 

@@ -21,7 +21,7 @@ def test_perplexity_tells_text_from_garbage_of_its_letters():
 
 def test_short_and_unspaced_lines_are_deduplicated(spark):
     rows = [(1, "Share this\n\nby  Ann\n我们今天去公园散步"), (2, "share  this\n\nby Bob\n我们昨天去公园散步\n我们今天去公园散歩\n别的"), (3, "Share this\n别的\n\nby ann")]
-    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), exact_words=1).collect()
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: x.text for x in got} == {1: rows[0][1], 2: "\nby Bob\n别的", 3: ""}
 
 
