@@ -142,6 +142,15 @@ def read_file(uri: str):
         return None
 
 
+def list_files(uri: str) -> list[str]:
+    """Names of the files of a folder, but for those that are being written."""
+    from pyarrow import fs
+
+    store, path = _store(uri)
+    found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.is_file and "." not in f.base_name)
+
+
 def map_file(uri: str):
     """A file of a local mount as mapped memory, None if there is none."""
     try:

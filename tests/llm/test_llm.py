@@ -80,19 +80,23 @@ def test_every_occurrence_draws_its_own_skips():
     assert e.model.decode(many) == " ".join(["international"] * 1000) and len(set(np.diff(np.flatnonzero(many == many[0])))) > 4
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 700)
     r = np.random.default_rng(5)
     x = np.round(r.normal(size=(230, 6)), 1)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 6), (302, [1.0, float("nan")] + [0.0] * 4), (303, [1.0, 2.0]), (None, [1.0] * 6), (7, x[7].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 6), (302, [1.0, float("nan")] + [0.0] * 4), (400, [1.0, 2.0]), (None, [1.0] * 6), (7, x[7].tolist())]
+    rows += [(100, x[100].tolist()), (200, x[3].tolist()), (500, x[9].tolist()), (500, x[9].tolist())]  # repeated queries, one of another vector
+    df = spark.createDataFrame([(i, v, "clash", i) for i, v in rows], "vec_id long, embedding array<double>, score string, KEY long").repartition(5)
     got = {}
-    for q in ann.nearest(df, df.filter("vec_id % 100 = 0"), k=5, query_block=2, candidate_block=16, strip=7).orderBy("query_id", "rank").collect():
-        got.setdefault(q.query_id, []).append((q.score, q.vec_id))
-    pool = [(i, np.array(v)) for i, v in rows[:230] + rows[-1:]]
-    for q in (0, 100, 200):
-        want = sorted((float(np.sqrt(((x[q] - v) ** 2).sum())), i) for i, v in pool if i != q)[:5]
-        assert [i for _, i in got[q]] == [i for _, i in want] and np.allclose([s for s, _ in got[q]], [s for s, _ in want])
-    assert 300 not in got and ann.nearest(df.limit(0), df.limit(0)).count() == 0
+    for q in ann.nearest(df, df.filter("vec_id % 100 = 0"), k=5, query_block=2, strip=7, sample=3).orderBy("query_id", "query_key", "rank").collect():
+        got.setdefault((q.query_id, q.query_key), []).append((q.score, q.vec_id, q.rank))
+    pool = [(i, np.array(v)) for i, v in rows if i is not None and v and len(v) == 6 and np.isfinite(v).all() and any(v)]
+    asked = [(0, x[0]), (100, x[100]), (200, x[200]), (200, x[3]), (500, x[9])]
+    want = [(q, sorted((float(np.sqrt(((v - w) ** 2).sum())), i) for i, w in pool if i != q)[:5]) for q, v in asked]
+    assert sorted((q, tuple(i for _, i, _ in found)) for (q, _), found in got.items()) == sorted((q, tuple(i for _, i in w)) for q, w in want)
+    for (q, _), found in got.items():
+        assert [r for *_, r in found] == [1, 2, 3, 4, 5] and any(np.allclose([s for s, *_ in found], [s for s, _ in w]) for p, w in want if p == q)
+    assert ann.nearest(df.limit(0), df.limit(0)).count() == 0 and ann.nearest(df.limit(0), df).count() == 0
 
 
 def test_quality_rules(docs):
