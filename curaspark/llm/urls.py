@@ -1,10 +1,12 @@
 """URL filter: a rule list, and a logistic regression on hashed character n-grams of host and path for what no rule fits.
 
-The regression is trained on the small labelled table below (plain Python, on the driver, the same each time); scoring is
-made of Spark's own functions: every 4-gram is hashed by md5 into 4096 weights, which stand in the plan as a constant array.
+The regression is trained on a small labelled table (``labelled``), made from words below by a rule; it is plain Python on the
+driver and gives the same weights each time. Scoring is made of Spark's own functions: every 4-gram is hashed by md5 into one of
+65536 weights, which stand in the plan as a constant array.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and gets the model's verdict
-on the empty string (allow); repeated rows are judged one by one; an empty table gives no rows; extra columns stay.
+on the empty string (allow); a score of 0 blocks; repeated rows are judged one by one; an empty table gives no rows; columns
+named host, path, rule or verdict give way, others stay.
 """
 
 from __future__ import annotations
@@ -18,58 +20,54 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GRAM, BUCKETS = 4, 4096
+GRAM, BUCKETS = 4, 65536
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-#: The labelled table: addresses to block, then addresses to allow, as host and path.
-BLOCK = """
-casino-bonus.example.com/en/12 www.casino-royal.example.net/play best-casino.example.org/es/3 online-casino-win.example.com/spin
-cheap-pills.example.net/en/41 www.cheap-pills-shop.example.com/buy pills-online.example.org/de/77 blog.cheap-meds.example.net/order
-buy-viagra.example.com/fr/9 www.viagra-deals.example.net/en/2 pharmacy-no-script.example.com/pills m.cheap-cialis.example.org/en/66
-spam-farm.example.net/en/90 www.spam-farm.example.com/de/33 spam-links.example.org/fr/18 blog.spam-site.example.net/links
-link-farm.example.com/en/7 seo-link-farm.example.net/backlinks m.link-farm.example.org/en/81 content-farm.example.com/page/55
-adult-xxx.example.com/en/5 www.xxx-videos.example.net/watch hot-xxx.example.org/es/29 free-porn.example.com/tube/3
-porn-hub-clips.example.net/fr/71 www.sex-cams.example.com/live m.adult-dating.example.org/en/8 escort-girls.example.net/de/14
-win-lottery.example.com/claim www.lottery-prize.example.net/en/62 free-money.example.org/now fast-cash-loans.example.com/apply
-payday-loans.example.net/en/4 www.easy-loans.example.com/es/53 m.quick-loan.example.org/fr/37 crypto-doubler.example.com/invest
-bet-now.example.net/odds sports-betting-tips.example.com/en/19 www.poker-slots.example.org/de/2 slot-machines.example.net/jackpot
-warez-download.example.com/crack www.cracked-games.example.net/en/48 torrent-free.example.org/get keygen-serial.example.com/download
-click-here-win.example.net/en/11 www.hot-deals-click.example.com/fr/6 replica-watches.example.org/buy fake-handbags.example.net/shop
-phishing-login.example.com/verify secure-bank-update.example.net/login malware-drop.example.org/exe virus-scan-alert.example.com/now
-"""
-ALLOW = """
-www.city-news.example.com/en/12 blog.garden-notes.example.net/en/25 m.weather-report.example.org/fr/3 library.example.net/catalogue/7
-www.university.example.com/en/41 science-today.example.net/es/90 m.history-club.example.com/de/33 docs.example.org/guide/install
-blog.travelling.example.net/en/81 www.cooking-basics.example.com/recipes/4 museum.example.org/en/66 open-maps.example.net/fr/18
-www.ththen.example.com/en/15 m.therou.example.net/en/47 blog.ththan.example.com/en/96 thering.example.net/de/61
-www.therti.example.com/en/33 blog.therion.example.net/es/97 ththred.example.com/fr/82 m.ondre.example.net/en/10
-www.ingly.example.com/de/71 erand.example.net/en/37?page=2 blog.heand.example.com/es/72 www.entha.example.net/fr/55
-m.ouver.example.com/en/29 letion.example.net/fr/14 www.schung.example.com/de/8 blog.ciente.example.net/es/62
-keitung.example.com/en/5 www.parole.example.net/fr/48 m.adormen.example.com/es/19 blog.verber.example.net/de/6
-railways.example.com/timetable/11 www.parliament.example.net/debates/53 blog.birdwatch.example.org/en/2 m.school.example.com/lessons/9
-www.orchestra.example.net/concerts/77 astronomy.example.com/en/44 blog.bookshelf.example.net/reviews/31 www.hospital.example.org/departments/5
-wiki.example.com/page/Bridge www.language-course.example.net/en/88 m.football-scores.example.com/en/65 blog.carpentry.example.org/fr/27
-tionsh.example.net/en/57 www.stthe.example.com/en/20 blog.ndere.example.net/en/84 m.thble.example.com/en/9
-gallery.example.org/en/16 www.newspaper.example.net/2024/05/story blog.statistics.example.com/en/38 open-data.example.org/sets/12
-"""
+#: Words of hosts to block and of hosts to allow, and what stands around either.
+BLOCK_WORDS = """casino bets betting poker slots jackpot roulette gambling lottery prize pills viagra cialis pharma meds spam scam linkfarm adserver ads adclick banners
+track tracker tracking popunder adult xxx porn sex cams escort nude payday loans fastcash warez cracked keygen torrent replica phishing malware trojan doubler clickbait""".split()
+ALLOW_WORDS = """weather garden library university museum history science nature reading teacher theatre orchestra railway harbour mountain kitchen recipes travel
+language grammar parliament hospital insurance newspaper letters forest river bridge station market winter window freelance winner adviser address trackfield
+pillow spice sexton farming betterment analysis mathematics chemistry wetter zeitung schule garten bahnhof verein maison cuisine histoire jardin voyage escuela
+ciudad noticias biblioteca""".split()
+_PREFIXES = ("", "www.", "m.", "blog.", "the-", "my-", "best-", "free-", "top-", "online-")
+_SUFFIXES = ("", "-shop", "-club", "-world", "-24", "s-online", "-hub", "-daily", "zone", "-now")
+_ENDS = (".com", ".net", ".org", ".info", ".example.com", ".example.net", ".example.org", ".test")
+_PATHS = ("/en/12", "/de/405", "/fr/7.html", "/es/33/", "/", "/index", "/page/8", "/en/2024.html", "/item", "/about")
+
+
+def _names(many: int) -> list[str]:
+    """Invented names of two to four syllables, so that a name that says nothing is no reason to block."""
+    out = []
+    for k in range(many):
+        x = (k + 1) * 7919
+        out.append("".join("bcdfghklmnprstvwz"[(x >> 3 * i) % 17] + "aeiou"[(x >> 5 * i + 1) % 5] for i in range(2 + k % 3)))
+    return out
+
+
+def labelled(each: int = 6, names: int = 200) -> list[tuple[str, str, float]]:
+    """host, path, label (1: block): every word stands in ``each`` hosts, parts around it taken in turn."""
+    out = []
+    for label, words in ((1.0, BLOCK_WORDS), (0.0, ALLOW_WORDS), (0.0, _names(names))):
+        for i, word in enumerate(words):
+            for j in range(each):
+                k = i * each + j
+                out.append((_PREFIXES[(3 * k + i) % 10] + word + _SUFFIXES[(7 * k + j) % 10] + _ENDS[k % 8], _PATHS[(9 * k + i) % 10], label))
+    return out
 
 
 def url_grams(host: str, path: str) -> list[int]:
     """Buckets of all n-grams of ^host$ and of the path, each part marked."""
     out = []
     for mark, part in (("h", f"^{host}$"), ("p", path)):
-        out += [int(hashlib.md5((mark + part[i : i + GRAM]).encode()).hexdigest()[:3], 16) for i in range(max(len(part) - GRAM + 1, 0))]
+        out += [int(hashlib.md5((mark + part[i : i + GRAM]).encode()).hexdigest()[:4], 16) % BUCKETS for i in range(max(len(part) - GRAM + 1, 0))]
     return out
 
 
 @lru_cache(1)
-def weights(rounds: int = 120, rate: float = 0.2, decay: float = 2e-3) -> tuple[float, tuple[float, ...]]:
+def weights(rounds: int = 60, rate: float = 0.3, decay: float = 2e-4) -> tuple[float, tuple[float, ...]]:
     """Bias and weights, by stochastic gradient steps over the labelled table in a fixed order."""
-    rows = []
-    for label, block in ((1.0, BLOCK), (0.0, ALLOW)):
-        for url in block.split():
-            host, _, path = url.partition("/")
-            rows.append((url_grams(host, "/" + path.partition("?")[0]), label))
+    rows = [(url_grams(host, path), label) for host, path, label in labelled()]
     rows.sort(key=lambda r: hashlib.md5(repr(r).encode()).digest())
     w, bias = [0.0] * BUCKETS, 0.0
     for k in range(rounds):
@@ -80,7 +78,7 @@ def weights(rounds: int = 120, rate: float = 0.2, decay: float = 2e-3) -> tuple[
             bias -= d
             for g in grams:
                 w[g] -= d / 4 + step * decay * w[g]
-    return round(min(bias, -0.5), 6), tuple(round(x, 6) for x in w)
+    return round(bias, 6), tuple(round(x, 6) for x in w)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -112,8 +110,8 @@ def model_score(host: Column, path: Column) -> Column:
         starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
         def add(acc: Column, i: Column) -> Column:
-            bucket = F.conv(F.substring(F.md5(F.concat(F.lit(mark), F.substring(part, i, F.lit(GRAM))).cast("binary")), 1, 3), 16, 10).cast("int")
-            return acc + F.element_at(table, bucket + 1)
+            bucket = F.conv(F.substring(F.md5(F.concat(F.lit(mark), F.substring(part, i, F.lit(GRAM))).cast("binary")), 1, 4), 16, 10).cast("int")
+            return acc + F.element_at(table, bucket % BUCKETS + 1)
 
         return F.aggregate(starts, F.lit(0.0), add)
 
@@ -137,7 +135,7 @@ def sql() -> str:
     what = "".join(f" WHEN '{t}' THEN '{v}'" for t, v in RULES)
 
     def total(mark: str, part: str) -> str:
-        return f"coalesce(list_sum(list_transform(range(1, greatest(length({part}) - {GRAM - 1}, 0) + 1), lambda i: w[('0x' || substr(md5('{mark}' || substr({part}, i, {GRAM})), 1, 3))::INT + 1])), 0)"
+        return f"coalesce(list_sum(list_transform(range(1, greatest(length({part}) - {GRAM - 1}, 0) + 1), lambda i: w[('0x' || substr(md5('{mark}' || substr({part}, i, {GRAM})), 1, 4))::INT % {BUCKETS} + 1])), 0)"
 
     return f"""WITH model AS (SELECT [{','.join(map(repr, w))}]::DOUBLE[] AS w),
 split AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
