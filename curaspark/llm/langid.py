@@ -5,7 +5,8 @@ text). Families are told apart by one-versus-one machines too; a language of no
 The machines are trained by dual coordinate ascent on at most ``per_language`` texts of each language.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; so does every text if nothing could be
-learned; rows with null lang teach nothing; repeated rows are judged one by one; an empty table gives no rows.
+learned; rows with null lang teach nothing; ties of votes go to the greater margins, then to the first class by name;
+repeated rows are judged one by one; an empty table gives no rows; columns named lang_pred or score give way, others stay.
 """
 
 from __future__ import annotations
@@ -122,13 +123,22 @@ class Hierarchy:
         return lang, score
 
 
-def fit(docs: DataFrame, learn, per_language: int = 300, longest: int = 200_000) -> Hierarchy:
-    """Train on rows where ``learn`` holds: of each language the ``per_language`` of the smallest hash, texts of at most
-    ``longest`` characters. Spark cuts each language to that number before its rows are shuffled."""
+def fit(docs: DataFrame, learn, per_language: int = 300, longest: int = 200_000, most_languages: int = 250) -> Hierarchy:
+    """Train on rows where ``learn`` holds: of each of the ``most_languages`` most frequent languages the ``per_language``
+    of the smallest hash (all rows of a language that has fewer), texts of at most ``longest`` characters.
+
+    Languages are counted first; of a language with n rows, only those whose hash lies in the lowest 2 * per_language / n of
+    the range (some twice as many as are wanted) are ranked, so no more texts than that are ever moved.
+    """
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.length("text") <= longest))
-    got = rows.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("__h")).withColumn("__part", F.pmod(F.hash("__h"), F.lit(64)))
-    for keys in (["lang", "__part"], ["lang"]):  # in two steps, so that the second one's groups are bounded
-        got = got.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy("__h"))).filter(F.col("__rn") <= per_language)
+    rows = rows.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("__h"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    shares = [(r["lang"], min(int(-(2.0**63) + 2.0**64 * min(1.0, 2 * per_language / r["count"])), 2**63 - 1)) for r in counts]
+    if not shares:
+        return Hierarchy([], [])
+    low = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, __most long"))  # most_languages rows at most
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("__h", "text"))
+    got = rows.join(low, "lang").filter("__h <= __most").withColumn("__rn", rank).filter(F.col("__rn") <= per_language)
     got = got.orderBy("lang", "__rn").select("text", "lang").toArrow().to_pandas()
     return Hierarchy(got["text"].tolist(), got["lang"].tolist())
 

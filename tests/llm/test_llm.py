@@ -278,3 +278,34 @@ def test_packing(docs):
     memo = packing.WordMemo(path, most=5)
     for t in ("Hello, WORLD. It's 12 o'clock!!, ok.\nYes", "<|endoftext|> x", "Σς ﬁ e\u0301", "a_, b. c", "!!. x"):
         assert memo.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_urls_held_out():
+    """Hosts that stand in no row of the table the model learns from."""
+    block = "casino-palace.net bigbets.example.com sportsbetting.org pokerstars.net cheap-pills.example.com pills4u.net spam-mail.example.net adserver9.example.com adult-zone.net livecams.net payday-advance.com torrents.org ads-count.example.com adult-y.example.net casino-win.example.com warezworld.net clicktracker.net xxx-clips.net porno.example.org jackpots.info"
+    allow = "newspapers.net weatherstation.org my-garden.com blog.libraries.example.net reading-room.org history-today.com nature-park.net schulen.example.com gartenbau.de cuisines.fr bibliotecas.es thering.example.com tionsh.example.net universal.org mountaineers.net bridges.com northern-lights.org mathematica.net kitchens.com windows.net"
+    bias, w = urls.weights()
+    known = {host for host, _, _ in urls.labelled()}
+    for hosts, verdict in ((block.split(), True), (allow.split(), False)):
+        assert not known & set(hosts)
+        assert np.mean([(bias + sum(w[g] for g in urls.url_grams(h, "/en/5"))) >= 0 for h in hosts] == np.array(verdict)) >= 0.9
+
+
+def test_language_sample_and_clashes(docs, spark):
+    """At most per_language texts of a language are learned from, whatever their number; empty tables and odd columns."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("wort und satz "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 100 == 0, "nl").otherwise("de").alias("lang"))
+    seen = []
+    real, langid.Hierarchy = langid.Hierarchy, lambda texts, langs: seen.append(langs) or real(texts, langs)
+    try:
+        model = langid.fit(rows, F.lit(True), per_language=40)
+        langid.fit(rows, F.lit(True), per_language=40, most_languages=1)
+    finally:
+        langid.Hierarchy = real
+    assert [sorted((x, langs.count(x)) for x in set(langs)) for langs in seen] == [[("de", 40), ("nl", 30)], [("de", 40)]]
+    assert langid.identify(docs.limit(0), model).count() == 0
+    odd = langid.identify(docs.withColumn("LANG_PRED", F.lit(1)), model)
+    assert odd.columns.count("lang_pred") == 1 and "LANG_PRED" not in odd.columns and odd.count() == len(ROWS)
+
+
+def test_urls_empty_table(spark):
+    assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, VERDICT long")).columns == ["page_id", "url", "host", "path", "rule", "verdict"]
