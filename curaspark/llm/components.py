@@ -32,5 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen or not state[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        seen = state
+        seen, old = state, e
         e = common.cut(_small_star(_large_star(e)))
+        common.drop(old)

@@ -11,11 +11,16 @@ A document's set is the 64-bit hashes of its distinct word n-grams; documents of
    is sent through it, partial overlaps are shared by all sets below a trie node, and a subtree is left as soon as its
    remaining length cannot reach the needed overlap, or all its sets are known to be connected to the probe.
 4. What a block has connected counts as one afterwards: first representatives of all blocks are joined, then only those
-   pairs of blocks that still hold unconnected sets of fitting sizes.
+   pairs of blocks in which sets that are not connected yet share an n-gram of their prefixes and fit in size; and of
+   these blocks only such sets.
+
+Joins whose key may be hot (copies of one text, an n-gram that all documents have) stand between two plain exchanges, so
+that adaptive execution can split a large partition.
 
 Defined results: a text without words (or null) has the empty set and links with nothing; fewer words than ``size`` make
 one n-gram of all; repeated rows share their set and so their component; rows with null doc_id link but never name
-a component unless no other row can; an empty table gives no rows; other columns are not read.
+a component unless no other row can; an empty table gives no rows; other columns are not read. keep_one returns the columns
+of docs; of rows that repeat doc_id and text one is kept.
 """
 
 from __future__ import annotations
@@ -31,7 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-BLOCK = 512
+#: Sets, and n-grams of all sets, in a block.
+BLOCK, BLOCK_GRAMS = 512, 400_000
 
 
 def shingle_sets(texts: list[str], size: int = 5) -> list[np.ndarray]:
@@ -93,7 +99,7 @@ def _sets(docs: DataFrame, size: int, keep) -> DataFrame:
 def _ordered(sets: DataFrame, percent: int) -> DataFrame:
     """node, n, toks (n-grams that another node has too, rare first, as ranks by frequency and hash), prefix of toks."""
     toks = sets.select("node", "n", F.explode("hashes").alias("h"))
-    df = toks.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    df = common.cut(toks.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"))
     rows = toks.join(df, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
     return rows.filter(F.size("s") >= need).select("node", "n", F.col("s.h").alias("toks"), F.slice(F.col("s.h"), 1, F.size("s") - need + 1).alias("prefix"))
@@ -226,27 +232,42 @@ def _join_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between different blocks of a group, for pairs of blocks that can still hold unconnected sets that fit."""
-    about = rows.groupBy("group", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    """Links between different blocks of a group, for pairs of blocks in which unconnected sets share an n-gram of their
+    prefixes and fit in size. rows: as in _join_blocks, with prefix."""
+    tokens = rows.select("group", "block", "node", "n", "root", F.explode("prefix").alias("h"))
+    open_ = common.cut(tokens.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("h"))
+    tokens = common.cut(tokens.join(open_, "h"))
+    about = tokens.groupBy("h", "group", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     x, y = about.alias("x"), about.alias("y")
-    fits = (F.col("x.block") < F.col("y.block")) & (F.col("y.lo") * percent <= F.col("x.hi") * 100) & ~((F.col("x.r0") == F.col("x.r1")) & (F.col("x.r1") == F.col("y.r0")) & (F.col("y.r0") == F.col("y.r1")))
-    pairs = x.join(y, F.col("x.group") == F.col("y.group")).filter(fits).select(F.col("x.group").alias("group"), F.col("x.block").alias("p"), F.col("y.block").alias("q"))
+    connected = (F.col("x.r0") == F.col("x.r1")) & (F.col("x.r1") == F.col("y.r0")) & (F.col("y.r0") == F.col("y.r1"))
+    sizes = (F.col("y.lo") * percent <= F.col("x.hi") * 100) & (F.col("x.lo") * percent <= F.col("y.hi") * 100)
+    fits = (F.col("x.block") < F.col("y.block")) & sizes & ~connected
+    pairs = x.join(y, F.col("x.h") == F.col("y.h")).filter(fits).select(F.col("x.group").alias("group"), F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct()
     sides = pairs.select("group", "p", "q", F.explode(F.array("p", "q")).alias("block"))
+    still = rows.select("group", "block", "node", "n", "toks", "root").join(tokens.select("node").distinct(), "node", "left_semi")
 
     def links(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["n", "node"])
         return pd.DataFrame(_block_links(x[x["block"] == x["p"]], x[x["block"] == x["q"]], percent), columns=["a", "b"], dtype="int64")
 
-    return sides.join(rows, ["group", "block"]).groupBy("group", "p", "q").applyInPandas(links, "a long, b long")
+    found = common.cut(sides.join(still, ["group", "block"]).groupBy("group", "p", "q").applyInPandas(links, "a long, b long"))
+    common.drop(open_, tokens)
+    return found
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Numbers blocks of at most about ``block`` sets in each group, by set size. A group's sets are spread by size class
-    first, so that no task sorts a whole large group: classes keep the order of sizes, and hash splits a class that is large."""
+    """Numbers blocks of at most about ``block`` sets and BLOCK_GRAMS n-grams in each group, by set size. A group's sets
+    are spread by size class first, so that no task sorts a whole large group: classes keep the order of sizes, and hash
+    splits a class that is large."""
+    about = F.struct(F.count("*").alias("sets"), F.sum("n").alias("grams"))
     rows = rows.withColumn("class", F.floor(F.log(F.col("n").cast("double")) * 16).cast("int"))
-    many = rows.groupBy("group", "class").agg(F.count("*").alias("many"))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / block)).cast("int")
-    return rows.join(many, ["group", "class"]).withColumn("part", part).withColumn("block", F.when(F.col("in_group") <= block, F.lit(0).cast("long")).otherwise(F.col("class").cast("long") * 2**31 + F.col("part"))).drop("class", "many", "part")
+    many = rows.groupBy("group", "class").agg(about.alias("of_class"))
+    whole = rows.groupBy("group").agg(about.alias("of_group"))
+    parts = F.ceil(F.greatest(F.col("of_class.sets") / block, F.col("of_class.grams") / BLOCK_GRAMS))
+    number = F.col("class").cast("long") * 2**31 + F.pmod(F.xxhash64("node"), parts)
+    small = (F.col("of_group.sets") <= block) & (F.col("of_group.grams") <= BLOCK_GRAMS)
+    found = rows.join(many, ["group", "class"]).join(whole, "group")
+    return found.withColumns({"block": F.when(small, F.lit(0).cast("long")).otherwise(number), "large": ~small}).drop("class", "of_class", "of_group")
 
 
 def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -259,46 +280,50 @@ def node_links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """A spanning forest a, b of all links between nodes (sets: node, n, hashes)."""
     rows = common.cut(_ordered(sets, percent))
     tokens = rows.select("node", F.explode("prefix").alias("h"))
-    least = tokens.groupBy("h").agg(F.min("node").alias("m"), F.max("node").alias("x")).filter("m < x").select("h", "m")
+    least = common.cut(tokens.groupBy("h").agg(F.min("node").alias("m"), F.max("node").alias("x")).filter("m < x").select("h", "m"))
     groups = components(tokens.join(least, "h").select(F.col("node").alias("a"), F.col("m").alias("b")))
-    grouped = rows.drop("prefix").join(groups.withColumnRenamed("root", "group"), "node")
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("in_group"))
-    grouped = common.cut(_blocks(grouped.join(sizes, "group").withColumn("root", F.col("node")), block))
+    grouped = common.cut(_blocks(rows.join(groups.withColumnRenamed("root", "group"), "node").withColumn("root", F.col("node")), block))
+    common.drop(rows, least)
     links = common.cut(_join_blocks(grouped, percent))
-    large = common.cut(grouped.filter(F.col("in_group") > block))
+    large = grouped.filter("large").drop("large")
     if not large.isEmpty():
         large = common.cut(_relabel(large, links))
         heads = large.join(large.groupBy("group", "block", "root").agg(F.min("node").alias("node")).select("node"), "node")
-        heads = _blocks(heads.drop("block", "in_group").join(heads.groupBy("group").agg(F.count("*").alias("in_group")), "group"), block)
-        links = common.cut(links.unionByName(_join_blocks(heads, percent)))
-        links = common.cut(links.unionByName(_cross_blocks(_relabel(large, links), percent)))
+        links = common.cut(links.unionByName(_join_blocks(_blocks(heads.drop("block"), block), percent)))
+        links = common.cut(links.unionByName(_cross_blocks(common.cut(_relabel(large, links)), percent)))
     return links
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, sketch: float = 0.34, block: int = BLOCK) -> DataFrame:
     """doc_id, th (xxhash64 of the text), n_shingles, component_id and is_head (the component's first row by doc_id and
     text hash) of every document. See the module's text."""
-    spark = docs.sparkSession
+    spark, before = docs.sparkSession, common.written()
     source = _documents(docs)
 
     def low(s: np.ndarray) -> np.ndarray:
         return s[: np.searchsorted(s, _threshold(sketch))]
 
-    about = common.cut(_sets(source, size, lambda s: None).drop("hashes"))
-    tokens = _sets(source, size, low).select("node", F.explode("hashes").alias("h"))
-    alone = tokens.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("x")).filter("node = x").groupBy("node").agg(F.count("*").alias("alone"))
-    reps = about.filter("n > 0").groupBy("node", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")).alias("r"))
-    may = reps.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100))
-    may = common.cut(may.select(F.col("r.doc_id").alias("d"), F.col("r.th").alias("t")))
-    near = common.mark(source, F.col("th"), may, "t", "__may").filter("__may")
-    texts = near.join(may, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t"))).select("doc_id", "th", "text")
-    sets = common.cut(_sets(texts, size, lambda s: s).dropDuplicates(["node"]).select("node", "n", "hashes"))
+    with common.small_batches(spark):
+        about = common.cut(_sets(source, size, lambda s: None).drop("hashes"))
+        own = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")
+        reps = common.cut(about.filter("n > 0").groupBy("node", "n").agg(F.min(own).alias("r")))
+        tokens = _sets(source, size, low).select("node", F.explode("hashes").alias("h"))
+        alone = tokens.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("x")).filter("node = x").groupBy("node").agg(F.count("*").alias("alone"))
+        may = reps.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+        may = common.cut(may.select(F.col("r.doc_id").alias("d"), F.col("r.th").alias("t")))
+        near = common.mark(source, F.col("th"), may, "t", "__may").filter("__may")
+        texts = near.join(may, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t"))).select("doc_id", "th", "text")
+        sets = common.cut(_sets(texts, size, lambda s: s).dropDuplicates(["node"]).select("node", "n", "hashes"))
     label = components(node_links(sets, percent, block))
-    named = about.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")
-    least = named.filter("n > 0").groupBy("root").agg(F.min(own).alias("least"))
-    is_head = F.when(F.col("n") > 0, F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & F.col("least.th").eqNullSafe(F.col("th"))).otherwise(F.lit(True))
-    return named.join(least, "root", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), is_head.alias("is_head"))
+    linked = common.cut(reps.join(label, "node"))
+    best = common.cut(linked.groupBy("root").agg(F.min("r").alias("best")))
+    least = reps.join(linked.join(best, "root").select("node", "best"), "node", "left").select("node", F.coalesce("best", "r").alias("least"))
+    least = common.cut(least)
+    common.clean(spark, but=before | common.files(about, least))
+    n, first = F.col("n") > 0, F.col("least")
+    is_head = F.when(n, first["doc_id"].eqNullSafe(F.col("doc_id")) & first["th"].eqNullSafe(F.col("th"))).otherwise(F.lit(True))
+    component = F.when(n, first["doc_id"]).otherwise(F.col("doc_id"))
+    return about.join(least, "node", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), is_head.alias("is_head"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
