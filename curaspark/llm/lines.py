@@ -33,10 +33,15 @@ _BLANKS = "[ \\t\\x0B\\f\\r]+"
 _UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 
 
-def normal(text: Column) -> Column:
+def _unspaced(text: Column) -> Column:
+    """Whether a text has characters of a script without blanks; all lie above the first 0xE00 code points, and a text of
+    ASCII, known by its length in bytes, is not searched."""
+    return (F.octet_length(text) > F.length(text)) & F.rlike(text, F.lit("[^\\x00-\\u0DFF]")) & F.rlike(text, F.lit(_UNSPACED))
+
+
+def normal(text: Column, unspaced: Column) -> Column:
     """A text in lower case, the words of each of its lines apart by one space; the regular expressions run only over
     texts that hold other blanks than single spaces between words."""
-    unspaced = F.rlike(text, F.lit(_UNSPACED))
     low = F.when(unspaced, F.regexp_replace(F.lower(text), f"({_UNSPACED})", " $1 ")).otherwise(F.lower(text))
     odd = unspaced | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
     for mark in ("\t", "\x0b", "\f", "\r", "  ", " \n", "\n "):
@@ -61,7 +66,8 @@ def _position() -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """__id, __th, pos, norm, n (words), h and g (hashes of norm) of every line that is not empty."""
-    base = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"), normal(F.col("text")).alias("__text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("__id"), "text", _unspaced(F.col("text")).alias("__unspaced"))
+    base = base.select("__id", F.xxhash64("text").alias("__th"), normal(F.col("text"), F.col("__unspaced")).alias("__text"))
     rows = base.select("__id", "__th", F.posexplode(F.split("__text", "\n")).alias("pos", "norm")).filter("norm <> ''")
     n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
     return rows.withColumns({"n": n, "h": F.xxhash64("norm"), "g": F.xxhash64(F.lit(1), "norm")})
