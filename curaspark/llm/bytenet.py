@@ -170,5 +170,5 @@ def classify(docs: DataFrame, net: ByteNet, threshold: float = 0.3) -> DataFrame
             yield pd.Series(net.score([t or "" for t in batch]))
 
     s = F.col("__score")
-    out = docs.withColumn("__score", score.asNondeterministic()(F.col("text").cast("string")))
+    out = common.in_small_batches(docs).withColumn("__score", score.asNondeterministic()(F.col("text").cast("string")))
     return common.replace_columns(out, {"score": s, "predicted": (s >= threshold).cast("int")}).drop("__score")

@@ -178,10 +178,25 @@ def mark(df: DataFrame, key: Column, values: DataFrame, column: str, name: str)
     return keyed.withColumn(name, hit).drop("__at", "__word", "__bits")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession):
-    """For actions inside: text columns need fewer rows in a batch than Arrow's default of 10,000. Lazy results run with
-    the session's own settings; those bound a batch by bytes."""
-    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """For actions inside: text columns need fewer rows in a batch than Arrow's default of 10,000."""
+    return setting(spark, _BATCH, BATCH_ROWS)
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same for what is made of df and run later: df in a session of its own, a copy of the caller's but for the size
+    of batches. The caller's session keeps its settings, whatever is built or run in it meanwhile."""
+    spark = df.sparkSession
+    own = spark._jsparkSession.cloneSession()
+    own.conf().set(_BATCH, BATCH_ROWS)
+    classic = spark._jvm.org.apache.spark.sql.classic
+    there = classic.Dataset.ofRows(own, df._jdf.queryExecution().analyzed())
+    session = SparkSession(spark.sparkContext, own)
+    classic.SparkSession.setActiveSession(spark._jsparkSession)  # the line above has made the copy the active one
+    return DataFrame(there, session)
 
 
 def trim() -> None:

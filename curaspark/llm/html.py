@@ -340,6 +340,6 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in common.leanly(batches):
             yield pd.Series([main_text(x) if x else "" for x in batch], dtype=object)
 
-    out = pages.withColumn("__text", read.asNondeterministic()(F.col("html").cast("string")))
+    out = common.in_small_batches(pages).withColumn("__text", read.asNondeterministic()(F.col("html").cast("string")))
     t = F.col("__text")
     return common.replace_columns(out, {"text": t, "n_chars": F.length(t).cast("long")}).drop("__text")

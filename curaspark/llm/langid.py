@@ -158,5 +158,5 @@ def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
             yield pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": pd.Series(score, dtype=float)})
 
     p = F.col("__pred")
-    out = docs.withColumn("__pred", predict.asNondeterministic()(F.col("text").cast("string")))
+    out = common.in_small_batches(docs).withColumn("__pred", predict.asNondeterministic()(F.col("text").cast("string")))
     return common.replace_columns(out, {"lang_pred": p["lang_pred"], "score": p["score"]}).drop("__pred")

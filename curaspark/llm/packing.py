@@ -168,8 +168,6 @@ def _encoder(path: str):
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, open_windows: int = 48, min_piece: int = 8, merge_partitions: int = 16) -> DataFrame:
     """Pieces of all documents: one row for each, with its sequence and offset. See the module's text."""
-    spark = docs.sparkSession
-    id_type = "long"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -219,7 +217,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN,
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    pieces = common.cut(docs.select(F.col("doc_id").cast(id_type), "text").mapInPandas(pack, _OPEN_SCHEMA))
+    pieces = common.cut(common.in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(pack, _OPEN_SCHEMA))
     merged = pieces.filter("window is not null").groupBy(F.expr(f"partition div {merge_partitions}").alias("g")).applyInPandas(merge, SCHEMA)
     return pieces.filter("window is null").select(*OUTPUT).unionByName(merged)
 

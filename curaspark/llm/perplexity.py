@@ -335,7 +335,7 @@ def fit(docs: DataFrame, shards: int = 64) -> Model:
         stats, pairs, pair_n = shard_statistics(codes, n)
         return pd.DataFrame({"shard": [key[0]], "codes": [codes.tobytes()], "n": [n.tobytes()], "stats": [stats], "pairs": [pairs.astype(np.int32)], "pair_n": [pair_n]})
 
-    merged = common.cut(count_grams(docs, shards).groupBy("shard").applyInPandas(merge, kind))
+    merged = common.cut(count_grams(common.in_small_batches(docs), shards).groupBy("shard").applyInPandas(merge, kind))
     stats = merged.select(F.posexplode("stats").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
     pairs = merged.select(F.explode(F.arrays_zip("pairs", "pair_n")).alias("x")).groupBy("x.pairs").agg(F.sum("x.pair_n").alias("n")).toArrow()  # 65,536 rows at most
     base = Base([r.v for r in stats] or [0] * 4 * (ORDER - LOCAL + 1), pairs["pairs"].to_numpy(), pairs["n"].to_numpy())
@@ -430,7 +430,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.concat(parts, ignore_index=True) if parts else base_features([]).assign(log_ppl=0.0)
 
     x = F.col("__judged")
-    out = docs.withColumn("__judged", read.asNondeterministic()(F.col("text").cast("string")))
+    out = common.in_small_batches(docs).withColumn("__judged", read.asNondeterministic()(F.col("text").cast("string")))
     return common.replace_columns(out, {f.split()[0]: x[f.split()[0]] for f in FEATURES.split(", ")}).drop("__judged")
 
 

@@ -414,7 +414,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
         for text, doc in common.leanly(batches):
             yield pd.Series([x.view(np.int32) for x in encoder.encode([t or "" for t in text], doc.tolist())])
 
-    out = docs.withColumn("__ids", run.asNondeterministic()(F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
+    out = common.in_small_batches(docs).withColumn("__ids", run.asNondeterministic()(F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
     return common.replace_columns(out, {"ids": F.col("__ids")}).drop("__ids")
 
 
@@ -427,5 +427,5 @@ def decode(rows: DataFrame, model_path: str) -> DataFrame:
         for batch in common.leanly(batches):
             yield pd.Series(["" if x is None else model.decode(np.asarray(x)) for x in batch], dtype=object)
 
-    out = rows.withColumn("__text", run.asNondeterministic()(F.col("ids")))
+    out = common.in_small_batches(rows).withColumn("__text", run.asNondeterministic()(F.col("ids")))
     return common.replace_columns(out, {"decoded": F.col("__text")}).drop("__text")
