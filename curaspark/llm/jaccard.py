@@ -203,7 +203,8 @@ def probe(trie: Trie, rank: dict, n: int, toks: tuple, percent: int, same) -> It
 
 
 def _block_links(left: pd.DataFrame, right: pd.DataFrame | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside a block, or between two blocks, given what is connected already (root)."""
+    """Stars (least node, node) of what the links inside a block, or between two blocks, connect, given what is connected
+    already (root, the least node): few rounds find the components of stars."""
     rows = left if right is None else pd.concat([left, right], ignore_index=True)
     nodes, sizes, roots = rows["node"].tolist(), rows["n"].tolist(), rows["root"].tolist()
     toks = [tuple(t.tolist()) for t in rows["toks"]]
@@ -213,17 +214,19 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame | None, percent: int) -
     split = len(left)
     inside = range(len(nodes)) if right is None else range(split)
     trie = Trie.of(sorted(((i, sizes[i], toks[i]) for i in inside), key=lambda x: x[2]))
-    links = []
     for i in inside if right is None else range(split, len(nodes)):
         rank = {t: k for k, t in enumerate(toks[i])}
         for k in probe(trie, rank, sizes[i], toks[i], percent, lambda k, i=i: groups.find(k) == groups.find(i)):
-            if groups.join(i, k):
-                links.append((nodes[i], nodes[k]))
-    return links
+            groups.join(i, k)
+    least: dict[int, int] = {}
+    for i, r in enumerate(roots):
+        g = groups.find(i)
+        least[g] = min(least.get(g, r), r)
+    return [(least[groups.find(i)], r) for r, i in first.items() if least[groups.find(i)] != r]
 
 
 def _join_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: group (candidate group), node, n, toks, root. Links a, b inside each block of the group's sets by size."""
+    """rows: group (candidate group), node, n, toks, root. Stars a, b of what is linked inside each block."""
 
     def links(x: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_block_links(x.sort_values(["n", "node"]), None, percent), columns=["a", "b"], dtype="int64")
@@ -277,7 +280,7 @@ def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def node_links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """A spanning forest a, b of all links between nodes (sets: node, n, hashes)."""
+    """Edges a, b whose components are those of all links between nodes (sets: node, n, hashes)."""
     rows = common.cut(_ordered(sets, percent))
     tokens = rows.select("node", F.explode("prefix").alias("h"))
     least = common.cut(tokens.groupBy("h").agg(F.min("node").alias("m"), F.max("node").alias("x")).filter("m < x").select("h", "m"))
@@ -287,8 +290,9 @@ def node_links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     links = common.cut(_join_blocks(grouped, percent))
     large = grouped.filter("large").drop("large")
     if not large.isEmpty():
-        large = common.cut(_relabel(large, links))
-        heads = large.join(large.groupBy("group", "block", "root").agg(F.min("node").alias("node")).select("node"), "node")
+        own = links.select(F.col("b").alias("node"), F.col("a").alias("r"))  # a node stands in one block, so in one star
+        large = common.cut(large.drop("root").join(own, "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r"))
+        heads = large.filter("node = root")
         links = common.cut(links.unionByName(_join_blocks(_blocks(heads.drop("block"), block), percent)))
         links = common.cut(links.unionByName(_cross_blocks(common.cut(_relabel(large, links)), percent)))
     return links
