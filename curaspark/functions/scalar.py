@@ -78,5 +78,10 @@ def normalised(v) -> Column:
     return F.when((n > 0) & (n < float("inf")), F.transform(_c(v), lambda x: x.cast("double") / n)).otherwise(bad)
 
 
+def evaluation_label(training, evaluation) -> Column:
+    """How a report names what was learned from and what was judged."""
+    return F.concat_ws(" → ", _c(training), _c(evaluation))
+
+
 def training_relation(training, evaluation) -> Column:
     return F.when(_c(training).contains("+"), "combined").when(_c(training) == _c(evaluation), "within_domain").otherwise("cross_domain")

@@ -38,4 +38,4 @@ def modality_pairs(catalog: DataFrame, first: str = "PPL", second: str = "XPL")
 def pair_table(catalog: DataFrame, first: str = "PPL", second: str = "XPL") -> DataFrame:
     wide = catalog.filter(F.col("mode").isin(first, second)).groupBy("sample_id", "split", "class_name").pivot("mode", [first, second]).agg(F.first("path"))
     a, b = F.col(first), F.col(second)
-    return wide.select("sample_id", "split", "class_name", a.alias(f"path_{first}"), b.alias(f"path_{second}"), (a.isNotNull() & b.isNotNull()).alias("has_pair"))
+    return wide.select("sample_id", "split", "class_name", a.alias(f"path_{first}"), b.alias(f"path_{second}"), (a.isNotNull() & b.isNotNull()).alias("has_pair")).orderBy("split", "class_name", "sample_id")

@@ -38,6 +38,13 @@ def unique(df: DataFrame, keys: list[str], what: str = "duplicate keys") -> Data
     return df
 
 
+def join_reviews(df: DataFrame, reviews: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """df with columns of the reviews that have the same keys, nulls equal to each other; df's rows without one have nulls."""
+    other = reviews.select(*[F.col(k).alias(f"_{k}") for k in keys], *columns)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(other, same, "left").drop(*[f"_{k}" for k in keys])
+
+
 def split_conflicts(df: DataFrame, identity=("sample_id", "mode", "class_name")) -> DataFrame:
     """Identities (as they are written) that stand in more than one split; null splits don't count."""
     require_columns(df, [*identity, "split"])
@@ -48,7 +55,7 @@ def conflicting_rows(df: DataFrame, identity=("sample_id", "mode", "class_name")
     """Rows of the identities in split_conflicts."""
     bad = split_conflicts(df, identity).select(*[F.col(c).alias(f"_{c}") for c in identity])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in identity])
-    return df.join(bad, same, "left_semi")
+    return df.join(bad, same, "left_semi").orderBy(*identity, "split")
 
 
 def disjoint_splits(df: DataFrame) -> DataFrame:
@@ -125,6 +132,14 @@ def complete_classes(df: DataFrame, splits=("train", "val", "test"), modes: int
     return df
 
 
+def ready_for_embedding(near_duplicate_report: DataFrame, quality_report: DataFrame, images: int) -> None:
+    """The gates before images are embedded: no near duplicate waits for a decision, and so many images are accepted."""
+    refuse(near_duplicate_report.filter("decision = 'pending_review'"), "near duplicates without a decision")
+    accepted = quality_report.filter(F.col("use_for_model")).count()
+    if accepted != images:
+        raise ContractError(f"{accepted} accepted images, {images} expected")
+
+
 def fold_feasibility(df: DataFrame, outer: int, inner: int) -> DataFrame:
     """least, most: class sizes of each mode; feasible: whether outer and inner folds can hold each class."""
     if outer < 2 or inner < 2:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curaspark.functions.scalar import training_relation
+from curaspark.functions.scalar import evaluation_label
 
 
 def confusion_matrix(predictions: DataFrame, groups: list[str]) -> DataFrame:
@@ -51,8 +51,10 @@ def run_numbers(run: Column, outer: int) -> tuple[Column, Column]:
     return (F.floor(run / outer) + 1).cast("int"), (run % outer + 1).cast("int")
 
 
-def with_relation(df: DataFrame) -> DataFrame:
-    return df.withColumn("relation", training_relation("training_domain", "evaluation_mode"))
+def scenarios(df: DataFrame) -> DataFrame:
+    """The distinct pairs of training domain and evaluation mode in order, with their label."""
+    pairs = df.select("training_domain", "evaluation_mode").distinct().orderBy("training_domain", "evaluation_mode")
+    return pairs.withColumn("scenario", evaluation_label("training_domain", "evaluation_mode"))
 
 
 def stability_summary(folds: DataFrame, metrics=("macro_f1", "accuracy", "balanced_accuracy"), groups=("training_domain", "evaluation_mode", "relation")) -> DataFrame:

@@ -13,6 +13,7 @@ from curaspark.functions.scalar import hamming
 from curaspark.schemas import NEAR_DUPLICATE_KEY
 
 from .contracts import ContractError, review_file, unique
+from .contracts import join_reviews as contracts_join
 
 DECISIONS = ("distinct_keep", "exclude_train_near_duplicate")
 HASH_BITS = 64
@@ -22,8 +23,13 @@ def pack_bits(v: Column, bits: int = HASH_BITS) -> Column:
     """Long whose bits, first component highest, tell which components exceed the median of all but the first; bit of the
     first is 0. For an odd number of others the median is the middle one."""
     rest = F.slice(v, 2, bits - 1)
-    median = F.element_at(F.sort_array(rest), bits // 2)
-    return F.aggregate(rest, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > median, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def packed(median: Column) -> Column:
+        return F.aggregate(rest, none, lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > median, one).otherwise(none)))
+
+    # a variable of a lambda is computed once, not once for each component
+    return F.transform(F.array(F.element_at(F.sort_array(rest), bits // 2)), packed)[0]
 
 
 def area_resize(g: np.ndarray, size: int) -> np.ndarray:
@@ -76,7 +82,8 @@ def near_duplicates(hashed: DataFrame, max_distance: int = 4) -> DataFrame:
     """
     if max_distance < 0:
         raise ContractError("max_distance must not be negative")
-    rows = hashed.filter(F.col("mode").isNotNull() & F.col("class_id").isNotNull())
+    # dealt out once, so that neither side of the join computes a hash again for every pair
+    rows = hashed.filter(F.col("mode").isNotNull() & F.col("class_id").isNotNull()).repartition("row_id")
     bands = max_distance + 1
     banded = bands <= 8
     if banded:
@@ -104,7 +111,7 @@ def apply_near_duplicate_reviews(report: DataFrame, reviews: DataFrame) -> DataF
 
 
 def join_reviews(report: DataFrame, reviews: DataFrame) -> DataFrame:
-    out = report.join(reviews.select(*NEAR_DUPLICATE_KEY, "decision", "notes"), NEAR_DUPLICATE_KEY, "left")
+    out = contracts_join(report, reviews, NEAR_DUPLICATE_KEY, ["decision", "notes"])
     return out.withColumns({"decision": F.coalesce("decision", F.lit("pending_review")), "notes": F.coalesce("notes", F.lit(""))})
 
 

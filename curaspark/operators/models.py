@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from curaspark.functions.scalar import training_relation
 
-from .contracts import ContractError, c_grid, refuse
+from .contracts import ContractError, c_grid, complete_classes, refuse
 from .evaluation import fold_assignment
 
 PREDICTIONS = "embedding_row long, sample_id string, mode string, class_name string, training_domain string, true_class string, predicted_class string"
@@ -105,8 +105,9 @@ def probe_scenarios(index: DataFrame) -> DataFrame:
 
 def linear_probes(index: DataFrame, c_values, local_rows: int = LOCAL_ROWS) -> tuple[DataFrame, DataFrame]:
     """Metrics and predictions of three training domains on both modes: C is chosen on val (smallest of the best), the model
-    is fitted again on train and val and used on test once."""
+    is fitted again on train and val and used on test once. Every class must stand in each split of each mode."""
     grid = c_grid(c_values)
+    complete_classes(index.filter(F.col("split").isin("train", "val", "test")))
     rows = probe_scenarios(index).select("training_domain", "role", "embedding_row", "sample_id", "mode", "class_name", "embedding")
     most = rows.groupBy("training_domain").count().agg(F.max("count")).first()[0] or 0
     if most > local_rows:
@@ -138,32 +139,43 @@ def _probe_tables(got: DataFrame) -> tuple[DataFrame, DataFrame]:
     return m.select(*names[:2], "relation", *names[2:]).orderBy("training_domain", "evaluation_mode"), got.select(*[c.split()[0] for c in PREDICTIONS.split(", ")]).orderBy("training_domain", "mode", "sample_id")
 
 
-def _distributed_probes(index: DataFrame, grid: list[float]) -> tuple[DataFrame, DataFrame]:
-    """The same by pyspark.ml, whose penalty is 1 / (C n)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IndexToString, StringIndexer
+def _coded(index: DataFrame):
+    """The coder of class names, and index with y and x as pyspark.ml wants them."""
+    from pyspark.ml.feature import StringIndexer
     from pyspark.ml.functions import array_to_vector
 
     coder = StringIndexer(inputCol="class_name", outputCol="y", stringOrderType="alphabetAsc").fit(index)
-    data = coder.transform(index).withColumn("x", array_to_vector("embedding"))
-    fit_rows, out = domains(data.filter(F.col("split").isin("train", "val"))), None
+    return coder, coder.transform(index).withColumn("x", array_to_vector(F.col("embedding").cast("array<double>")))
+
+
+def _fitted(rows: DataFrame, c: float):
+    """A multinomial logistic regression and its number of rows; the library's penalty is 1 / (C n)."""
+    from pyspark.ml.classification import LogisticRegression
+
+    n = rows.count()
+    solver = LogisticRegression(featuresCol="x", labelCol="y", predictionCol="guess", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=5000)
+    return solver.fit(rows), n
 
-    def model(rows: DataFrame, c: float):
-        n = rows.count()
-        return LogisticRegression(featuresCol="x", labelCol="y", predictionCol="guess", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=5000).fit(rows), n
+
+def _distributed_probes(index: DataFrame, grid: list[float]) -> tuple[DataFrame, DataFrame]:
+    """The same by pyspark.ml."""
+    from pyspark.ml.feature import IndexToString
 
     from .evaluation import probe_metrics
 
+    coder, data = _coded(index)
+    fit_rows, out = domains(data.filter(F.col("split").isin("train", "val"))), None
+
     name = IndexToString(inputCol="guess", outputCol="predicted_class", labels=coder.labels)
     for domain in sorted(r[0] for r in fit_rows.select("training_domain").distinct().limit(3).collect()):
         own = fit_rows.filter(F.col("training_domain") == domain)
         train, val = (own.filter(F.col("split") == s) for s in ("train", "val"))
         tried = []
         for c in grid:
-            p = name.transform(model(train, c)[0].transform(val)).withColumn("true_class", F.col("class_name"))
+            p = name.transform(_fitted(train, c)[0].transform(val)).withColumn("true_class", F.col("class_name"))
             tried.append((probe_metrics(p, []).first()["macro_f1"], -c))
         best, less = max(tried)
-        fitted, n = model(own, -less)
+        fitted, n = _fitted(own, -less)
         p = name.transform(fitted.transform(data.filter(F.col("split") == "test")))
         p = p.select("embedding_row", "sample_id", "mode", "class_name", F.lit(domain).alias("training_domain"), F.col("class_name").alias("true_class"), "predicted_class", F.lit(-less).alias("selected_c"), F.lit(best).alias("validation_macro_f1"), F.lit(n).cast("long").alias("fit_samples"))
         out = p if out is None else out.unionByName(p)
@@ -177,8 +189,10 @@ def repeated_probes(index: DataFrame, c_values, outer: int = 5, repeats: int = 5
 
     dev = index.filter(F.col("split").isin("train", "val"))
     refuse(fold_feasibility(dev, outer, inner).filter("not feasible"), "folds cannot hold every class")
+    lost = dev.select("class_name").distinct().join(dev.select("mode").distinct(), how="cross").join(dev, ["mode", "class_name"], "left_anti")
+    refuse(lost, "classes missing in")
     if dev.count() > local_rows:
-        raise ContractError(f"more than {local_rows} rows; run linear_probes, which has a distributed solver")
+        return _distributed_repeats(dev, grid, outer, repeats, inner, seed)
     dealt = fold_assignment(dev, outer, repeats, seed).select("repeat", "fold", "embedding_row", "sample_id", "mode", "class_name", "embedding")
     runs = domains(dealt).withColumn("own", F.lit(True)).unionByName(_others(dealt))
     runs = runs.withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1)))).filter("own or fold = outer_fold")
@@ -205,7 +219,39 @@ def repeated_probes(index: DataFrame, c_values, outer: int = 5, repeats: int = 5
         return pd.DataFrame(out, columns=[c.split()[0] for c in FOLDS.split(", ")])
 
     got = runs.groupBy("repeat", "outer_fold", "training_domain").applyInPandas(run, FOLDS)
-    return got.withColumn("relation", training_relation("training_domain", "evaluation_mode"))
+    return got.withColumn("relation", training_relation("training_domain", "evaluation_mode")).orderBy("training_domain", "evaluation_mode", "outer_repeat", "outer_fold")
+
+
+def _distributed_repeats(dev: DataFrame, grid: list[float], outer: int, repeats: int, inner: int, seed: int) -> DataFrame:
+    """The same by pyspark.ml, one fit after the other over all rows. Inner folds are dealt by hash like the outer ones."""
+    from pyspark.ml.feature import IndexToString
+
+    from .evaluation import probe_metrics
+
+    coder, data = _coded(dev)
+    name = IndexToString(inputCol="guess", outputCol="predicted_class", labels=coder.labels)
+    dealt, out = domains(fold_assignment(data, outer, repeats, seed)), []
+
+    def judged(model, rows: DataFrame, groups: list[str]) -> DataFrame:
+        return probe_metrics(name.transform(model.transform(rows)).withColumn("true_class", F.col("class_name")), groups)
+
+    names = sorted(r[0] for r in dealt.select("training_domain").distinct().limit(3).collect())
+    for repeat in range(repeats):
+        for fold in range(outer):
+            held = dealt.filter((F.col("repeat") == repeat) & (F.col("fold") == fold)).dropDuplicates(["embedding_row"])
+            for domain in names:
+                own = dealt.filter((F.col("repeat") == repeat) & (F.col("fold") != fold) & (F.col("training_domain") == domain)).drop("repeat", "fold")
+                parts = fold_assignment(own.withColumn("all", F.lit(1)), inner, 1, seed + (repeat * outer + fold) * 101, "all").drop("repeat")
+                tried = []
+                for c in grid:
+                    got = [judged(_fitted(parts.filter(F.col("fold") != j), c)[0], parts.filter(F.col("fold") == j), []).first()["macro_f1"] for j in range(inner)]
+                    tried.append((float(np.mean(got)), -c))
+                best, less = max(tried)
+                model, n = _fitted(own, -less)
+                for r in judged(model, held, ["mode"]).collect():
+                    out.append((repeat + 1, fold + 1, domain, r["mode"], -less, best, r["accuracy"], r["balanced_accuracy"], r["macro_f1"], n, r["samples"]))
+    got = dev.sparkSession.createDataFrame(out, FOLDS)
+    return got.withColumn("relation", training_relation("training_domain", "evaluation_mode")).orderBy("training_domain", "evaluation_mode", "outer_repeat", "outer_fold")
 
 
 def _others(dealt: DataFrame) -> DataFrame:
@@ -215,14 +261,78 @@ def _others(dealt: DataFrame) -> DataFrame:
     return dealt.withColumn("training_domain", other).withColumn("own", F.lit(False))
 
 
-def kmeans(index: DataFrame, k: int, seeds: int = 50, seed: int = 42) -> DataFrame:
-    """index with kmeans_cluster: the fit of least cost over so many seeds."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def kmeans(index: DataFrame, k: int, seeds: int = 50, seed: int = 42, most: int = 300, tol: float = 1e-4, sample: int = 20_000) -> DataFrame:
+    """index with kmeans_cluster: the fit of least cost over so many starts.
+
+    All starts move at once: a round is one pass over the rows, in which a task adds up its rows by start and cluster. The
+    first centres are drawn by distance (k-means++) from the ``sample`` rows of the smallest hash; all else is of all rows.
+    A start rests when its centres move less than ``tol`` times the mean variance.
+    """
+    x = F.col("embedding").cast("array<double>")
+    rows = index.select("embedding_row", x.alias("x")).filter("x is not null").persist()
+    try:
+        pool = rows.orderBy(F.xxhash64("embedding_row", "x")).limit(sample).select("x").toArrow()["x"].to_pylist()
+        points = np.array(pool, float)
+        if len(np.unique(points, axis=0)) < k:
+            raise ContractError(f"fewer than {k} different rows")
+        centres = np.array([_first_centres(points, k, np.random.default_rng(seed + s)) for s in range(seeds)])
+        least = tol * float(points.var(0).mean())
+        active, cost = list(range(seeds)), np.full(seeds, np.inf)
+        for _ in range(most):
+            sums, count, cost[active] = _kmeans_round(rows, centres[active])
+            moved = np.where(count[:, :, None] > 0, sums / np.maximum(count, 1)[:, :, None], centres[active])
+            shift = ((moved - centres[active]) ** 2).sum((1, 2))
+            centres[active] = moved
+            active = [s for s, d in zip(active, shift, strict=True) if d > least]
+            if not active:
+                break
+        best = centres[int(np.argmin(_kmeans_round(rows, centres)[2]))]
+    finally:
+        rows.unpersist()
 
-    data = index.withColumn("_x", array_to_vector(F.col("embedding").cast("array<double>"))).cache()
-    best = min((KMeans(featuresCol="_x", predictionCol="kmeans_cluster", k=k, seed=seed + s, maxIter=300, tol=1e-4).fit(data) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
-    return best.transform(data).drop("_x")
+    @F.pandas_udf("int")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            m = np.array(batch.tolist(), float)
+            yield pd.Series((((best**2).sum(1) - 2 * m @ best.T).argmin(1) if len(m) else np.zeros(0)).astype(np.int32))
+
+    return index.withColumn("kmeans_cluster", nearest(x))
+
+
+def _first_centres(points: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
+    out = [points[r.integers(len(points))]]
+    away = ((points - out[0]) ** 2).sum(1)
+    while len(out) < k:
+        out.append(points[r.choice(len(points), p=away / away.sum())])
+        away = np.minimum(away, ((points - out[-1]) ** 2).sum(1))
+    return np.array(out)
+
+
+def _kmeans_round(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums and numbers of the rows nearest to each centre (by start and cluster), and the cost of each start."""
+    starts, k, dim = centres.shape
+    flat = centres.reshape(-1, dim)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, square = np.zeros((starts * k, dim + 2)), (flat**2).sum(1)
+        for b in batches:
+            x = np.array(b["x"].tolist(), float).reshape(-1, dim)
+            d = (square - 2 * x @ flat.T).reshape(len(x), starts, k)
+            at = d.argmin(2) + np.arange(starts) * k
+            near = np.take_along_axis(d, (at - np.arange(starts) * k)[:, :, None], 2)[:, :, 0] + (x**2).sum(1)[:, None]
+            for s in range(starts):
+                one = np.zeros((len(x), k))
+                one[np.arange(len(x)), at[:, s] - s * k] = 1
+                total[s * k : s * k + k, :dim] += one.T @ x
+                total[s * k : s * k + k, dim] += one.sum(0)
+                total[s * k : s * k + k, dim + 1] += one.T @ np.maximum(near[:, s], 0)
+        yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
+
+    got = rows.select("x").mapInPandas(add, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    total = np.zeros(starts * k * (dim + 2))
+    total[got["at"].to_numpy()] = got["v"].to_numpy()
+    total = total.reshape(starts, k, dim + 2)
+    return total[:, :, :dim], total[:, :, dim], total[:, :, dim + 1].sum(1)
 
 
 def silhouette(rows: DataFrame, cluster: str, block: int = 1024) -> DataFrame:

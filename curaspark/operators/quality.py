@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .contracts import review_file, unique
+from .contracts import join_reviews, review_file, unique
 
 REVIEW_KEY = ["mode", "split", "class_name", "sample_id"]
 DECISIONS = ("keep", "exclude")
@@ -83,7 +83,7 @@ def apply_manual_reviews(report: DataFrame, reviews: DataFrame) -> DataFrame:
     """Report left-joined with its reviews; reviews that fit no row are dropped."""
     review_file(reviews, REVIEW_KEY, "manual_decision", DECISIONS)
     unique(report, REVIEW_KEY)
-    joined = report.join(reviews.select(*REVIEW_KEY, "manual_decision", "review_notes"), REVIEW_KEY, "left")
+    joined = join_reviews(report, reviews, REVIEW_KEY, ["manual_decision", "review_notes"])
     return final_status(joined.withColumns({"manual_decision": F.coalesce("manual_decision", F.lit("")), "review_notes": F.coalesce("review_notes", F.lit(""))}))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curaspark.functions.scalar import slug, stem
+from curaspark.functions.scalar import stem
 
 from .contracts import ContractError, refuse, unique
 
@@ -23,7 +23,7 @@ def parse_archive(entries: DataFrame, classes: DataFrame, prefix: str, excluded_
     if excluded_members:
         rows = rows.filter(~F.lower("member_path").isin([m.lower() for m in excluded_members]))
     known = classes.select("class_id", "class_label").withColumn("folder", F.lower("class_id"))
-    return rows.join(known, "folder").select("member_path", "mode", "split", "class_id", "class_label", "filename", stem("filename").alias("sample_id"), "file_size", "compress_size")
+    return rows.join(known, "folder").select("member_path", "mode", "split", "class_id", "class_label", "filename", stem("filename").alias("sample_id"), "file_size", "compress_size").orderBy("split", "class_id", F.lower("sample_id"), "mode")
 
 
 def missing_exclusions(entries: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def select_images(rows: DataFrame, strata: DataFrame, requested: dict[str, int],
     """select_reserved, failing with the list of all short strata."""
     out = select_reserved(rows, requested, seed, klass)
     refuse(shortages(out, strata, requested, klass), "not enough images")
-    return out
+    return out.orderBy("mode", "split", klass, F.lower("sample_id"))
 
 
 def exact_pairs(rows: DataFrame, klass: str = "class_id") -> DataFrame:
@@ -84,7 +84,7 @@ def exact_pairs(rows: DataFrame, klass: str = "class_id") -> DataFrame:
     keyed = rows.withColumn("key", F.lower("sample_id"))
     unique(keyed, ["mode", "split", klass, "key"], "duplicate entries")
     a, b = (keyed.filter(F.col("mode") == m).select("split", klass, "key", F.struct(*rows.columns).alias(m.lower())) for m in ("PPL", "XPL"))
-    return a.join(b, ["split", klass, "key"]).select("split", klass, F.col("ppl.sample_id").alias("sample_id"), "ppl", "xpl")
+    return a.join(b, ["split", klass, "key"]).select("split", klass, F.col("ppl.sample_id").alias("sample_id"), "ppl", "xpl").orderBy("split", klass, F.lower("sample_id"))
 
 
 def select_pairs(pairs: DataFrame, requested: dict[str, int], seed: int, klass: str = "class_id") -> DataFrame:
@@ -95,7 +95,14 @@ def select_pairs(pairs: DataFrame, requested: dict[str, int], seed: int, klass:
     have = out.groupBy(klass, "split").count()
     short = pairs.select(klass).distinct().crossJoin(pairs.sparkSession.createDataFrame(list(requested.items()), "split string, wanted int")).join(have, [klass, "split"], "left").filter(F.coalesce("count", F.lit(0)) < F.col("wanted"))
     refuse(short, "not enough pairs")
-    return out.drop("rank_key", "place")
+    return out.drop("rank_key", "place").orderBy("split", klass, F.lower("sample_id"))
+
+
+def pair_summary(selected: DataFrame, klass: str = "class_id", size: str = "file_size") -> DataFrame:
+    """Pairs, images (two a pair) and bytes of both images of each class and split, and the total with nulls for its keys."""
+    keys, bytes_ = [F.col(klass), F.col("split")], F.sum(F.col(f"ppl.{size}") + F.col(f"xpl.{size}"))
+    out = selected.groupingSets([keys, []], *keys).agg(F.count("*").alias("pairs"), (2 * F.count("*")).alias("images"), F.coalesce(bytes_, F.lit(0)).cast("long").alias("bytes"))
+    return out.orderBy(F.col(klass).asc_nulls_last(), F.col("split").asc_nulls_last())
 
 
 def selection_summary(selected: DataFrame, klass: str = "class_name", size: str | None = None) -> DataFrame:
@@ -109,12 +116,8 @@ def stale_members(previous: DataFrame, selected: DataFrame, available: DataFrame
     """Members of the previous manifest that the selection no longer has; each must be in the archive's index."""
     stale = previous.select("member_path").filter("member_path <> ''").distinct().join(selected, "member_path", "left_anti")
     if available is None:
-        return stale
+        return stale.orderBy("member_path")
     lost = stale.join(available, "member_path", "left_anti")
     if not lost.isEmpty():
         raise ContractError(f"previous members not in the archive: {[r[0] for r in lost.limit(20).collect()]}")
-    return available.join(stale, "member_path", "left_semi")
-
-
-def local_folder(class_id: str = "class_id", label: str = "class_label") -> Column:
-    return slug(class_id, label)
+    return available.join(stale, "member_path", "left_semi").orderBy("member_path")

@@ -40,25 +40,27 @@ def number_inputs(rows: DataFrame) -> DataFrame:
     return numbered(placed, ["_split", "mode", "class_name"], ["sample_id"], "embedding_row").select("embedding_row", "sample_id", "mode", "split", "class_name", "path")
 
 
-Embedder = Callable[[np.ndarray], np.ndarray]
+Embedder = Callable[[list[np.ndarray]], np.ndarray]
 
 
-def frequency_embedder(batch: np.ndarray, size: int = 384) -> np.ndarray:
-    """Stand-in for a frozen network, whose weights cannot be had offline: low frequencies of the gray image, unit length."""
+def frequency_embedder(batch: list[np.ndarray], size: int = 384) -> np.ndarray:
+    """Stand-in for a frozen network, whose weights cannot be had offline: low frequencies of the mean of the three colours,
+    unit length."""
     from .integrity import area_resize, dct_matrix
 
     n = 32
     d = dct_matrix(n)
     at = sorted(((i, j) for i in range(n) for j in range(n)), key=lambda p: (p[0] + p[1], p))[1 : size + 1]
-    out = np.array([[low[p] for p in at] for low in (d @ area_resize(g, n) @ d.T for g in batch)], np.float32)
+    out = np.array([[low[p] for p in at] for low in (d @ area_resize(g, n) @ d.T for g in (x.mean(2) if x.ndim == 3 else x for x in batch))], np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
 def embed_images(index: DataFrame, images: DataFrame, embedder: Embedder = frequency_embedder, batch_size: int = 16) -> DataFrame:
-    """index joined with its decoded images and an embedding of each, batch_size images a call."""
+    """index with an embedding of each image; the embedder gets batch_size RGB images a call. A row whose image is absent or
+    cannot be decoded fails."""
     if batch_size < 1:
         raise ContractError("batch_size must be above 0")
-    from curaspark.sources.images import to_gray
+    from curaspark.sources.images import to_rgb
 
     columns = ["embedding_row", "sample_id", "mode", "split", "class_name", "path"]
 
@@ -66,11 +68,14 @@ def embed_images(index: DataFrame, images: DataFrame, embedder: Embedder = frequ
         for b in batches:
             for a in range(0, len(b), batch_size):
                 x = b.iloc[a : a + batch_size]
-                grays = [to_gray(r.data, r.height, r.width, r.nChannels) for r in x.itertuples()]
-                yield x[columns].assign(embedding=list(embedder(grays)))
+                lost = x["path"][x["height"].isna() | (x["height"] <= 0)]
+                if len(lost):
+                    raise ContractError(f"no image: {', '.join(lost.astype(str).head(20))}")
+                pictures = [to_rgb(r.data, int(r.height), int(r.width), int(r.nChannels)) for r in x.itertuples()]
+                yield x[columns].assign(embedding=list(embedder(pictures)))
 
     kind = "embedding_row long, sample_id string, mode string, split string, class_name string, path string, embedding array<float>"
-    return index.select(*columns).join(images, "path").mapInPandas(run, kind)
+    return index.select(*columns).join(images, "path", "left").mapInPandas(run, kind)
 
 
 def l2_normalise(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -81,7 +86,7 @@ def prototypes(index: DataFrame, split: str = "train") -> DataFrame:
     """mode, class_name, pos, x: components of the normalised mean vector of each class. A class that the split lacks fails."""
     lost = index.select("mode", "class_name").distinct().join(index.filter(F.col("split") == split), ["mode", "class_name"], "left_anti")
     if not lost.isEmpty():
-        raise ContractError(f"classes without {split} rows: {lost.collect()}")
+        raise ContractError(f"classes without {split} rows: {lost.limit(20).collect()}")
     return mean_directions(index.filter(F.col("split") == split))
 
 

@@ -92,18 +92,30 @@ def selection_shortages(spark, sf_dir):
     return selection.shortages(got, idx(spark, sf_dir), {"train": 4, "val": 3, "test": 2})
 
 
-@query(f"""WITH {IDX}, sel AS ({_stratified(42)}) SELECT mode, class_name, split, count(*) AS images, CAST(0 AS BIGINT) AS bytes FROM sel GROUP BY GROUPING SETS ((mode, class_name, split), ())""")
+@query(f"""WITH {IDX}, sel AS ({_stratified(42)}) SELECT mode, class_name, split, count(*) AS images, CAST(sum(CAST(sample_id AS BIGINT) % 1000) AS BIGINT) AS bytes FROM sel GROUP BY GROUPING SETS ((mode, class_name, split), ())""")
 def selection_summary(spark, sf_dir):
-    return selection.selection_summary(select_stratified(spark, sf_dir))
+    rows = select_stratified(spark, sf_dir).withColumn("file_size", F.col("sample_id").cast("long") % 1000)
+    return selection.selection_summary(rows, size="file_size")
 
 
-@query(r"""SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+/([a-z]{2})/(\d+)', 1) AS lang,
-regexp_extract(url, '^https?://[^/?#]+/([a-z]{2})/(\d+)', 2) AS number, trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM pages""")
-def parse_pages(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    pattern = "^https?://[^/?#]+/([a-z]{2})/(\\d+)"
-    body = F.trim(F.regexp_replace(F.lower("url"), "[^a-z0-9]+", "_"), F.lit("_"))
-    return p.select("page_id", F.lower(F.regexp_extract("url", "^https?://([^/?#]+)", 1)).alias("host"), F.regexp_extract("url", pattern, 1).alias("lang"), F.regexp_extract("url", pattern, 2).alias("number"), body.alias("slug"))
+ENTRIES = """entries AS (SELECT doc_id, 'Data/Carbonate/' || CASE WHEN doc_id % 2 = 0 THEN 'ppl' ELSE 'XPL' END || '-1223/' || CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'Val' ELSE 'test' END || '/class' || CAST(doc_id % 5 AS VARCHAR) AS folder,
+'Sample.' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 11 = 0 THEN '_ars' ELSE '' END || CASE WHEN doc_id % 13 = 0 THEN '.txt' ELSE '.JPG' END AS name, n_chars FROM documents)"""
+LABELS = [("class0", "Cemented fracture"), ("class1", "Micritic limestone (a)"), ("class2", "  Grain--stone "), ("class3", "Vuggy")]
+
+
+@query(f"""WITH {ENTRIES}, labels_(class_id, class_label) AS (VALUES {', '.join(map(str, LABELS))})
+SELECT folder || '/' || name AS member_path, CASE WHEN doc_id % 2 = 0 THEN 'PPL' ELSE 'XPL' END AS mode, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, class_id, class_label, name AS filename,
+replace(name, '.JPG', '') AS sample_id, n_chars AS file_size, n_chars // 2 AS compress_size, class_id || '_' || trim(regexp_replace(lower(class_label), '[^a-z0-9]+', '_', 'g'), '_') AS slug
+FROM entries JOIN labels_ ON class_id = 'class' || CAST(doc_id % 5 AS VARCHAR) WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id <> 7""")
+def parse_archive(spark, sf_dir):
+    d = F.col("doc_id")
+    mode, split = F.when(d % 2 == 0, "ppl").otherwise("XPL"), F.when(d % 3 == 0, "train").when(d % 3 == 1, "Val").otherwise("test")
+    name = F.concat(F.lit("Sample."), d.cast("string"), F.when(d % 11 == 0, "_ars").otherwise(""), F.when(d % 13 == 0, ".txt").otherwise(".JPG"))
+    path = F.concat(F.lit("Data/Carbonate/"), mode, F.lit("-1223/"), split, F.lit("/class"), (d % 5).cast("string"), F.lit("/"), name)
+    entries = table(spark, sf_dir, "documents").select(path.alias("member_path"), F.col("n_chars").alias("file_size"), F.floor(F.col("n_chars") / 2).alias("compress_size"))
+    classes = spark.createDataFrame(LABELS, "class_id string, class_label string")
+    rows = selection.parse_archive(entries, classes, "Data/Carbonate", excluded_members=["data/carbonate/xpl-1223/VAL/class2/sample.7.jpg"])
+    return rows.withColumn("slug", scalar.slug("class_id", "class_label"))
 
 
 PAIRED = "paired AS (SELECT CAST(vec_id // 3 AS VARCHAR) AS sample_id, mode, split, min(path) AS path FROM idx GROUP BY ALL)"
@@ -125,6 +137,25 @@ def exact_pairs(spark, sf_dir):
     return selection.exact_pairs(paired(spark, sf_dir), "class_name").select("split", "sample_id", F.col("ppl.path").alias("ppl_path"), F.col("xpl.path").alias("xpl_path"))
 
 
+PICKED = f"""{PAIRED}, pairs AS (SELECT a.split, a.sample_id, a.path AS ppl_path, b.path AS xpl_path, a.size AS size FROM (SELECT *, length(path) AS size FROM paired) a JOIN paired b ON a.mode = 'PPL' AND b.mode = 'XPL' AND a.split = b.split AND a.sample_id = b.sample_id),
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sha256(concat_ws('|', '42', 'all', split, sample_id)), sample_id) AS r FROM pairs) WHERE r <= CASE split WHEN 'train' THEN 9 WHEN 'val' THEN 3 ELSE 2 END)"""
+
+
+def picked_pairs(spark, sf_dir):
+    rows = paired(spark, sf_dir).withColumn("file_size", F.length("path").cast("long"))
+    return selection.select_pairs(selection.exact_pairs(rows, "class_name"), {"train": 9, "val": 3, "test": 2}, 42, "class_name")
+
+
+@query(f"WITH {IDX}, {PICKED} SELECT split, sample_id, ppl_path, xpl_path FROM picked")
+def select_pairs(spark, sf_dir):
+    return picked_pairs(spark, sf_dir).select("split", "sample_id", F.col("ppl.path").alias("ppl_path"), F.col("xpl.path").alias("xpl_path"))
+
+
+@query(f"""WITH {IDX}, {PICKED} SELECT CASE WHEN split IS NULL THEN NULL ELSE 'all' END AS class_name, split, count(*) AS pairs, 2 * count(*) AS images, CAST(sum(length(ppl_path) + length(xpl_path)) AS BIGINT) AS bytes FROM picked GROUP BY GROUPING SETS ((split), ())""")
+def pair_summary(spark, sf_dir):
+    return selection.pair_summary(picked_pairs(spark, sf_dir), "class_name")
+
+
 @query(f"WITH {IDX}, old AS ({_stratified(41)}), new AS ({_stratified(42)}) SELECT sample_id AS member_path FROM old EXCEPT SELECT sample_id FROM new")
 def stale_members(spark, sf_dir):
     rows = idx(spark, sf_dir)
@@ -171,9 +202,11 @@ def quality_flags(spark, sf_dir):
 
 
 def reviewed(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "exclude").when(F.col("quality") == 1, "keep").otherwise("").alias("manual_decision"))
     flagged = quality.apply_quality_rules(measured(spark, sf_dir), LIMITS)
-    return quality.final_status(flagged.join(labels, "doc_id", "left"))
+    decision = F.when(F.col("toxic") == 1, "exclude").when(F.col("quality") == 1, "keep")
+    labels = table(spark, sf_dir, "labels").select("doc_id", decision.alias("manual_decision"), F.lit("seen").alias("review_notes")).filter("manual_decision is not null")
+    reviews = measured(spark, sf_dir).join(labels, "doc_id").select(*quality.REVIEW_KEY, "manual_decision", "review_notes")
+    return quality.apply_manual_reviews(flagged, reviews)
 
 
 @query(f"WITH {MEASURED}, {FLAGGED}, {REVIEWED} SELECT doc_id, d AS manual_decision, final_status, use_for_model FROM final")
@@ -195,8 +228,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 HASHED = f"""hashed AS (SELECT *, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[2:64], lambda x: CAST(x > list_sort(embedding[2:64])[32] AS BIGINT))), lambda a, b: a * 2 + b) AS phash FROM idx)"""
 
 
+def hashed_rows(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"phash": integrity.pack_bits(F.col("embedding")), "row_id": F.col("vec_id"), "class_id": F.col("class_name"), "archive_member": F.col("path")})
+
+
 def hashed(spark, sf_dir):
-    return idx(spark, sf_dir).withColumn("phash", integrity.pack_bits(F.col("embedding"))).withColumn("row_id", F.col("vec_id")).withColumn("class_id", F.col("class_name")).withColumn("archive_member", F.col("path"))
+    return hashed_rows(idx(spark, sf_dir))
 
 
 @query(f"WITH {IDX}, {HASHED} SELECT vec_id, phash, CAST(bit_count(phash) AS INT) AS bits FROM hashed")
@@ -217,16 +254,29 @@ def near_duplicates(spark, sf_dir):
     return integrity.near_duplicates(hashed(spark, sf_dir), 18).select(*KEYS, "distance")
 
 
-@query(f"WITH {IDX}, {HASHED} {_near(7)}")
+#: Copies in another split with the signs of the last four components turned: near duplicates for the banded join.
+COPIED = f"""copied AS (SELECT * FROM idx UNION ALL SELECT vec_id + 1000000000 AS vec_id, sample_id || 'c' AS sample_id, mode, CASE split WHEN 'train' THEN 'val' ELSE 'train' END AS split, class_name, path, label,
+list_concat(embedding[1:60], list_transform(embedding[61:64], lambda x: -x)) AS embedding FROM idx WHERE vec_id % 7 = 0), {HASHED.replace("FROM idx", "FROM copied")}"""
+
+
+def copied(spark, sf_dir):
+    rows = idx(spark, sf_dir)
+    turned = F.concat(F.slice("embedding", 1, 60), F.transform(F.slice("embedding", 61, 4), lambda x: -x))
+    split = F.when(F.col("split") == "train", "val").otherwise("train")
+    copies = rows.filter("vec_id % 7 = 0").withColumns({"embedding": turned, "split": split, "vec_id": F.col("vec_id") + 1000000000, "sample_id": F.concat("sample_id", F.lit("c"))})
+    return rows.unionByName(copies)
+
+
+@query(f"WITH {IDX}, {COPIED} {_near(7)}")
 def near_duplicates_banded(spark, sf_dir):
-    return integrity.near_duplicates(hashed(spark, sf_dir), 7).select(*KEYS, "distance")
+    return integrity.near_duplicates(hashed_rows(copied(spark, sf_dir)), 7).select(*KEYS, "distance")
 
 
 @query(f"WITH {IDX}, {HASHED}, pairs AS ({_near(18)}) SELECT *, CASE WHEN CAST(sample_id_a AS BIGINT) % 3 = 0 THEN 'distinct_keep' ELSE 'pending_review' END AS decision FROM pairs")
 def near_dup_reviews(spark, sf_dir):
     report = near_duplicates(spark, sf_dir)
     reviews = report.filter(F.col("sample_id_a").cast("long") % 3 == 0).select(*KEYS, F.lit("distinct_keep").alias("decision"), F.lit("seen").alias("notes"))
-    return integrity.join_reviews(report, reviews).select(*KEYS, "distance", "decision")
+    return integrity.apply_near_duplicate_reviews(report, reviews).select(*KEYS, "distance", "decision")
 
 
 @query(f"""WITH {IDX}, {HASHED}, pairs AS ({_near(18)}) SELECT count(*) FILTER (WHERE CAST(sample_id_a AS BIGINT) % 3 <> 0) AS pending, count(*) FILTER (WHERE CAST(sample_id_a AS BIGINT) % 3 = 0) AS reviewed FROM pairs""")
@@ -237,7 +287,7 @@ def review_tally(spark, sf_dir):
 @query(f"""WITH {IDX} SELECT row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, mode, class_name, sample_id) - 1 AS embedding_row, sample_id, mode, split, class_name, path FROM idx WHERE vec_id % 5 <> 0""")
 def model_inputs(spark, sf_dir):
     report = idx(spark, sf_dir).withColumn("use_for_model", F.when(F.col("vec_id") % 5 != 0, " True").otherwise("0"))
-    return vectors.number_inputs(report.filter(scalar.strict_boolean("use_for_model")))
+    return vectors.select_model_inputs(report)
 
 
 @query(f"""WITH {IDX}, n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: (3 * x) * (3 * x)))) AS len FROM idx)
@@ -269,6 +319,17 @@ def alignment_gap(spark, sf_dir):
     return rounded(vectors.alignment_gap(vectors.prototype_similarity(vectors.prototypes(idx(spark, sf_dir)))))
 
 
+@query(f"""WITH {IDX}, {PROTO} SELECT source_mode, source_class, {', '.join(f"round(max(CASE WHEN target_class = 'class{k}' THEN cosine_similarity END), 6) + 0 AS class{k}" for k in range(4))} FROM sim WHERE target_mode = 'XPL' GROUP BY ALL""")
+def similarity_table(spark, sf_dir):
+    return rounded(vectors.similarity_table(vectors.prototype_similarity(vectors.prototypes(idx(spark, sf_dir))).filter("target_mode = 'XPL'")))
+
+
+@query(f"""WITH {IDX}, d AS (SELECT DISTINCT mode AS training_domain FROM idx UNION ALL SELECT 'PPL+XPL') SELECT DISTINCT training_domain, mode AS evaluation_mode, training_domain || ' → ' || mode AS scenario FROM d, idx""")
+def scenarios(spark, sf_dir):
+    rows = models.domains(idx(spark, sf_dir)).select("training_domain").distinct().join(idx(spark, sf_dir).select(F.col("mode").alias("evaluation_mode")).distinct(), how="cross")
+    return evaluation.scenarios(rows)
+
+
 GUESS = f"""{PROTO}, dots AS (SELECT i.vec_id, i.mode, i.class_name AS true_class, p.class_name AS predicted_class, sum(p.x * i.x) AS s FROM (SELECT vec_id, mode, class_name, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM idx WHERE split <> 'train') i
 JOIN proto p ON p.mode = i.mode AND p.pos = i.pos GROUP BY ALL), guess AS (SELECT vec_id, mode, true_class, predicted_class FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, predicted_class) AS r FROM dots) WHERE r = 1)"""
 
@@ -366,8 +427,13 @@ def repeated_probe(spark, sf_dir):
 
 @query()
 def kmeans(spark, sf_dir):
-    found = models.kmeans(numbered_idx(spark, sf_dir), 4, seeds=50)
-    return rounded(evaluation.clustering_agreement(found, "class_name", "kmeans_cluster"))
+    """Agreement of the clusters with classes and with modes, and their mean silhouette."""
+    found = models.kmeans(numbered_idx(spark, sf_dir), 4, seeds=50).persist()
+    by = [evaluation.clustering_agreement(found, c, "kmeans_cluster").withColumn("target", F.lit(c)) for c in ("class_name", "mode")]
+    mean = models.silhouette(found, "kmeans_cluster").agg(F.avg("silhouette").alias("mean_silhouette"))
+    out = rounded(by[0].unionByName(by[1]).join(mean, how="cross")).toPandas()  # two rows
+    found.unpersist()
+    return spark.createDataFrame(out)
 
 
 @query()

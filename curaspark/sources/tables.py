@@ -27,10 +27,32 @@ def write_manifest(rows: DataFrame, path: str, dataset_doi: str) -> DataFrame:
     """Checks hashes and splits, then writes the manifest's ten columns; returns what was written."""
     contracts.manifest_splits(contracts.unique_hashes(rows))
     out = rows.withColumn("dataset_doi", F.lit(dataset_doi)).select(schemas.MANIFEST.names)
-    write_csv(out, path)
+    write_file(out, path)
     return out
 
 
+def write_file(df: DataFrame, path: str) -> None:
+    """One CSV file at path: written beside it and moved into place, so that a failed run leaves the earlier file whole."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    target, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    store = target.getFileSystem(conf)
+    write_csv(df, path + ".part")
+    part = next(f.getPath() for f in store.listStatus(aside) if f.getPath().getName().startswith("part-"))
+    store.delete(target, True)
+    if not store.rename(part, target):
+        raise OSError(f"{part} could not be moved to {path}")
+    store.delete(aside, True)
+
+
+def copy_result(spark: SparkSession, source: str, folder: str) -> str:
+    """Copies a file (an index, the record of a run) into a folder of results; returns its new path."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a = jvm.org.apache.hadoop.fs.Path(source)
+    b = jvm.org.apache.hadoop.fs.Path(folder, a.getName())
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+    return b.toString()
+
+
 def previous_members(spark: SparkSession, path: str) -> DataFrame:
     """Members of an earlier manifest."""
     return read_csv(spark, path, schemas.MANIFEST).filter("archive_member <> ''").select(F.col("archive_member").alias("member_path"))

@@ -6,9 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from curaspark import schemas
 from curaspark.functions import scalar
 from curaspark.operators import catalog, contracts, evaluation, integrity, models, quality, selection, vectors
+from curaspark.operators.contracts import ContractError
 from curaspark.sources import archive, images, tables
+from curaspark.streaming import watch
 
 
 def png(pixels: np.ndarray) -> bytes:
@@ -174,3 +177,158 @@ def test_zip_source_download_and_quarantine(spark, tmp_path):
     with pytest.raises(OSError):
         archive.fetch(lambda m: open(tmp_path / "none", "rb"), "m", 1, tmp_path / "t", 2, 0.0)
     assert not (tmp_path / "t.part").exists()
+
+
+def two_modes(n=12, seed=3):
+    """Rows of two modes and three classes whose vectors tell the classes apart."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for m, mode in enumerate(("PPL", "XPL")):
+        for c in range(3):
+            for i in range(n):
+                x = r.normal(0, 0.03, 6)
+                x[c] += 4.0
+                x[4 + m] += 0.15
+                split = "train" if i < n // 2 else "val" if i < 3 * n // 4 else "test"
+                rows.append((len(rows), f"{mode}{c}{i}", mode, split, f"class{c}", (x / np.linalg.norm(x)).tolist()))
+    return rows
+
+
+INDEX = "embedding_row long, sample_id string, mode string, split string, class_name string, embedding array<double>"
+
+
+def test_probes_need_every_class(spark):
+    rows = two_modes()
+    metrics, predictions = models.linear_probes(spark.createDataFrame(rows, INDEX), [0.1, 1.0])
+    got = metrics.collect()
+    assert len(got) == 6 and all(r.macro_f1 == 1.0 for r in got) and predictions.count() == 6 * 9
+    for gone in ("val", "test"):
+        with pytest.raises(ContractError, match="classes missing"):
+            models.linear_probes(spark.createDataFrame([r for r in rows if not (r[3] == gone and r[2] == "XPL" and r[4] == "class1")], INDEX), [1.0])
+    with pytest.raises(ContractError, match="modes"):
+        models.linear_probes(spark.createDataFrame([r for r in rows if r[2] == "PPL"], INDEX), [1.0])
+
+
+def test_repeated_probes_agree_with_the_distributed_form(spark):
+    index = spark.createDataFrame(two_modes(), INDEX)
+    local = models.repeated_probes(index, [1.0], outer=3, repeats=1, inner=2).collect()
+    spread = models.repeated_probes(index, [1.0], outer=3, repeats=1, inner=2, local_rows=5).collect()
+    keys = [(r.training_domain, r.evaluation_mode, r.outer_repeat, r.outer_fold) for r in local]
+    assert keys == sorted(keys) == [(r.training_domain, r.evaluation_mode, r.outer_repeat, r.outer_fold) for r in spread] and len(keys) == 18
+    for a, b in zip(local, spread):
+        assert (a.fit_samples, a.evaluation_samples, a.relation, a.macro_f1) == (b.fit_samples, b.evaluation_samples, b.relation, b.macro_f1)
+    with pytest.raises(ContractError):
+        models.repeated_probes(index, [1.0], outer=10, repeats=1, inner=2)
+
+
+def test_kmeans_has_the_least_cost_of_its_starts(spark):
+    rows = two_modes(20)
+    found = models.kmeans(spark.createDataFrame(rows, INDEX), 3, seeds=6).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.class_name, set()).add(r.kmeans_cluster)
+    assert sorted(len(v) for v in by.values()) == [1, 1, 1] and len(set.union(*by.values())) == 3
+    with pytest.raises(ContractError):
+        models.kmeans(spark.createDataFrame(rows[:2], INDEX), 3, seeds=2)
+
+
+def test_embedding_needs_every_image(spark):
+    pixels = np.random.default_rng(0).integers(0, 255, (16, 16, 3), np.uint8)
+    images = spark.createDataFrame([("a.png", 16, 16, 3, bytearray(pixels.tobytes())), ("bad.png", -1, -1, -1, bytearray())], "path string, height int, width int, nChannels int, data binary")
+    index = [(0, "a", "PPL", "train", "c", "a.png"), (1, "b", "PPL", "train", "c", "bad.png"), (2, "d", "PPL", "train", "c", "none.png")]
+    kind = "embedding_row long, sample_id string, mode string, split string, class_name string, path string"
+
+    def colours(batch):
+        return np.array([x.reshape(-1, 3).mean(0) for x in batch], np.float32)
+
+    got = vectors.embed_images(spark.createDataFrame(index[:1], kind), images, colours).first()
+    assert got.embedding == pytest.approx(pixels.reshape(-1, 3).mean(0)[::-1], abs=1e-3)  # BGR becomes RGB
+    for row in index[1:]:
+        with pytest.raises(Exception, match="no image"):
+            vectors.embed_images(spark.createDataFrame([row], kind), images, colours).collect()
+    with pytest.raises(ContractError):
+        vectors.embed_images(spark.createDataFrame(index, kind), images, colours, batch_size=0)
+    assert len(vectors.embed_images(spark.createDataFrame(index[:1], kind), images).first().embedding) == 384
+
+
+def test_reviews_join_nulls(spark):
+    pairs = "mode string, class_id string, split_a string, sample_id_a string, split_b string, sample_id_b string"
+    report = spark.createDataFrame([("PPL", None, "train", "1", "val", "2", 3), ("PPL", "c", "train", "1", "val", "2", 3)], pairs + ", distance int")
+    reviews = spark.createDataFrame([("PPL", None, "train", "1", "val", "2", "distinct_keep", "seen")], pairs + ", decision string, notes string")
+    got = {r.class_id: r.decision for r in integrity.apply_near_duplicate_reviews(report, reviews).collect()}
+    assert got == {None: "distinct_keep", "c": "pending_review"}
+
+
+def test_gates(spark):
+    pairs = spark.createDataFrame([("distinct_keep",)], "decision string")
+    report = spark.createDataFrame([(True,), (False,), (True,)], "use_for_model boolean")
+    contracts.ready_for_embedding(pairs, report, 2)
+    with pytest.raises(ContractError, match="without a decision"):
+        contracts.ready_for_embedding(spark.createDataFrame([("pending_review",)], "decision string"), report, 2)
+    with pytest.raises(ContractError, match="2 accepted"):
+        contracts.ready_for_embedding(pairs, report, 3)
+
+
+def test_orders(spark):
+    rows = [("b.2", "PPL", "train", "c", "p1"), ("B.1", "XPL", "train", "c", "p2"), ("b.1", "PPL", "train", "c", "p3"), ("B.2", "XPL", "train", "c", "p4")]
+    df = spark.createDataFrame(rows, "sample_id string, mode string, split string, class_name string, path string")
+    assert [r.sample_id for r in selection.exact_pairs(df, "class_name").collect()] == ["b.1", "b.2"]
+    assert [r.sample_id for r in catalog.pair_table(df).collect()] == ["B.1", "B.2", "b.1", "b.2"]
+    old = spark.createDataFrame([("z",), ("a",), ("",)], "member_path string")
+    assert [r[0] for r in selection.stale_members(old, old.limit(0)).collect()] == ["a", "z"]
+    with pytest.raises(ContractError, match="not in the archive"):
+        selection.stale_members(old, old.limit(0), old.filter("member_path = 'a'"))
+    assert [r.member_path for r in selection.missing_exclusions(old.filter("member_path = 'a'"), old).orderBy("member_path").collect()] == ["", "z"]
+
+
+def test_report_files(spark, tmp_path):
+    tables.save_json({"b": 1, "a": "é"}, str(tmp_path / "x/run.json"))
+    assert (tmp_path / "x/run.json").read_text(encoding="utf-8") == '{\n  "a": "é",\n  "b": 1\n}\n' and not list((tmp_path / "x").glob("*.part"))
+    copied = tables.copy_result(spark, str(tmp_path / "x/run.json"), str(tmp_path / "results"))
+    assert copied.endswith("results/run.json") and (tmp_path / "results/run.json").exists()
+    df = spark.createDataFrame([("a", 0.5, None)], "k string, v double, n int")
+    assert tables.markdown_table(df) == "| k | v | n |\n| --- | --- | --- |\n| a | 0.500 |  |"
+    with pytest.raises(ValueError):
+        tables.markdown_table(df, most=0)
+    (tmp_path / "c.json").write_text('{"paths": {}, "data": {}, "quality": {"min_contrast": 18}}')
+    assert tables.load_config(str(tmp_path / "c.json"))["quality"] == {"min_contrast": 18}
+    (tmp_path / "d.json").write_text('{"paths": {}}')
+    with pytest.raises(ContractError, match="data, quality"):
+        tables.load_config(str(tmp_path / "d.json"))
+    (tmp_path / "e.json").write_text("[]")
+    with pytest.raises(ContractError, match="mapping"):
+        tables.load_config(str(tmp_path / "e.json"))
+    with pytest.raises(FileNotFoundError):
+        tables.load_config(str(tmp_path / "none.json"))
+    about = tables.provenance(spark, {"config": str(tmp_path / "c.json")}, seed=42)
+    assert len(about["config_sha256"]) == 64 and about["spark_version"] == spark.version and about["seed"] == 42
+
+
+def test_manifest_is_replaced_whole(spark, tmp_path):
+    names = schemas.MANIFEST.names
+    good = {n: "1" for n in names} | {"sha256": "a" * 64, "mode": "PPL", "class_id": "c", "sample_id": "s", "split": "train", "archive_member": "m,1", "bytes": 3}
+    path = str(tmp_path / "manifest.csv")
+    kind = ", ".join(f"{n} {'long' if n == 'bytes' else 'string'}" for n in names if n != "dataset_doi")
+
+    def frame(rows):
+        return spark.createDataFrame([tuple(r[n] for n in names if n != "dataset_doi") for r in rows], kind)
+
+    tables.write_manifest(frame([good]), path, "10.1/x")
+    assert (tmp_path / "manifest.csv").is_file() and not (tmp_path / "manifest.csv.part").exists()
+    first = (tmp_path / "manifest.csv").read_text()
+    assert first.splitlines()[0] == ",".join(names) and '"m,1"' in first
+    assert [r.member_path for r in tables.previous_members(spark, path).collect()] == ["m,1"]
+    for bad in ([good, good | {"archive_member": "n"}], [good | {"sha256": "x"}], [good, good | {"sha256": "b" * 64, "split": "VAL "}]):
+        with pytest.raises(ContractError):
+            tables.write_manifest(frame(bad), path, "10.1/x")
+    assert (tmp_path / "manifest.csv").read_text() == first
+
+
+def test_files_are_watched(spark, tmp_path):
+    (tmp_path / "in/PPL/train/c").mkdir(parents=True)
+    (tmp_path / "in/PPL/train/c/a.png").write_bytes(b"123")
+    (tmp_path / "in/PPL/train/c/b.txt").write_bytes(b"1")
+    query = watch.watch_files(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("watched").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination(60)
+    got = spark.table("watched").collect()
+    assert [r.length for r in got] == [3] and got[0].path.endswith("a.png")
