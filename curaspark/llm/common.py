@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -25,13 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or the one set on the context. There is no other: a folder
-    of one machine would lose its files with the machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that the cluster names in spark.checkpoint.dir, or the one set on the context. Where none is named, a
+    local session, which is one machine, gets a temporary one; on a cluster that is an error, as a folder of one machine
+    would lose its files with the machine."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
