@@ -27,12 +27,13 @@ class Softmax:
     def __init__(self, c: float, steps: int = 60, tol: float = 1e-8):
         self.c, self.steps, self.tol = c, steps, tol
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Softmax:
+    def fit(self, x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None) -> Softmax:
+        """start: weights of a fit of the same classes, to begin with; there is one optimum."""
         self.classes = np.unique(y)
         k, (n, d) = len(self.classes), x.shape
         x1 = np.concatenate([x, np.ones((n, 1))], 1)
         t = (y[:, None] == self.classes).astype(float)
-        w = np.zeros((d + 1, k))
+        w = np.zeros((d + 1, k)) if start is None else start
         ridge = np.concatenate([np.ones(d), [0.0]])
 
         def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -68,6 +69,16 @@ class Softmax:
         return self.classes[(x @ self.w[:-1] + self.w[-1]).argmax(1)]
 
 
+def path_guesses(grid: list[float], x: np.ndarray, y: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
+    """Classes of other by a fit for each C, ascending; each fit begins at the one before."""
+    out, w = [], None
+    for c in grid:
+        model = Softmax(c).fit(x, y, w)
+        w = model.w
+        out.append(model.predict(other))
+    return out
+
+
 def scores(true: np.ndarray, guess: np.ndarray) -> tuple[float, float, float]:
     """accuracy, balanced accuracy, macro F1."""
     f1, recall = [], []
@@ -117,7 +128,7 @@ def linear_probes(index: DataFrame, c_values, local_rows: int = LOCAL_ROWS) -> t
         x = x.sort_values("embedding_row")
         m, y = _matrix(x), x["class_name"].to_numpy(object)
         train, val, test = ((x["role"] == r).to_numpy() for r in ("train", "val", "test"))
-        tried = [(scores(y[val], Softmax(c).fit(m[train], y[train]).predict(m[val]))[2], -c) for c in grid]
+        tried = [(scores(y[val], guess)[2], -c) for c, guess in zip(grid, path_guesses(grid, m[train], y[train], m[val]), strict=True)]
         best, less = max(tried)
         guess = Softmax(-less).fit(m[train | val], y[train | val]).predict(m[test])
         out = x[test][["embedding_row", "sample_id", "mode", "class_name", "training_domain"]].copy()
@@ -210,7 +221,8 @@ def repeated_probes(index: DataFrame, c_values, outer: int = 5, repeats: int = 5
             own = r.permutation(np.flatnonzero(yf == c))
             part[own] = (at + np.arange(len(own))) % inner
             at += len(own)
-        tried = [(float(np.mean([scores(yf[part == j], Softmax(c).fit(mf[part != j], yf[part != j]).predict(mf[part == j]))[2] for j in range(inner)])), -c) for c in grid]
+        paths = [path_guesses(grid, mf[part != j], yf[part != j], mf[part == j]) for j in range(inner)]
+        tried = [(float(np.mean([scores(yf[part == j], paths[j][i])[2] for j in range(inner)])), -c) for i, c in enumerate(grid)]
         best, less = max(tried)
         model, out = Softmax(-less).fit(mf, yf), []
         for e in np.unique(mode[held]):
