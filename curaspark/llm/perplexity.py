@@ -20,7 +20,6 @@ columns of docs that bear a result's name give way to it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -312,16 +311,21 @@ class Model:
         return out
 
 
-@lru_cache(1 << 16)
-def _mapped_file(folder: str, k: int):
-    return common.map_file(f"{folder}/{k}")
+#: The mapped shards of one model: a worker that gets to another model lets go of them.
+_maps: dict[str, dict] = {}
 
 
 def _mapped(folder: str, k: int):
     """A shard's bytes: mapped once by a worker, or read each time where the folder is no local mount."""
     if common.local_path(folder) is None:
         return common.read_file(f"{folder}/{k}")
-    return _mapped_file(folder, k)
+    if folder not in _maps:
+        _maps.clear()
+        _maps[folder] = {}
+    held = _maps[folder]
+    if k not in held:
+        held[k] = common.map_file(f"{folder}/{k}")
+    return held[k]
 
 
 def fit(docs: DataFrame, shards: int = 64) -> Model:
