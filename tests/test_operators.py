@@ -1,3 +1,4 @@
+import os
 import struct
 import zipfile
 import zlib
@@ -209,6 +210,7 @@ def test_probes_need_every_class(spark):
         models.linear_probes(spark.createDataFrame([r for r in rows if r[2] == "PPL"], INDEX), [1.0])
 
 
+@pytest.mark.skipif("SLOW_TESTS" not in os.environ, reason="some minutes; set SLOW_TESTS")
 def test_repeated_probes_agree_with_the_distributed_form(spark):
     index = spark.createDataFrame(two_modes(), INDEX)
     local = models.repeated_probes(index, [1.0], outer=3, repeats=1, inner=2).collect()
@@ -217,6 +219,12 @@ def test_repeated_probes_agree_with_the_distributed_form(spark):
     assert keys == sorted(keys) == [(r.training_domain, r.evaluation_mode, r.outer_repeat, r.outer_fold) for r in spread] and len(keys) == 18
     for a, b in zip(local, spread):
         assert (a.fit_samples, a.evaluation_samples, a.relation, a.macro_f1) == (b.fit_samples, b.evaluation_samples, b.relation, b.macro_f1)
+
+
+def test_repeated_probes(spark):
+    index = spark.createDataFrame(two_modes(), INDEX)
+    got = models.repeated_probes(index, [0.1, 1.0], outer=3, repeats=2, inner=2).collect()
+    assert len(got) == 36 and all(r.macro_f1 == 1.0 for r in got if r.relation != "cross_domain")
     with pytest.raises(ContractError):
         models.repeated_probes(index, [1.0], outer=10, repeats=1, inner=2)
 
