@@ -35,9 +35,9 @@ LEAST = {6: 2, 5: 2, 4: 2, 3: 1}
 #: Stands before a text; no byte of UTF-8.
 START = 0xFF
 #: Distinct n-grams that a counting task holds before it adds them up, and hands them on if half of them are left.
-HELD_GRAMS = 3_000_000
+HELD_GRAMS = 1_000_000
 #: Bytes of text whose n-grams are counted or looked up at once.
-PORTION = 1_500_000
+PORTION = 500_000
 #: Histogram of log perplexity: buckets a nat, and the most nats.
 FINE, MOST_NATS = 128, 8
 _IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
