@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -347,31 +348,129 @@ def _kmeans_round(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.
     return total[:, :, :dim], total[:, :, dim], total[:, :, dim + 1].sum(1)
 
 
-def silhouette(rows: DataFrame, cluster: str, block: int = 1024) -> DataFrame:
-    """embedding_row, cluster and exact Euclidean silhouette of every row (0 for one alone in its cluster).
+def silhouette(rows: DataFrame, cluster: str, block: int = 32_768) -> DataFrame:
+    """embedding_row, cluster and exact Euclidean silhouette of every row (0 for one alone in its cluster, or without a cluster
+    or vector; the latter are nobody's neighbours).
 
-    All distances are needed, so the work grows with the square of the rows; it is done in tiles of block x block."""
-    number = F.pmod(F.xxhash64("embedding_row"), F.lit(max(1, -(-rows.count() // block)))).cast("int")
-    parts = rows.select("embedding_row", F.col(cluster).alias("cluster"), "embedding").withColumn("b", number)
-    packed = parts.groupBy("b").agg(F.collect_list(F.struct("embedding_row", "cluster", "embedding")).alias("rows"))
-    numbers = parts.select("b").distinct()
-    tiles = packed.alias("p").join(numbers.withColumnRenamed("b", "other"), how="cross").join(packed.select(F.col("b").alias("other"), F.col("rows").alias("others")), "other")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    All distances are needed, so the work grows with the square of the rows: strips of at most ``block`` rows, packed as
+    matrices, meet once in each order-free pair, whose distances serve the rows of both. A task holds two strips and its sums.
+    """
+    data = rows.select("embedding_row", F.col(cluster).cast("int").alias("cluster"), "embedding")
+    whole = F.col("cluster").isNotNull() & F.col("embedding").isNotNull()
+    about = data.filter(whole).groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).orderBy("cluster").collect()
+    rest = data.filter(~whole).select("embedding_row", "cluster", F.lit(0.0).alias("silhouette"))
+    if not about:
+        return rest
+    dim, labels, sizes = max(1, about[0]["hi"]), np.array([r["cluster"] for r in about], np.int32), np.array([r["n"] for r in about])
+    if {r["lo"] for r in about} | {r["hi"] for r in about} != {about[0]["hi"]}:
+        raise ContractError("embeddings must be of one length")
+    n, k = int(sizes.sum()), len(labels)
+    strip = max(1, min(block, -(-n // 8) if n > 4096 else n, (1 << 21) // dim, max(2048, (1 << 22) // k)))
+    strips, piece = -(-n // strip), max(1, (1 << 17) // k)
+    parts = data.filter(whole).withColumn("strip", F.pmod(F.xxhash64("embedding_row"), F.lit(strips)).cast("int"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        code = np.searchsorted(labels, t["cluster"].to_numpy()).astype(np.int32)
+        order = np.argsort(code, kind="stable")
+        x = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(code), -1)[order]
+        ids = t["embedding_row"].to_numpy()[order].astype(np.int64)
+        return pa.table({"strip": t["strip"][:1], "ids": [ids.tobytes()], "codes": [code[order].tobytes()], "x": [x.astype(np.float64 if x.dtype != np.float32 else x.dtype).tobytes()], "wide": [x.dtype != np.float32]})
+
+    packed = parts.groupBy("strip").applyInArrow(pack, "strip int, ids binary, codes binary, x binary, wide boolean")
+    other = F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))
+    tiles = packed.withColumn("other", other).select(F.least("strip", "other").alias("i"), F.greatest("strip", "other").alias("j"), "strip", "ids", "codes", "x", "wide")
+
+    def meet(t: pa.Table) -> pa.Table:
+        sides = sorted(({c: t[c][r].as_py() if c == "strip" else t[c][r] for c in t.column_names} for r in range(t.num_rows)), key=lambda s: s["strip"])
+        xs = [np.frombuffer(s["x"].as_buffer(), np.float64 if s["wide"].as_py() else np.float32).reshape(-1, dim) for s in sides]
+        codes = [np.frombuffer(s["codes"].as_buffer(), np.int32) for s in sides]
+        twice = len(sides) == 2
+        alone = t["i"][0].as_py() != t["j"][0].as_py() and not twice  # the other strip has no rows
+        out = []
+        if not alone:
+            sums = _tile_sums(xs[0], codes[0], xs[-1], codes[-1], twice)
+            for s, (columns, v) in zip(sides, sums, strict=False):
+                ids = np.frombuffer(s["ids"].as_buffer(), np.int64)
+                own = np.frombuffer(s["codes"].as_buffer(), np.int32)
+                for a in range(0, len(v), piece):
+                    e = slice(a, a + piece)
+                    out.append((s["strip"], a // piece, None if twice else ids[e].tobytes(), None if twice else own[e].tobytes(), columns.astype(np.int32).tobytes(), v[e].tobytes()))
+        names = ["strip", "piece", "ids", "codes", "columns", "sums"]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table({c: pa.array([r[i] for r in out], kinds[i]) for i, c in enumerate(names)})
+
+    many = min(2 * strips * strips, 4000) if strips > 1 else 1
+    sums = tiles.repartition(many, "i", "j").groupBy("i", "j").applyInArrow(meet, "strip int, piece int, ids binary, codes binary, columns binary, sums binary")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, ids, own = None, None, None
         for batch in batches:
-            for r in batch.itertuples():
-                x, y = (np.array([q["embedding"] for q in s], float) for s in (r.rows, r.others))
-                d = np.sqrt(np.maximum(((x[:, None, :] - y[None]) ** 2).sum(2), 0)) if x.shape[0] * y.shape[0] * x.shape[1] < 5_000_000 else _distances(x, y)
-                own, theirs = (np.array([q["cluster"] for q in s]) for s in (r.rows, r.others))
-                ids = np.array([q["embedding_row"] for q in r.rows])
-                for c in np.unique(theirs):
-                    yield pd.DataFrame({"embedding_row": ids, "cluster": own, "other": c, "s": d[:, theirs == c].sum(1), "n": int((theirs == c).sum())})
-
-    sums = tiles.select("rows", "others").mapInPandas(run, "embedding_row long, cluster int, other int, s double, n long").groupBy("embedding_row", "cluster", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    inside = F.max(F.when(F.col("cluster") == F.col("other"), F.try_divide("s", F.col("n") - 1)))
-    near = F.min(F.when(F.col("cluster") != F.col("other"), F.col("s") / F.col("n")))
-    ab = sums.groupBy("embedding_row", "cluster").agg(inside.alias("a"), near.alias("b"))
-    return ab.select("embedding_row", "cluster", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
+            for r in range(batch.num_rows):
+                columns, v = np.frombuffer(batch["columns"][r].as_buffer(), np.int32), np.frombuffer(batch["sums"][r].as_buffer())
+                v = v.reshape(-1, len(columns))
+                total = np.zeros((len(v), k)) if total is None else total
+                total[:, columns] += v
+                if batch["ids"][r].is_valid:
+                    ids, own = (np.frombuffer(batch[c][r].as_py(), kind) for c, kind in (("ids", np.int64), ("codes", np.int32)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a = total[np.arange(len(own)), own] / (sizes[own] - 1)
+            total /= sizes
+            total[np.arange(len(own)), own] = np.inf
+            b = total.min(1)
+            s = (b - a) / np.maximum(a, b)
+        s[(sizes[own] == 1) | (k == 1) | (np.maximum(a, b) == 0)] = 0.0
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(labels[own]), pa.array(s)], names=["embedding_row", "cluster", "silhouette"])
+
+    found = sums.groupBy("strip", "piece").applyInArrow(judge, "embedding_row long, cluster int, silhouette double")
+    return found.unionByName(rest)
+
+
+def _tile_sums(x: np.ndarray, cx: np.ndarray, y: np.ndarray, cy: np.ndarray, twice: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Clusters of y and each x's sums of distances to them; if twice, the same with sides changed. Both are in the order of
+    their clusters. Distances come of a matrix product; where it would cancel, of the components."""
+    (ux, kx), (uy, ky) = (np.unique(c, return_inverse=True) for c in (cx, cy))
+    shift = x.mean(0, dtype=float)
+    shift = shift if np.isfinite(shift).all() else np.zeros_like(shift)
+    sx, sy = np.zeros((len(x), len(uy))), np.zeros((len(y), len(ux)) if twice else (0, 0))
+    columns, same = [], None
+    for b in range(0, len(y), 1024):
+        v = y[b : b + 1024] - shift
+        square = (v * v).sum(1)
+        columns.append((np.ascontiguousarray(np.concatenate([v, np.ones((len(v), 1)), square[:, None]], 1).T), square.max()))
+    for a in range(0, len(x), 256):
+        u = x[a : a + 256] - shift
+        square = (u * u).sum(1)
+        left, most = np.concatenate([-2 * u, square[:, None], np.ones((len(u), 1))], 1), square.max()
+        for b, (right, top) in zip(range(0, len(y), 1024), columns, strict=True):
+            if np.isfinite(most + top):
+                d = left @ right
+                close = np.flatnonzero(d.ravel() < 1e-6 * (most + top))
+                i, j = close // d.shape[1], close % d.shape[1]
+                d.ravel()[close] = 0.0
+                if len(close) > 4096:  # many copies: only pairs that differ are measured
+                    if same is None:
+                        same = np.unique(np.ascontiguousarray(np.concatenate([x, y])), axis=0, return_inverse=True)[1].ravel()
+                    i, j = (q[same[a + i] != same[len(x) + b + j]] for q in (i, j))
+                for e in range(0, len(i), 65_536):
+                    p, q = i[e : e + 65_536], j[e : e + 65_536]
+                    d[p, q] = ((x[a + p].astype(float) - y[b + q]) ** 2).sum(1)
+                np.sqrt(d, out=d)
+            else:
+                d = _distances(x[a : a + 256].astype(float), y[b : b + 1024])
+            _add(sx[a : a + 256], d, ky[b : b + 1024])
+            if twice:
+                _add(sy[b : b + 1024], d.T, kx[a : a + 256])
+    return [(uy, sx), (ux, sy)]
+
+
+def _add(total: np.ndarray, d: np.ndarray, codes: np.ndarray) -> None:
+    """Adds the sums of d over runs of equal codes (ascending, one for each column) to total's columns."""
+    edges = [0, *(np.flatnonzero(np.diff(codes)) + 1), len(codes)]
+    if len(edges) > 64:
+        total[:, codes[edges[:-1]]] += np.add.reduceat(d, edges[:-1], axis=1)
+        return
+    for s, e in zip(edges, edges[1:], strict=False):
+        total[:, codes[s]] += d[:, s:e].sum(1)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:

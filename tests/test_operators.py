@@ -340,3 +340,40 @@ def test_files_are_watched(spark, tmp_path):
     query.awaitTermination(60)
     got = spark.table("watched").collect()
     assert [r.length for r in got] == [3] and got[0].path.endswith("a.png")
+
+
+def plain_silhouette(x, c):
+    """embedding_row to silhouette by all distances."""
+    out = {}
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        near = {k: d[c == k].sum() / max(1, (c == k).sum() - (k == c[i])) for k in set(c)}
+        a, b = near.pop(c[i]), min(near.values())
+        out[i] = 0.0 if (c == c[i]).sum() == 1 or max(a, b) == 0 else (b - a) / max(a, b)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_silhouette_by_strips_equals_all_distances(spark, kind):
+    r = np.random.default_rng(5)
+    x = r.normal(0, 1, (90, 5)).astype(np.float32).astype(float) + (1000.0 if kind == "double" else 0)
+    c = r.integers(0, 4, 90)
+    x[20:50] = x[20]  # copies, in several clusters
+    x[50:60] = x[20] + (r.integers(-4, 5, (10, 5)) * 2.0**-10)  # near copies
+    c[89] = 9  # alone
+    rows = [(i, int(c[i]), x[i].tolist()) for i in range(90)] + [(90, None, x[0].tolist()), (91, 1, None)]
+    index = spark.createDataFrame(rows, f"embedding_row long, c int, embedding array<{kind}>")
+    want = plain_silhouette(x, c) | {90: 0.0, 91: 0.0}
+    for block in (7, 32, 1000):
+        got = models.silhouette(index, "c", block=block).collect()
+        assert {q.embedding_row: q.cluster for q in got} == {q[0]: q[1] for q in rows} and len(got) == 92
+        assert {q.embedding_row: q.silhouette for q in got} == pytest.approx(want, abs=1e-12)
+    assert models.silhouette(index.filter("c = 1"), "c").filter("silhouette <> 0").count() == 0
+
+
+def test_silhouette_sums_of_many_copies():
+    x = np.repeat(np.random.default_rng(1).normal(0, 1, (3, 4)), 120, 0)
+    c = np.sort(np.arange(360) % 70).astype(np.int32)  # runs beyond 64
+    (u, s), (v, t) = models._tile_sums(x, c, x[:300], c[:300], True)
+    d = np.sqrt(((x[:, None] - x[None, :300]) ** 2).sum(2))
+    assert s == pytest.approx(np.array([d[:, c[:300] == k].sum(1) for k in u]).T) and t == pytest.approx(np.array([d[c == k].sum(0) for k in v]).T)
