@@ -277,12 +277,14 @@ def _others(dealt: DataFrame) -> DataFrame:
 def kmeans(index: DataFrame, k: int, seeds: int = 50, seed: int = 42, most: int = 300, tol: float = 1e-4, sample: int = 20_000) -> DataFrame:
     """index with kmeans_cluster: the fit of least cost over so many starts.
 
-    All starts move at once: a round is one pass over the rows, in which a task adds up its rows by start and cluster. The
-    first centres are drawn by distance (k-means++) from the ``sample`` rows of the smallest hash; all else is of all rows.
+    All starts move at once: a round is one pass over the rows, which are kept as matrices dealt over all cores; a task adds up
+    its rows by start and cluster. The first centres are drawn by distance (k-means++) from the ``sample`` rows of the smallest hash; all else is of all rows.
     A start rests when its centres move less than ``tol`` times the mean variance.
     """
     x = F.col("embedding").cast("array<double>")
-    rows = index.select("embedding_row", x.alias("x")).filter("x is not null").persist()
+    rows = index.select("embedding_row", x.alias("x")).filter("x is not null")
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    packed = _packed(rows.repartition(max(1, min(2 * cores, -(-rows.count() // 4096))), "embedding_row")).persist()
     try:
         pool = rows.orderBy(F.xxhash64("embedding_row", "x")).limit(sample).select("x").toArrow()["x"].to_pylist()
         points = np.array(pool, float)
@@ -292,16 +294,16 @@ def kmeans(index: DataFrame, k: int, seeds: int = 50, seed: int = 42, most: int
         least = tol * float(points.var(0).mean())
         active, cost = list(range(seeds)), np.full(seeds, np.inf)
         for _ in range(most):
-            sums, count, cost[active] = _kmeans_round(rows, centres[active])
+            sums, count, cost[active] = _kmeans_round(packed, centres[active])
             moved = np.where(count[:, :, None] > 0, sums / np.maximum(count, 1)[:, :, None], centres[active])
             shift = ((moved - centres[active]) ** 2).sum((1, 2))
             centres[active] = moved
             active = [s for s, d in zip(active, shift, strict=True) if d > least]
             if not active:
                 break
-        best = centres[int(np.argmin(_kmeans_round(rows, centres)[2]))]
+        best = centres[int(np.argmin(_kmeans_round(packed, centres)[2]))]
     finally:
-        rows.unpersist()
+        packed.unpersist()
 
     @F.pandas_udf("int")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -321,30 +323,46 @@ def _first_centres(points: np.ndarray, k: int, r: np.random.Generator) -> np.nda
     return np.array(out)
 
 
-def _kmeans_round(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums and numbers of the rows nearest to each centre (by start and cluster), and the cost of each start."""
-    starts, k, dim = centres.shape
-    flat = centres.reshape(-1, dim)
+def _packed(rows: DataFrame) -> DataFrame:
+    """x (doubles) of the rows as binary matrices, one for each batch."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, square = np.zeros((starts * k, dim + 2)), (flat**2).sum(1)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b["x"].tolist(), float).reshape(-1, dim)
-            d = (square - 2 * x @ flat.T).reshape(len(x), starts, k)
-            at = d.argmin(2) + np.arange(starts) * k
-            near = np.take_along_axis(d, (at - np.arange(starts) * k)[:, :, None], 2)[:, :, 0] + (x**2).sum(1)[:, None]
-            for s in range(starts):
-                one = np.zeros((len(x), k))
-                one[np.arange(len(x)), at[:, s] - s * k] = 1
-                total[s * k : s * k + k, :dim] += one.T @ x
-                total[s * k : s * k + k, dim] += one.sum(0)
-                total[s * k : s * k + k, dim + 1] += one.T @ np.maximum(near[:, s], 0)
-        yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
-
-    got = rows.select("x").mapInPandas(add, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-    total = np.zeros(starts * k * (dim + 2))
-    total[got["at"].to_numpy()] = got["v"].to_numpy()
-    total = total.reshape(starts, k, dim + 2)
+            if b.num_rows:
+                x = b["x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()])], names=["x"])
+
+    return rows.select("x").mapInArrow(pack, "x binary")
+
+
+def _kmeans_round(packed: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums and numbers of the rows nearest to each centre (by start and cluster), and the cost of each start."""
+    starts, k, dim = centres.shape
+    flat = np.ascontiguousarray(centres.transpose(1, 0, 2)).reshape(-1, dim)  # cluster by cluster, each of all starts
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, square = np.zeros((k * starts, dim + 2)), (flat**2).sum(1)
+        for whole in (np.frombuffer(v.as_buffer()).reshape(-1, dim) for b in batches for v in b["x"]):
+            for a in range(0, len(whole), 1024):
+                x = whole[a : a + 1024]
+                d = square - 2 * x @ flat.T
+                near, at = d[:, :starts].copy(), np.zeros((len(x), starts), np.int32)
+                for c in range(1, k):
+                    one = d[:, c * starts : (c + 1) * starts]
+                    at[one < near] = c
+                    np.minimum(near, one, out=near)
+                near = np.maximum(near + (x**2).sum(1)[:, None], 0)
+                for c in range(k):
+                    own, e = (at == c).astype(float), slice(c * starts, (c + 1) * starts)
+                    total[e, :dim] += own.T @ x
+                    total[e, dim] += own.sum(0)
+                    total[e, dim + 1] += (own * near).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["v"])
+
+    total = np.zeros(k * starts * (dim + 2))
+    for v in packed.mapInArrow(add, "v binary").toArrow()["v"]:
+        total += np.frombuffer(v.as_buffer())
+    total = total.reshape(k, starts, dim + 2).transpose(1, 0, 2)
     return total[:, :, :dim], total[:, :, dim], total[:, :, dim + 1].sum(1)
 
 

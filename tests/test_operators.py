@@ -377,3 +377,14 @@ def test_silhouette_sums_of_many_copies():
     (u, s), (v, t) = models._tile_sums(x, c, x[:300], c[:300], True)
     d = np.sqrt(((x[:, None] - x[None, :300]) ** 2).sum(2))
     assert s == pytest.approx(np.array([d[:, c[:300] == k].sum(1) for k in u]).T) and t == pytest.approx(np.array([d[c == k].sum(0) for k in v]).T)
+
+
+def test_kmeans_rounds_add_up_every_row(spark):
+    r = np.random.default_rng(2)
+    x, centres = r.normal(0, 1, (3000, 5)), r.normal(0, 1, (7, 3, 5))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(2)
+    sums, count, cost = models._kmeans_round(models._packed(rows), centres)
+    d = ((x[:, None, None] - centres) ** 2).sum(3)
+    at = d.argmin(2)
+    assert cost == pytest.approx(d.min(2).sum(0)) and (count == np.array([np.bincount(a, minlength=3) for a in at.T])).all()
+    assert sums == pytest.approx(np.array([[x[a == c].sum(0) for c in range(3)] for a in at.T]))
