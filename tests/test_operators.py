@@ -388,3 +388,17 @@ def test_kmeans_rounds_add_up_every_row(spark):
     at = d.argmin(2)
     assert cost == pytest.approx(d.min(2).sum(0)) and (count == np.array([np.bincount(a, minlength=3) for a in at.T])).all()
     assert sums == pytest.approx(np.array([[x[a == c].sum(0) for c in range(3)] for a in at.T]))
+
+
+def test_softmax_reaches_its_optimum_on_chosen_rows_of_floats():
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1, (5000, 6)).astype(np.float32)
+    y = (x[:, :3] + r.gumbel(0, 1, (5000, 3))).argmax(1) + 2
+    at = np.flatnonzero(r.random(5000) < 0.9)
+    for c in (0.01, 100.0):
+        m = models.Softmax(c).fit(x, y, at=at)
+        z = x[at].astype(float) @ m.w[:-1] + m.w[-1]
+        p = np.exp(z - z.max(1, keepdims=True))
+        miss = p / p.sum(1, keepdims=True) - (y[at][:, None] == m.classes)
+        assert np.abs(m.w[:-1] + c * x[at].astype(float).T @ miss).max() < 1e-5 and np.abs(c * miss.sum(0)).max() < 1e-5
+        assert (m.predict(x, at) == m.classes[z.argmax(1)]).all()
