@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,29 +80,73 @@ def near_duplicates(hashed: DataFrame, max_distance: int = 4) -> DataFrame:
 
     hashed: row_id (orders the two sides of a pair), mode, class_id, split, sample_id, archive_member, phash. Up to distance 7
     pairs are found by bands: of max_distance + 1 bands one must be equal, so candidates are joined on (band, bits)
-    and each pair is kept in its first equal band alone. Beyond that bands get too short and all pairs of a mode and class meet.
+    and each pair is kept in its first equal band alone. Beyond that bands get too short and all pairs of a mode and class meet,
+    block by block as bits in numpy.
     """
     if max_distance < 0:
         raise ContractError("max_distance must not be negative")
+    rows = hashed.filter(F.col("mode").isNotNull() & F.col("class_id").isNotNull() & F.col("row_id").isNotNull() & F.col("split").isNotNull() & F.col("phash").isNotNull())
+    found = _banded_pairs(rows, max_distance) if max_distance < 8 else _block_pairs(rows, max_distance)
+    return found.orderBy("distance", "mode", "class_id", "split_a", "sample_id_a", "split_b", "sample_id_b")
+
+
+PAIR = ["mode", "class_id", "split_a", "sample_id_a", "split_b", "sample_id_b", "archive_member_a", "archive_member_b", "distance"]
+
+
+def _banded_pairs(rows: DataFrame, max_distance: int) -> DataFrame:
     # dealt out once, so that neither side of the join computes a hash again for every pair
-    rows = hashed.filter(F.col("mode").isNotNull() & F.col("class_id").isNotNull()).repartition("row_id")
-    bands = max_distance + 1
-    banded = bands <= 8
-    if banded:
-        edge = [k * HASH_BITS // bands for k in range(bands + 1)]
-        masks = [((1 << edge[k + 1]) - (1 << edge[k])) for k in range(bands)]
-        masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-        rows = rows.select("*", F.posexplode(F.array(*[F.col("phash").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "bits"))
+    rows, bands = rows.repartition("row_id"), max_distance + 1
+    edge = [k * HASH_BITS // bands for k in range(bands + 1)]
+    masks = [((1 << edge[k + 1]) - (1 << edge[k])) for k in range(bands)]
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    rows = rows.select("*", F.posexplode(F.array(*[F.col("phash").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "bits"))
     a, b = rows.alias("a"), rows.alias("b")
     on = (F.col("a.mode") == F.col("b.mode")) & (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.row_id") < F.col("b.row_id")) & (F.col("a.split") != F.col("b.split"))
-    if banded:
-        on = on & (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits"))
+    on = on & (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits"))
     pairs = a.join(b, on & (hamming("a.phash", "b.phash") <= max_distance))
-    if banded:
-        x = F.col("a.phash").bitwiseXOR(F.col("b.phash"))
-        first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)])
-        pairs = pairs.filter(F.col("a.band") == first)
-    return pairs.select("a.mode", "a.class_id", F.col("a.split").alias("split_a"), F.col("a.sample_id").alias("sample_id_a"), F.col("b.split").alias("split_b"), F.col("b.sample_id").alias("sample_id_b"), F.col("a.archive_member").alias("archive_member_a"), F.col("b.archive_member").alias("archive_member_b"), hamming("a.phash", "b.phash").alias("distance")).orderBy("distance", "mode", "class_id", "split_a", "sample_id_a", "split_b", "sample_id_b")
+    x = F.col("a.phash").bitwiseXOR(F.col("b.phash"))
+    first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)])
+    pairs = pairs.filter(F.col("a.band") == first)
+    return pairs.select("a.mode", "a.class_id", *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("split", "sample_id") for s in "ab"], *[F.col(f"{s}.archive_member").alias(f"archive_member_{s}") for s in "ab"], hamming("a.phash", "b.phash").alias("distance")).select(*PAIR)
+
+
+def _block_pairs(rows: DataFrame, max_distance: int, block: int = 8192) -> DataFrame:
+    """All pairs of a mode and class: its rows are dealt over blocks, and every two blocks meet in one task."""
+    most = rows.groupBy("mode", "class_id").count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-most // block))
+    rows = rows.select("row_id", "mode", "class_id", "split", "sample_id", "archive_member", "phash").withColumn("_b", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")})
+    keys = ["mode", "class_id", "_i", "_j"]
+    kind = ", ".join(f"{c} {dict(rows.dtypes)[c.removesuffix('_a').removesuffix('_b')]}" for c in PAIR[:-1]) + ", distance int"
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        one, n = key[2].as_py() == key[3].as_py(), t.num_rows
+        side = t["_b"].to_numpy()
+        left, right = (np.flatnonzero(side == k.as_py()) for k in key[2:])
+        place = pc.rank(t["row_id"].combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64)
+        split = t["split"].combine_chunks().dictionary_encode().indices.to_numpy()
+        bits = t["phash"].to_numpy().view(np.uint64)
+        a, b, far = [], [], []
+        for e in range(0, len(left), 64):
+            i = left[e : e + 64]
+            j = right[e:] if one else right
+            d = np.bitwise_count(bits[i][:, None] ^ bits[j])
+            p, q = np.divmod(np.flatnonzero(d.ravel() <= max_distance), max(1, len(j)))
+            u, v = i[p], j[q]
+            keep = (split[u] != split[v]) & (place[u] != place[v])
+            if one:
+                keep &= q > p  # from the diagonal on, each pair once
+            u, v, near = u[keep], v[keep], d[p[keep], q[keep]]
+            turned = place[u] > place[v]
+            a.append(np.where(turned, v, u))
+            b.append(np.where(turned, u, v))
+            far.append(near)
+        a, b, far = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, far))
+        out = [t[c.removesuffix("_a").removesuffix("_b")].take(b if c.endswith("_b") else a) for c in PAIR[:-1]]
+        return pa.table([*out, pa.array(far.astype(np.int32))], names=PAIR)
+
+    # so many partitions that tasks are small even where a few groups hold most rows
+    return rows.repartition(max(8, min(4 * blocks * (blocks + 1), 4000)), *keys).groupBy(*keys).applyInArrow(run, kind)
 
 
 def apply_near_duplicate_reviews(report: DataFrame, reviews: DataFrame) -> DataFrame:

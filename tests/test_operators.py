@@ -402,3 +402,25 @@ def test_softmax_reaches_its_optimum_on_chosen_rows_of_floats():
         miss = p / p.sum(1, keepdims=True) - (y[at][:, None] == m.classes)
         assert np.abs(m.w[:-1] + c * x[at].astype(float).T @ miss).max() < 1e-5 and np.abs(c * miss.sum(0)).max() < 1e-5
         assert (m.predict(x, at) == m.classes[z.argmax(1)]).all()
+
+
+def test_near_duplicates_of_blocks_equal_all_pairs(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(150):
+        split = [None, "train", "val", "test"][0 if i % 29 == 0 else 1 + i % 3]
+        bits = None if i == 31 else int(r.integers(-(2**63), 2**63)) if i % 2 else -1 ^ (1 << int(r.integers(0, 63)))
+        rows.append((f"r{i % 140:03}", "XPL" if i % 5 == 0 else "PPL", "c" if i % 7 else "d", split, f"s{i}", f"m{i}", bits))
+    hashed = spark.createDataFrame(rows, "row_id string, mode string, class_id string, split string, sample_id string, archive_member string, phash long")
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[:1] < b[:1] and a[1:3] == b[1:3] and a[3] and b[3] and a[3] != b[3] and a[6] is not None and b[6] is not None:
+                d = ((a[6] ^ b[6]) & (2**64 - 1)).bit_count()
+                if d <= 28:
+                    want.add((a[1], a[2], a[3], a[4], b[3], b[4], a[5], b[5], d))
+    for block in (16, 8192):
+        got = [tuple(q) for q in integrity._block_pairs(hashed.filter("split is not null and phash is not null"), 28, block).collect()]
+        assert len(got) == len(want) > 500 and set(got) == want
+    ordered = integrity.near_duplicates(hashed, 28)
+    assert set(map(tuple, ordered.collect())) == want and ordered.columns[:6] == integrity.NEAR_DUPLICATE_KEY
