@@ -274,7 +274,7 @@ def near_duplicates_banded(spark, sf_dir):
 
 @query(f"WITH {IDX}, {HASHED}, pairs AS ({_near(18)}) SELECT *, CASE WHEN CAST(sample_id_a AS BIGINT) % 3 = 0 THEN 'distinct_keep' ELSE 'pending_review' END AS decision FROM pairs")
 def near_dup_reviews(spark, sf_dir):
-    report = near_duplicates(spark, sf_dir)
+    report = near_duplicates(spark, sf_dir).persist()  # read five times
     reviews = report.filter(F.col("sample_id_a").cast("long") % 3 == 0).select(*KEYS, F.lit("distinct_keep").alias("decision"), F.lit("seen").alias("notes"))
     return integrity.apply_near_duplicate_reviews(report, reviews).select(*KEYS, "distance", "decision")
 

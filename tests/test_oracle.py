@@ -25,3 +25,11 @@ def test_query(spark, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(df.columns)
     assert norm(map(tuple, df.select(names).collect())) == norm(cur.fetchall())
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="tables are absent")
+@pytest.mark.parametrize("name", ["near_dup_reviews", "review_tally"])
+def test_pairs_are_found_once(spark, name):
+    plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan
+    spark.catalog.clearCache()
