@@ -424,3 +424,18 @@ def test_near_duplicates_of_blocks_equal_all_pairs(spark):
         assert len(got) == len(want) > 500 and set(got) == want
     ordered = integrity.near_duplicates(hashed, 28)
     assert set(map(tuple, ordered.collect())) == want and ordered.columns[:6] == integrity.NEAR_DUPLICATE_KEY
+
+
+def test_rows_of_a_fit_stay_floats():
+    import pyarrow as pa
+
+    def batch(x):
+        return pa.RecordBatch.from_pydict({"y": list(range(len(x))), "embedding": pa.array(x, pa.list_(pa.float32()))})
+
+    got = models._gathered(iter([batch([[1.0, 2.0]]), batch([]), batch([[3.0, 4.0], [5.0, 6.0]])]))
+    assert got["embedding"].dtype == np.float32 and got["embedding"].tolist() == [[1, 2], [3, 4], [5, 6]] and got["y"].tolist() == [0, 0, 1]
+    for bad in ([[1.0], [1.0, 2.0]], [[1.0, None]], [None], [[float("nan")]]):
+        with pytest.raises(ContractError, match="finite"):
+            models._gathered(iter([batch(bad)]))
+    with pytest.raises(ContractError, match="finite"):
+        models._gathered(iter([batch([[1.0]]), batch([[1.0, 2.0]])]))
