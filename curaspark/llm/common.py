@@ -256,6 +256,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Numbers(dict):
+    """Numbers strings in the order of their first use."""
+
+    def __init__(self):
+        self.names: list[str] = []
+
+    def __missing__(self, string: str) -> int:
+        n = self[string] = len(self.names)
+        self.names.append(string)
+        return n
+
+
+class Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.all, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> int:
+        """Where x begins."""
+        at, self.n = self.n, self.n + len(x)
+        if self.n > len(self.all):
+            self.all = np.concatenate([self.all[:at], np.zeros(max(self.n, len(self.all) // 2), self.all.dtype)])
+        self.all[at : self.n] = x
+        return at
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    sizes = sizes.astype(np.int64)
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 _BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
 _BASE = 0x5851F42D4C957F2D
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}

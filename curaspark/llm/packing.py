@@ -19,6 +19,7 @@ import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,26 +40,33 @@ _LETTERS, _NUMBERS = ("".join(re.escape(chr(c)) for c in range(0x180) if unicode
 #: Parts of a word that the tokenizer encodes apart: its published pattern, for the characters of _PLAIN.
 _PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 _SIGNS = re.compile(r"[.,](?<![^\W_].)(?<!\s.)[ \n]")  # neither a letter, a number nor white space before it
-#: Settings of the tokenizer for lower-case parts with a space between them: it merges alone.
-_PARTS_ALONE = {
-    "normalizer": None,
-    "pre_tokenizer": {
-        "type": "Sequence",
-        "pretokenizers": [
-            {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False},
-            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-        ],
-    },
-}
+#: Settings of the tokenizer for lower-case parts with a space between them, their bytes written as its characters: it
+#: merges alone.
+_PARTS_ALONE = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
+def _byte_characters() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary; a space stays, as it parts the words."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, "<u2")
+    out[own] = own
+    rest = np.flatnonzero(out == 0)
+    out[rest] = 256 + np.arange(len(rest))
+    out[32] = 32
+    return out
+
+
+_BYTES = _byte_characters()
+
+
 class WordMemo:
     """encode(text) of a word-level tokenizer, through a bounded memo of words split at white space.
 
     The tokenizer lower-cases, turns white space into word ends and never merges across it, so the ids of a text are
     those of its words, as long as no normalisation crosses characters and no special token stands in the text; any
-    other text goes to the tokenizer whole.
+    other text goes to the tokenizer whole. Words of more than ``most`` are forgotten before the next slice of texts, but
+    for those met in several slices since the last time.
     """
 
     def __init__(self, path: str, most: int = 300_000):
@@ -67,43 +75,74 @@ class WordMemo:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.parts = Tokenizer.from_str(json.dumps(json.loads(self.tokenizer.to_str()) | _PARTS_ALONE))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close one of the tokenizer's own words
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._empty()
+
+    def _empty(self) -> None:
+        self.word = common.Numbers()
+        # by word: where its ids begin, how many they are, in how many slices it was met
+        self.at, self.size, self.met, self.ids = common.Rows(np.int64), common.Rows(np.int32), common.Rows(np.int32), common.Rows(np.uint32)
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.met.all[: self.met.n] > 1)
+        names, at, size, ids = self.word.names, self.at.all[keep], self.size.all[keep], self.ids.all
+        self._empty()
+        if len(keep) <= self.most // 2:
+            for k in keep.tolist():
+                self.word[names[k]]  # numbered anew
+            self._add(ids[common.ranges(at, size)], size)
+
+    def _add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.at.add(self.ids.add(ids) + np.cumsum(size) - size)
+        self.size.add(size)
+        self.met.add(np.zeros(len(size), np.int32))
 
     def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for a, b in common.slices(texts):
+            if len(self.word.names) > self.most:
+                self._forget()
+            words = [self._words(t) for t in texts[a:b]]
+            n = np.fromiter((len(w or ()) for w in words), np.int64, b - a)
+            flat = np.fromiter(map(self.word.__getitem__, chain.from_iterable(filter(None, words))), np.int64, int(n.sum()))
+            new = self.word.names[self.at.n :]
+            for i in range(0, len(new), 500):
+                self._learn(new[i : i + 500])
+            self.met.all[flat] += 1  # once, however often a word stands there
+            size = self.size.all[flat]
+            ids = self.ids.all[common.ranges(self.at.all[flat], size)]
+            bounds = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])].tolist()
+            for k, w in enumerate(words):
+                out.append(ids[bounds[k] : bounds[k + 1]] if w is not None else np.array(self.tokenizer.encode(texts[a + k], add_special_tokens=False).ids, np.uint32))
+        return out
+
+    def _words(self, text: str) -> list[str] | None:
         if not _PLAIN.fullmatch(text) or any(s in text for s in _SPECIAL):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            return None
         low = text.lower()
         if not _SIGNS.search(low):  # a comma or stop after a letter is a part of its own: words are met again without it
             low = low.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-        words = low.split()
-        found = list(map(self.memo.get, words))
-        missing = list(dict.fromkeys([w for w, x in zip(words, found, strict=True) if x is None]))
-        if missing:
-            if len(self.memo) + len(missing) > self.most:
-                self.memo.clear()
-                missing = list(dict.fromkeys(words))
-            for i in range(0, len(missing), 2000):
-                self._learn(missing[i : i + 2000])
-            found = map(self.memo.__getitem__, words)
-        return np.frombuffer(b"".join(found), np.uint32)
+        return low.split()
 
     def _learn(self, words: list[str]) -> None:
         """Encodes the words' parts as one text and cuts its ids where each word's last part ends."""
         split = [[w] if w.isalpha() else _PART.findall(w) for w in words]
-        text = " ".join([p for x in split for p in x])
+        text = " ".join(chain.from_iterable(split))
+        if not text.isascii():
+            text = _BYTES[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
         ids = np.array(self.parts.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        parts = np.cumsum(list(map(len, split)))
+        parts = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
         if parts[-1] != len(ends):
             raise ValueError("the tokenizer cuts words in another way than expected")
-        data, at = ids.tobytes(), [0, *(ends[parts - 1] * 4).tolist()]
-        memo = self.memo
-        for k, w in enumerate(words):
-            memo[w] = data[at[k] : at[k + 1]]
+        self._add(ids, np.diff(ends[parts - 1], prepend=0))
 
 
 class Packer:
@@ -176,8 +215,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN,
         packer, encoder = Packer(part << 32, seq_len, open_windows, min_piece), _encoder(tokenizer_path)
         end = np.array([end_id], np.uint32)
         for batch in common.leanly(batches):
-            for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-                packer.add(None if doc is pd.NA else int(doc), np.concatenate([encoder.encode(text or ""), end]))
+            for doc, ids in zip(batch["doc_id"].astype("Int64"), encoder.encode_all([t or "" for t in batch["text"]]), strict=True):
+                packer.add(None if doc is pd.NA else int(doc), np.concatenate([ids, end]))
             yield frame(packer.take(), part, [], [])
         rows, windows, ids = [], [], []
         for w, pieces in sorted(packer.windows.items()):

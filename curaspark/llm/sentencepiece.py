@@ -38,17 +38,6 @@ _NONE = np.int64(1 << 40)
 _SLOT_BITS = 18
 
 
-class _Numbers(dict):
-    """Numbers units in the order of their first use."""
-
-    def __missing__(self, unit: str) -> int:
-        n = self[unit] = len(self.names)
-        self.names.append(unit)
-        return n
-
-    names: list[str]
-
-
 def _unit_pattern(pieces: list[str]) -> re.Pattern:
     """Units that no piece crosses: a text is cut before spaces, around signs of ASCII that stand in no piece, and between a
     letter or digit (below code point 256) and a sign of ASCII that follows none of these in any piece."""
@@ -154,27 +143,6 @@ def _place(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (start.astype(np.uint64) << np.uint64(42)) ^ (mid.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
 
 
-class _Rows:
-    """An array that grows at its end."""
-
-    def __init__(self, kind: type):
-        self.all, self.n = np.zeros(1 << 12, kind), 0
-
-    def add(self, x: np.ndarray) -> int:
-        """Where x begins."""
-        at, self.n = self.n, self.n + len(x)
-        if self.n > len(self.all):
-            self.all = np.concatenate([self.all[:at], np.zeros(max(self.n, len(self.all) // 2), self.all.dtype)])
-        self.all[at : self.n] = x
-        return at
-
-
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one range after the other."""
-    sizes = sizes.astype(np.int64)
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
 class Encoder:
     """most: nodes that may be kept; beyond, all are forgotten before the next slice of texts."""
 
@@ -183,15 +151,14 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.unit = _Numbers()
-        self.unit.names = []
-        self.root = _Rows(np.int32)  # by unit: its first node, -1 if not made, -2 for long units
+        self.unit = common.Numbers()
+        self.root = common.Rows(np.int32)  # by unit: its first node, -1 if not made, -2 for long units
         # by node: where its candidates begin, how many they are, where its ids begin, how many they are, merges before
-        self.first, self.chain, self.ids_at, self.n_ids, self.before = (_Rows(np.int32) for _ in range(5))
-        self.ids = _Rows(np.uint32)
+        self.first, self.chain, self.ids_at, self.n_ids, self.before = (common.Rows(np.int32) for _ in range(5))
+        self.ids = common.Rows(np.uint32)
         # by candidate: its place, hashed and as it is, its node, the node that follows if it is skipped (-1: not made)
-        self.hashed, self.place, self.node, self.next = _Rows(np.uint64), _Rows(np.uint64), _Rows(np.int32), _Rows(np.int32)
-        self.node_unit, self.parent = _Rows(np.int32), _Rows(np.int32)  # by node; parent: the candidate that was skipped
+        self.hashed, self.place, self.node, self.next = common.Rows(np.uint64), common.Rows(np.uint64), common.Rows(np.int32), common.Rows(np.int32)
+        self.node_unit, self.parent = common.Rows(np.int32), common.Rows(np.int32)  # by node; parent: the candidate that was skipped
 
     def keys(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The key of each occurrence."""
@@ -211,7 +178,7 @@ class Encoder:
             place = np.arange(len(flat)) - np.repeat(first, n)
             keys = self.keys(np.repeat(np.array(docs[a:b], np.int64), n), place)
             start, size, ids = self._segment(flat, keys)
-            whole = ids[_ranges(start, size)]
+            whole = ids[common.ranges(start, size)]
             bounds = np.concatenate([[0], np.cumsum(size)])
             for i in range(b - a):
                 out[a + i] = whole[bounds[first[i]] : bounds[first[i] + n[i]]]
@@ -230,7 +197,7 @@ class Encoder:
         active = np.flatnonzero(node >= 0)
         while self.dropout > 0 and len(active):
             at = node[active]
-            tried, size = _ranges(self.first.all[at], self.chain.all[at]), self.chain.all[at]
+            tried, size = common.ranges(self.first.all[at], self.chain.all[at]), self.chain.all[at]
             h = common.mix64(np.repeat(keys[active], size) ^ self.hashed.all[tried])
             hit = np.flatnonzero((h >> np.uint64(11)).astype(np.float64) < self.dropout * 2.0**53)
             owner = np.repeat(active, size)[hit]

@@ -272,6 +272,18 @@ def test_packing(docs):
         assert memo.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_words_met_again_are_not_learned_again():
+    """A full memo forgets words met in one slice of texts alone; before, it forgot all and learned common ones time and again."""
+    path = tokenizer_path("word_bpe_49k.json")
+    memo, learned = packing.WordMemo(path, most=40), []
+    real, memo._learn = memo._learn, lambda words: learned.extend(words) or real(words)
+    for k in range(30):
+        texts = ["The house stands, été " + " ".join(f"new{k}x{i}***" for i in range(5)), "<|endoftext|> x", "", f"house {k}"]
+        for t, ids in zip(texts, memo.encode_all(texts), strict=True):
+            assert ids.tolist() == memo.tokenizer.encode(t, add_special_tokens=False).ids
+    assert learned.count("house") == 1 and len(memo.word) <= 60
+
+
 def test_urls_held_out():
     """Hosts that stand in no row of the table the model learns from."""
     block = "casino-palace.net bigbets.example.com sportsbetting.org pokerstars.net cheap-pills.example.com pills4u.net spam-mail.example.net adserver9.example.com adult-zone.net livecams.net payday-advance.com torrents.org ads-count.example.com adult-y.example.net casino-win.example.com warezworld.net clicktracker.net xxx-clips.net porno.example.org jackpots.info"
