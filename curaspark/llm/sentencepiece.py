@@ -10,7 +10,8 @@ What is left of characters outside the vocabulary becomes its UTF-8 bytes, so de
 
 What an agenda does between two skips is the same for all occurrences of a unit. It is kept as a tree: a node knows the
 candidates that it merges in turn if none is skipped, the ids that result, and for each candidate the node that follows
-if that one is skipped. Occurrences walk the trees of their units all at once; nodes are made when first needed.
+if that one is skipped. Occurrences walk the trees of their units all at once. A node is made when it is needed for the
+second time; the first occurrence that needs it goes through its agenda by itself, as most words of a text are met once.
 
 Defined results: null and empty texts have no ids and decode to the empty text; a null doc_id counts as 0 in the hash;
 repeated rows get equal ids; an empty table gives no rows; columns named ids or decoded give way, others stay.
@@ -35,6 +36,8 @@ SPACE = "▁"
 #: Units longer than this are merged by a heap instead of in numpy rounds.
 LONG_UNIT = 48
 _NONE = np.int64(1 << 40)
+#: Instead of a node: not needed yet, a long unit, needed once.
+_NEW, _LONG, _ASKED = -1, -2, -3
 _SLOT_BITS = 18
 
 
@@ -144,7 +147,8 @@ def _place(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """most: nodes that may be kept; beyond, all are forgotten before the next slice of texts."""
+    """most: nodes that may be kept; beyond, all are forgotten before the next slice of texts. Units beyond as many are
+    forgotten too, but for those that have nodes."""
 
     def __init__(self, model: Model, dropout: float = 0.1, seed: int = 1, most: int = 300_000):
         self.model, self.dropout, self.seed, self.most = model, dropout, seed, most
@@ -152,14 +156,26 @@ class Encoder:
 
     def _forget(self) -> None:
         self.unit = common.Numbers()
-        self.root = common.Rows(np.int32)  # by unit: its first node, -1 if not made, -2 for long units
+        self.root = common.Rows(np.int32)  # by unit: its first node
         # by node: where its candidates begin, how many they are, where its ids begin, how many they are, merges before
         self.first, self.chain, self.ids_at, self.n_ids, self.before = (common.Rows(np.int32) for _ in range(5))
         self.ids = common.Rows(np.uint32)
-        # by candidate: its place, hashed and as it is, its node, the node that follows if it is skipped (-1: not made)
+        # by candidate: its place, hashed and as it is, its node, the node that follows if it is skipped
         self.hashed, self.place, self.node, self.next = common.Rows(np.uint64), common.Rows(np.uint64), common.Rows(np.int32), common.Rows(np.int32)
         self.node_unit, self.parent = common.Rows(np.int32), common.Rows(np.int32)  # by node; parent: the candidate that was skipped
 
+    def _forget_units(self) -> None:
+        root, names, nodes = self.root.all[: self.root.n], self.unit.names, self.node_unit
+        keep = np.flatnonzero(root >= 0)
+        if len(keep) > self.most // 2:
+            self._forget()
+            return
+        nodes.all[: nodes.n] = (np.cumsum(root >= 0) - 1)[nodes.all[: nodes.n]]
+        self.unit, self.root = common.Numbers(), common.Rows(np.int32)
+        for k in keep.tolist():
+            self.unit[names[k]]  # numbered anew
+        self.root.add(root[keep])
+
     def keys(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The key of each occurrence."""
         own = common.mix64(doc.astype(np.int64).view(np.uint64) ^ np.uint64(self.seed * 0x9E3779B1))
@@ -171,6 +187,8 @@ class Encoder:
         for a, b in common.slices(texts):
             if self.first.n > self.most:
                 self._forget()
+            elif len(self.unit.names) > self.most:
+                self._forget_units()
             units = [self.model.unit.findall(" " + t) if t else [] for t in texts[a:b]]
             flat = np.fromiter(map(self.unit.__getitem__, chain.from_iterable(units)), np.int64)
             n = np.fromiter(map(len, units), np.int64, len(units))
@@ -188,39 +206,58 @@ class Encoder:
         """Where the ids of each occurrence begin in the array that is returned too, and how many they are."""
         names = self.unit.names
         new = names[self.root.n :]
-        self.root.add(np.array([-2 if len(u) > LONG_UNIT else -1 for u in new], np.int32))
-        node = self.root.all[flat].astype(np.int64)
-        missing = np.unique(flat[node == -1])
+        self.root.add(np.array([_LONG if len(u) > LONG_UNIT else _NEW for u in new], np.int32))
+        missing = self._due(self.root, flat)
         if len(missing):
             self.root.all[missing] = self._make(missing, np.full(len(missing), -1))
-            node = self.root.all[flat].astype(np.int64)
+        node = self.root.all[flat].astype(np.int64)
         active = np.flatnonzero(node >= 0)
         while self.dropout > 0 and len(active):
             at = node[active]
             tried, size = common.ranges(self.first.all[at], self.chain.all[at]), self.chain.all[at]
-            h = common.mix64(np.repeat(keys[active], size) ^ self.hashed.all[tried])
-            hit = np.flatnonzero((h >> np.uint64(11)).astype(np.float64) < self.dropout * 2.0**53)
+            hit = np.flatnonzero(self._skipped(np.repeat(keys[active], size) ^ self.hashed.all[tried]))
             owner = np.repeat(active, size)[hit]
             one = np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)]  # the first skip of each
             active, skipped = owner[one], tried[hit[one]]
-            missing = np.unique(skipped[self.next.all[skipped] < 0])
+            missing = self._due(self.next, skipped)
             if len(missing):
                 self.next.all[missing] = self._make(self.node_unit.all[self.node.all[missing]], missing)
             node[active] = self.next.all[skipped]
-        start, size, ids = self.ids_at.all[node].astype(np.int64), self.n_ids.all[node].astype(np.int64), self.ids.all
-        long = np.flatnonzero(node == -2)
+            active = active[node[active] >= 0]
+        known = np.maximum(node, 0)
+        start, size = (x.all[known].astype(np.int64) if x.n else np.zeros(len(node), np.int64) for x in (self.ids_at, self.n_ids))
+        found, end = [self.ids.all[: self.ids.n]], self.ids.n
+        long, alone = np.flatnonzero(node == _LONG), np.flatnonzero(node == _ASKED)
         if len(long):
-            found = [self._finish(names[u], *self.by_heap(names[u], int(k))) for u, k in zip(flat[long].tolist(), keys[long].tolist(), strict=True)]
-            size[long] = [len(x) for x in found]
-            start[long] = self.ids.n + np.cumsum(size[long]) - size[long]
-            ids = np.concatenate([ids[: self.ids.n], *found])
-        return start, size, ids
+            parts = [self._finish(names[u], *self.by_heap(names[u], int(k))) for u, k in zip(flat[long].tolist(), keys[long].tolist(), strict=True)]
+            size[long] = [len(x) for x in parts]
+            found += parts
+        for a in range(0, len(alone), 20_000):
+            own = alone[a : a + 20_000]
+            part, size[own] = self._by_rounds([names[u] for u in flat[own].tolist()], keys=keys[own])[:2]
+            found.append(part)
+        rest = np.concatenate([long, alone])
+        start[rest] = end + np.cumsum(size[rest]) - size[rest]
+        return start, size, np.concatenate(found) if len(rest) else self.ids.all
+
+    def _skipped(self, x: np.ndarray) -> np.ndarray:
+        return (common.mix64(x) >> np.uint64(11)).astype(np.float64) < self.dropout * 2.0**53
+
+    def _due(self, rows: common.Rows, at: np.ndarray) -> np.ndarray:
+        """Entries that get a node now: needed before, or more than once among at. Others without one are noted."""
+        now = rows.all[at]
+        open_ = at[(now == _NEW) | (now == _ASKED)]
+        one, count = np.unique(open_, return_counts=True)
+        due = (count > 1) | (rows.all[one] == _ASKED)
+        rows.all[one[~due]] = _ASKED
+        return one[due]
 
     def _make(self, units: np.ndarray, parents: np.ndarray) -> np.ndarray:
         """Numbers of new nodes of units, each for the skip of a candidate (-1: for none yet)."""
         first = self.first.n
         for a in range(0, len(units), 20_000):
-            self._by_rounds(units[a : a + 20_000], parents[a : a + 20_000])
+            unit, before = units[a : a + 20_000], parents[a : a + 20_000]
+            self._add(unit, before, *self._by_rounds([self.unit.names[u] for u in unit.tolist()], self._skips(before)))
         return np.arange(first, first + len(units))
 
     def _finish(self, unit: str, ids: list[int], starts: list[int]) -> np.ndarray:
@@ -272,10 +309,10 @@ class Encoder:
             parents = np.where(parents >= 0, self.parent.all[self.node.all[known]], -1)
         return np.array(out, np.uint64).reshape(len(out), len(parents))
 
-    def _by_rounds(self, unit: np.ndarray, parents: np.ndarray) -> None:
-        """New nodes for short units: a round merges the best candidate of every unit that is not skipped on its way."""
-        model, names = self.model, self.unit.names
-        units, skips = [names[u] for u in unit.tolist()], self._skips(parents)
+    def _by_rounds(self, units: list[str], skips: np.ndarray | None = None, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        """Ids of short units, how many each has, and the merges: a round merges the best candidate of every unit that is
+        not skipped. skips: places by unit (see _skips); keys: of occurrences, whose own skips count."""
+        model = self.model
         cps = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = np.fromiter(map(len, units), np.int64, len(units))
         word = np.repeat(np.arange(len(units)), n)
@@ -287,9 +324,10 @@ class Encoder:
             """Rank of the merge of each symbol with the next one; at must not hold the last symbol."""
             r = np.where(word[at] == word[at + 1], model.look_up(ids[at], ids[at + 1]), _NONE)
             ok = np.flatnonzero(r < _NONE)
-            if len(skips) and len(ok):
+            if len(ok) and (keys is not None and self.dropout > 0 or skips is not None and len(skips)):
                 o = at[ok]
-                r[ok[(skips[:, word[o]] == _place(start[o], start[o + 1], end[o + 1])).any(0)]] = _NONE
+                place = _place(start[o], start[o + 1], end[o + 1])
+                r[ok[self._skipped(keys[word[o]] ^ common.mix64(place)) if keys is not None else (skips[:, word[o]] == place).any(0)]] = _NONE
             return r
 
         rank = np.concatenate([candidates(np.arange(len(ids) - 1)), nobody]) if len(ids) else np.zeros(0, np.int64)
@@ -308,7 +346,8 @@ class Encoder:
                 count, best = count[best < _NONE], best[best < _NONE]
             hit = np.flatnonzero(rank == np.repeat(best, count))
             hit = hit[np.diff(word[hit], prepend=-1) > 0]  # the leftmost of each unit
-            merged.append((word[hit], _place(start[hit], start[hit + 1], end[hit + 1])))
+            if keys is None:
+                merged.append((word[hit], _place(start[hit], start[hit + 1], end[hit + 1])))
             ids[hit], end[hit] = model.by_rank[rank[hit]], end[hit + 1]
             keep = np.ones(len(ids), bool)
             keep[hit + 1] = False
@@ -320,10 +359,6 @@ class Encoder:
             again = np.flatnonzero(near)
             rank[again] = candidates(again)
             rank[-1] = _NONE
-        self._add(unit, parents, units, merged, done)
-
-    def _add(self, unit: np.ndarray, parents: np.ndarray, units: list[str], merged: list[tuple], done: list[tuple]) -> None:
-        """Keeps what the rounds have found, in the order of units."""
         many = len(units)
         w, s, i = (np.concatenate([d[k] for d in done]) for k in range(3))
         order = np.lexsort((s, w))
@@ -337,7 +372,12 @@ class Encoder:
                 x = slice(bounds[k], bounds[k + 1])
                 parts[k] = self._finish(units[k], i[x].tolist(), s[x].tolist())
             i, size = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, many)
-        at = self.ids.add(i.astype(np.uint32))
+        return i.astype(np.uint32), size, merged
+
+    def _add(self, unit: np.ndarray, parents: np.ndarray, ids: np.ndarray, size: np.ndarray, merged: list[tuple]) -> None:
+        """Keeps new nodes of units."""
+        many = len(unit)
+        at = self.ids.add(ids)
         self.ids_at.add(at + np.cumsum(size) - size)
         self.n_ids.add(size)
         m, place = (np.concatenate([x[k] for x in merged]) if merged else np.zeros(0, np.uint64) for k in (0, 1))
@@ -356,7 +396,7 @@ class Encoder:
         self.parent.add(parents)
         self.node.add(first + m)
         self.place.add(place)
-        self.next.add(np.full(len(place), -1))
+        self.next.add(np.full(len(place), _NEW))
         at = self.hashed.add(common.mix64(place))
         self.first.add(at + np.cumsum(count) - count)
 

@@ -72,6 +72,17 @@ def test_trees_equal_the_agenda():
     assert e.encode([text], [5])[0].tolist() == by_one_agenda(e, text, 5)
 
 
+def test_words_met_once_make_no_nodes():
+    """They go through their agendas by themselves; before, each made a node for itself and one for every skip."""
+    e = sentencepiece.Encoder(sentencepiece.Model(tokenizer_path("piece_bpe_32k.model")), 0.3, seed=3, most=120)
+    text = " ".join("ab" * (k % 9) + f"{chr(97 + k % 26)}{chr(97 + k // 26)}ologische語" for k in range(100))
+    assert e.encode([text], [5])[0].tolist() == by_one_agenda(e, text, 5) and e.first.n == 0
+    for d in range(40):  # units beyond 120 are forgotten, those with nodes stay and keep them
+        again = text.replace("ologische", f"ologo{d}") + " the" * 5 + " international" * 3
+        assert e.encode([again], [d])[0].tolist() == by_one_agenda(e, again, d)
+    assert e.first.n and e.unit[" the"] < 10 and e.root.all[e.unit[" the"]] >= 0
+
+
 def test_every_occurrence_draws_its_own_skips():
     e = sentencepiece.Encoder(sentencepiece.Model(tokenizer_path("piece_bpe_32k.model")), 0.3)
     one = [tuple(by_one_agenda(e, "international", d)) for d in range(1000)]
