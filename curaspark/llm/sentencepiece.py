@@ -26,7 +26,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -415,11 +415,13 @@ def _encoder(path: str, dropout: float, seed: int) -> Encoder:
 def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """All columns of docs, with ids (array<int>)."""
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         encoder = _encoder(model_path, dropout, seed)
         for text, doc in common.leanly(batches):
-            yield pd.Series([x.view(np.int32) for x in encoder.encode([t or "" for t in text], doc.tolist())])
+            ids = encoder.encode([t or "" for t in text.to_pylist()], doc.to_pylist())
+            at = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(at, np.concatenate([np.zeros(0, np.uint32), *ids]).view(np.int32))
 
     out = common.in_small_batches(docs).withColumn("__ids", run.asNondeterministic()(F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
     return common.replace_columns(out, {"ids": F.col("__ids")}).drop("__ids")
@@ -428,11 +430,12 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
     """All columns of rows, with decoded (the text that ids stand for)."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(model_path)
         for batch in common.leanly(batches):
-            yield pd.Series(["" if x is None else model.decode(np.asarray(x)) for x in batch], dtype=object)
+            at, ids = batch.offsets.to_pylist(), batch.values.to_numpy(zero_copy_only=False)
+            yield pa.array([model.decode(ids[a:b]) if there else "" for a, b, there in zip(at[:-1], at[1:], batch.is_valid().to_pylist(), strict=True)], pa.string())
 
     out = common.in_small_batches(rows).withColumn("__text", run.asNondeterministic()(F.col("ids")))
     return common.replace_columns(out, {"decoded": F.col("__text")}).drop("__text")

@@ -72,6 +72,16 @@ def test_trees_equal_the_agenda():
     assert e.encode([text], [5])[0].tolist() == by_one_agenda(e, text, 5)
 
 
+def test_decode_of_null_and_empty_lists(spark):
+    """Null and empty lists of ids decode to the empty text, others by their own part of a batch."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [264]), (4, None), (5, [264, 264])], "doc_id long, ids array<int>").coalesce(1)
+    got = sentencepiece.decode(rows.filter("doc_id > 1"), path)
+    assert [r.decoded for r in got.orderBy("doc_id").collect()] == ["", "a", "", "a a"]
+    both = sentencepiece.decode(sentencepiece.encode(rows.select("doc_id", F.lit("a b").alias("text")), path), path)
+    assert dict(both.dtypes)["ids"] == "array<int>" and both.filter("decoded = text").count() == 5
+
+
 def test_words_met_once_make_no_nodes():
     """They go through their agendas by themselves; before, each made a node for itself and one for every skip."""
     e = sentencepiece.Encoder(sentencepiece.Model(tokenizer_path("piece_bpe_32k.model")), 0.3, seed=3, most=120)
